@@ -37,6 +37,11 @@ def query_variants(questions: DataFrame, columns: tuple[str, ...], limit: int =
     return kept.unionByName(lost)
 
 
+def _most_per_question(pairs: DataFrame) -> int:
+    counts = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def retrieve(
     questions: DataFrame,
     query_vectors: DataFrame,
@@ -55,7 +60,9 @@ def retrieve(
     """
     s, k = settings, k or settings.retrieval_k
     live = chunks.filter(is_live())
-    hits = vector_topk(query_vectors, live, k + (1 if exclude is not None else 0), ("qid", "variant"), settings=s)
+    # Excluded rows take places among the first; ask for as many more.
+    spare = _most_per_question(exclude) if exclude is not None else 0
+    hits = vector_topk(query_vectors, live, k + spare, ("qid", "variant"), settings=s)
     if exclude is not None:
         hits = top_k(
             hits.drop("rank").join(exclude, ["qid", "id"], "left_anti"),
@@ -68,7 +75,7 @@ def retrieve(
             raise ValueError("the hybrid search needs postings")
         terms = lx.explode_terms(questions.withColumn("terms", lexical_terms("question", "rewritten")))
         live_postings = postings.join(live.select("id"), "id", "left_semi")
-        found = lx.lexical_topk(terms, live_postings, k + (1 if exclude is not None else 0))
+        found = lx.lexical_topk(terms, live_postings, k + spare)
         if exclude is not None:
             found = top_k(
                 found.drop("rank").join(exclude, ["qid", "id"], "left_anti"),
