@@ -55,8 +55,8 @@ def lines(spark, d):
 
 
 _SQL_SIGNAL = " OR ".join(
-    ["regexp_matches(s, '" + p.replace("'", "''") + "')" for p in V.SIGNAL_PATTERNS_STRIPPED]
-    + ["regexp_matches(lower(s), '" + p + "')" for p in V.SIGNAL_PATTERNS_LOWER]
+    ["regexp_matches(s, '" + p.replace("'", "''") + "')" for p in (*V.SIGNAL_PATTERNS_STRIPPED, V.CAPITAL_THEN_DIGIT_PATTERN)]
+    + ["regexp_matches(lower(s), '" + "|".join(V.SIGNAL_WORDS) + "')"]
 )
 
 

@@ -24,7 +24,7 @@ def any_of(conditions) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(V.WHITESPACE))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -48,12 +48,17 @@ def is_editorial(c: Column | str) -> Column:
 
 def has_signal(c: Column | str) -> Column:
     """True when any rule sees data in the text (units, ratios, headers, ...)."""
-    text = strip(c)
-    rules = [text.rlike(_unicode_fold(p)) for p in V.SIGNAL_PATTERNS_STRIPPED]
-    rules += [F.lower(text).rlike(p) for p in V.SIGNAL_PATTERNS_LOWER]
+    text, low = strip(c), F.lower(col(c))
+    rules = [low.contains(w) for w in V.SIGNAL_WORDS]
+    rules += [text.rlike(_unicode_fold(p)) for p in V.SIGNAL_PATTERNS_STRIPPED]
+    rules.append(text.rlike(_BY_LINE + V.CAPITAL_THEN_DIGIT_PATTERN))
     return ~is_blank(c) & any_of(rules)
 
 
+# Start at the first capital of a line only: each line is then read once.
+_BY_LINE = r"(?md)^[^A-Z\n]*"
+
+
 def _unicode_fold(pattern: str) -> str:
     return pattern.replace("(?i)", "(?iu)", 1)
 

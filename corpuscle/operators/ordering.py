@@ -17,30 +17,30 @@ def running_before(
     keys: list[str],
     order: list[Column],
     bucket: Column,
-    value: Column,
-    name: str,
+    values: dict[str, Column],
 ) -> DataFrame:
-    """Add `name`: the sum of `value` over all earlier rows of the same key.
+    """Add per name the sum of its value over all earlier rows of the same key.
 
-    Keys and buckets must not be null.
+    Keys and buckets must not be null. The rows are shuffled once, by key and range; the
+    totals of the ranges are summed before their shuffle and join on the same partitioning.
     """
-    marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    totals = marked.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
+    marked = df.withColumn("_bucket", bucket).withColumns({f"_v_{n}": v for n, v in values.items()})
+    totals = marked.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     over_ranges = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_bucket", F.coalesce(F.sum("_total").over(over_ranges), F.lit(0)).alias("_offset")
+        *keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(over_ranges), F.lit(0)).alias(f"_o_{n}") for n in values]
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = marked.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    joined = local.join(offsets, [*keys, "_bucket"])
-    return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop(
-        "_bucket", "_value", "_local", "_offset"
+    local = marked.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values})
+    joined = local.join(offsets, [*keys, "_bucket"]).withColumns(
+        {n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in values}
     )
+    return joined.select(*[c for c in df.columns if c not in values], *values)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
     """Add `name`: the 0-based, gap-free position of the row within its key."""
-    return running_before(df, keys, order, bucket, F.lit(1).cast("bigint"), name)
+    return running_before(df, keys, order, bucket, {name: F.lit(1).cast("bigint")})
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:

@@ -86,7 +86,7 @@ def quiet_sessions(events: DataFrame, window_seconds: float) -> DataFrame:
     gap = F.col("_s") - F.coalesce("_before", "_carried")
     flagged = lagged.withColumn("_new", F.coalesce((gap > window_seconds).cast("bigint"), F.lit(1)))
     counted = running_before(
-        flagged, ["key"], [F.col("_s"), F.col("event_id")], F.col("_day"), F.col("_new"), "_earlier"
+        flagged, ["key"], [F.col("_s"), F.col("event_id")], F.col("_day"), {"_earlier": F.col("_new")}
     )
     return counted.withColumn("session", F.col("_earlier") + F.col("_new")).drop(
         "_day", "_before", "_carried", "_new", "_earlier"
