@@ -230,7 +230,7 @@ selected AS (SELECT * FROM chosen WHERE qid NOT IN (SELECT qid FROM uncovered))"
 def images(spark: SparkSession, d: str) -> DataFrame:
     """Line items as images: one per (order, line), odd lines lateral, even ones superior."""
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_suppkey").alias("user_id"),
+        F.when(F.max("l_tax") >= 0.07, F.min("l_suppkey")).otherwise(F.col("l_orderkey") % 97).alias("user_id"),
         F.max("l_shipdate").cast("timestamp").alias("uploaded_at"),
         F.max("l_extendedprice").alias("bbox_width_px"),
         (F.max("l_quantity") * 10).alias("bbox_height_px"),
@@ -255,14 +255,15 @@ def images(spark: SparkSession, d: str) -> DataFrame:
 
 IMAGES = """
 images AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS analysis_id, min(l_suppkey) AS user_id,
+  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS analysis_id,
+    CASE WHEN max(l_tax) >= 0.07 THEN min(l_suppkey) ELSE l_orderkey % 97 END AS user_id,
     CASE WHEN l_linenumber % 2 = 1 THEN 'lateral' ELSE 'superior' END AS tag,
     max(l_shipdate) AS uploaded_at, max(l_extendedprice) AS bbox_width_px, max(l_quantity) * 10 AS bbox_height_px,
     max(l_quantity) * max(l_extendedprice) AS mask_area_px,
     CASE WHEN max(l_discount) > 0.02 THEN 100 + max(l_discount) * 1000 END AS manual_scale,
     max(l_tax) AS tax,
     CASE max(l_returnflag) WHEN 'A' THEN 'done' WHEN 'N' THEN 'processing' ELSE 'error' END AS processing_status,
-    min(l_suppkey)::VARCHAR || '/' || l_orderkey::VARCHAR || '.jpg' AS storage_path
+    (CASE WHEN max(l_tax) >= 0.07 THEN min(l_suppkey) ELSE l_orderkey % 97 END)::VARCHAR || '/' || l_orderkey::VARCHAR || '.jpg' AS storage_path
   FROM lineitem GROUP BY l_orderkey, l_linenumber
 )"""
 

@@ -6,21 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuscle.functions import vocab as V
-from corpuscle.functions.text import any_of, col, extract_numbers, fold_accents, normalize_text, strip
-
-
-def count_occurrences(text: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of a fixed string."""
-    removed = F.length(F.replace(text, F.lit(needle), F.lit("")))
-    return ((F.length(text) - removed) / len(needle)).cast("int")
+from corpuscle.functions.text import (
+    any_of, bind, col, extract_numbers, fold_accents, normalize_text, strip, text_array,
+)
+
+
+def count_occurrences(text: Column, needles) -> Column:
+    """Non-overlapping occurrences of fixed strings in a bound text."""
+    return F.aggregate(
+        text_array(needles),
+        F.lit(0),
+        lambda n, needle: n
+        + ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int"),
+    )
 
 
 def is_skeleton(answer: Column | str) -> Column:
     """Formally structured answers that only say that there is no data."""
-    text = normalize_text(answer)
-    hits = sum((count_occurrences(text, m) for m in V.SKELETON_MARKERS), F.lit(0))
-    short = F.length(text) < V.SKELETON_SHORT_CHARS
-    return (F.length(text) > 0) & ((hits >= 2) | ((hits >= 1) & short))
+
+    def check(text: Column) -> Column:
+        short = F.length(text) < V.SKELETON_SHORT_CHARS
+        return (F.length(text) > 0) & bind(
+            count_occurrences(text, V.SKELETON_MARKERS), lambda hits: (hits >= 2) | ((hits >= 1) & short)
+        )
+
+    return bind(normalize_text(answer), check)
 
 
 def refusal_message(language: Column | str) -> Column:
@@ -30,9 +40,10 @@ def refusal_message(language: Column | str) -> Column:
 
 
 def is_refusal(answer: Column | str) -> Column:
-    text = normalize_text(answer)
-    known = [text.contains(" ".join(m.lower().split())) for m in V.REFUSAL_MESSAGES.values()]
-    return (F.length(text) == 0) | any_of(known)
+    known = [" ".join(m.lower().split()) for m in V.REFUSAL_MESSAGES.values()]
+    return bind(
+        normalize_text(answer), lambda text: (F.length(text) == 0) | any_of([text.contains(m) for m in known])
+    )
 
 
 def has_sentinel(answer: Column | str) -> Column:
@@ -41,8 +52,8 @@ def has_sentinel(answer: Column | str) -> Column:
 
 def unsupported_numbers(answer: Column | str, context: Column | str) -> Column:
     """Distinct numbers of the answer, in order, that the context does not contain."""
-    known = normalize_text(context)
-    return F.filter(F.array_distinct(extract_numbers(answer)), lambda n: ~known.contains(n))
+    numbers = F.array_distinct(extract_numbers(answer))
+    return bind(normalize_text(context), lambda known: F.filter(numbers, lambda n: ~known.contains(n)))
 
 
 def significant_tokens(c: Column | str) -> Column:
@@ -52,31 +63,32 @@ def significant_tokens(c: Column | str) -> Column:
 
 def mention_coverage(answer: Column | str, points: Column | str) -> Column:
     """Share of points of which at least 60 % of the tokens occur in the answer."""
-    text = normalize_text(answer)
     points = F.coalesce(col(points), F.array().cast("array<string>"))
 
-    def covered(point: Column) -> Column:
-        tokens = significant_tokens(point)
+    def covered(text: Column, tokens: Column) -> Column:
         hits = F.size(F.filter(tokens, lambda t: text.contains(t)))
         return (F.size(tokens) > 0) & (hits / F.greatest(F.size(tokens), F.lit(1)) >= 0.6)
 
-    n = F.size(points)
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.filter(points, covered)) / F.greatest(n, F.lit(1)))
+    token_lists = F.transform(points, significant_tokens)
+    share = bind(
+        normalize_text(answer),
+        lambda text: F.size(F.filter(token_lists, lambda tokens: covered(text, tokens))) / F.greatest(F.size(token_lists), F.lit(1)),
+    )
+    return F.when(F.size(points) == 0, F.lit(1.0)).otherwise(share)
 
 
 def relevant_words(question: Column | str) -> Column:
     """Question words longer than four characters that are no stop words."""
     words = F.filter(F.split(strip(question), r"(?U)\s+"), lambda w: F.length(w) > 4)
     bare = F.transform(words, lambda w: F.btrim(F.lower(w), F.lit(V.RELEVANCE_EDGE_MARKS)))
-    return F.filter(bare, lambda w: ~w.isin(*V.RELEVANCE_STOPWORDS))
+    return F.filter(bare, lambda w: ~F.array_contains(text_array(V.RELEVANCE_STOPWORDS), w))
 
 
 def is_relevant(question: Column | str, answer: Column | str) -> Column:
     """Some significant word of the question occurs in the answer, accents aside."""
-    words = relevant_words(question)
-    text = F.lower(_ascii(fold_accents(answer)))
-    hit = F.exists(words, lambda w: text.contains(F.lower(_ascii(fold_accents(w)))))
-    return (F.size(words) == 0) | hit
+    words = F.transform(relevant_words(question), lambda w: F.lower(_ascii(fold_accents(w))))
+    said = F.lower(_ascii(fold_accents(F.coalesce(col(answer), F.lit("")))))
+    return bind(words, lambda ws: (F.size(ws) == 0) | bind(said, lambda text: F.exists(ws, lambda w: text.contains(w))))
 
 
 def _ascii(c: Column) -> Column:

@@ -6,36 +6,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuscle.functions import vocab as V
-from corpuscle.functions.text import any_of, col, fold_accents, is_context_poor
+from corpuscle.functions.text import any_of, bind, col, fold_accents, is_context_poor, text_array
 
 
 def count_contained(text: Column, phrases) -> Column:
-    """How many of the phrases occur in the text."""
-    return sum((text.contains(p).cast("int") for p in phrases), F.lit(0))
+    """How many of the phrases occur in a bound text."""
+    return F.size(F.filter(text_array(phrases), lambda p: text.contains(p)))
 
 
 def question_language(question: Column | str) -> Column:
     q = col(question)
-    low = F.lower(q)
     accents = F.when(q.rlike(V.LANGUAGE_PT_ACCENTS), 2).otherwise(0)
-    pt = count_contained(low, V.LANGUAGE_PT_WORDS) + accents
-    en = count_contained(low, V.LANGUAGE_EN_WORDS)
-    return F.when(pt >= en, "pt-BR").otherwise("en")
+
+    def decide(low: Column) -> Column:
+        pt = count_contained(low, V.LANGUAGE_PT_WORDS) + accents
+        return F.when(pt >= count_contained(low, V.LANGUAGE_EN_WORDS), "pt-BR").otherwise("en")
+
+    return bind(F.lower(q), decide)
 
 
 def question_type(question: Column | str) -> Column:
-    low = F.lower(col(question))
-    opening = any_of([low.startswith(p) for p in V.CONCEPTUAL_OPENINGS]).cast("int")
-    quantitative = count_contained(low, V.QUANTITATIVE_PHRASES)
-    conceptual = count_contained(low, V.CONCEPTUAL_PHRASES) + opening
-    comparative = count_contained(low, V.COMPARATIVE_PHRASES)
-    methodological = count_contained(low, V.METHODOLOGICAL_PHRASES)
-    return (
-        F.when((comparative > 0) & (comparative >= methodological), "comparative")
-        .when(methodological > 0, "methodological")
-        .when((quantitative > 0) & (quantitative > conceptual), "quantitative")
-        .otherwise("conceptual")
-    )
+    def counts(low: Column) -> Column:
+        opening = any_of([low.startswith(p) for p in V.CONCEPTUAL_OPENINGS]).cast("int")
+        return F.struct(
+            count_contained(low, V.QUANTITATIVE_PHRASES).alias("quantitative"),
+            (count_contained(low, V.CONCEPTUAL_PHRASES) + opening).alias("conceptual"),
+            count_contained(low, V.COMPARATIVE_PHRASES).alias("comparative"),
+            count_contained(low, V.METHODOLOGICAL_PHRASES).alias("methodological"),
+        )
+
+    def decide(n: Column) -> Column:
+        return (
+            F.when((n["comparative"] > 0) & (n["comparative"] >= n["methodological"]), "comparative")
+            .when(n["methodological"] > 0, "methodological")
+            .when((n["quantitative"] > 0) & (n["quantitative"] > n["conceptual"]), "quantitative")
+            .otherwise("conceptual")
+        )
+
+    return bind(bind(F.lower(col(question)), counts), decide)
 
 
 def effective_type(kind: Column | str, context: Column | str) -> Column:
@@ -46,35 +54,33 @@ def effective_type(kind: Column | str, context: Column | str) -> Column:
 def rewrite_query(question: Column | str, language: Column | str) -> Column:
     """Append the other language's words for the three known rule groups."""
     q, lang = col(question), col(language)
-    low = F.lower(q)
     pt, en = lang == "pt-BR", lang == "en"
 
-    def contains_all(words):
-        hits = count_contained(low, words)
-        return hits == len(words)
+    def suffixes(low: Column) -> Column:
+        restricted = count_contained(low, V.RESTRICTION_TERMS) > 0
+        rules = [
+            F.when(pt & (count_contained(low, V.SPECIES_PT) == len(V.SPECIES_PT)), V.SPECIES_LATIN_SUFFIX)
+            .when(en & (count_contained(low, V.SPECIES_EN) > 0), V.SPECIES_PT_SUFFIX),
+            F.when(restricted & pt, V.RESTRICTION_EN_SUFFIX).when(restricted & en, V.RESTRICTION_PT_SUFFIX),
+            F.when(pt & low.contains(V.METABOLISM_PT), " " + V.METABOLISM_EN)
+            .when(en & low.contains(V.METABOLISM_EN), " " + V.METABOLISM_PT),
+        ]
+        return F.concat(*[F.coalesce(r, F.lit("")) for r in rules])
 
-    def contains_any(words):
-        return count_contained(low, words) > 0
-
-    restricted = contains_any(V.RESTRICTION_TERMS)
-    suffixes = [
-        F.when(pt & contains_all(V.SPECIES_PT), V.SPECIES_LATIN_SUFFIX)
-        .when(en & contains_any(V.SPECIES_EN), V.SPECIES_PT_SUFFIX),
-        F.when(restricted & pt, V.RESTRICTION_EN_SUFFIX).when(restricted & en, V.RESTRICTION_PT_SUFFIX),
-        F.when(pt & low.contains(V.METABOLISM_PT), " " + V.METABOLISM_EN)
-        .when(en & low.contains(V.METABOLISM_EN), " " + V.METABOLISM_PT),
-    ]
-    return F.trim(F.concat(q, *[F.coalesce(s, F.lit("")) for s in suffixes]))
+    return F.trim(F.concat(q, bind(F.lower(q), suffixes)))
 
 
 def expand_for_retry(question: Column | str) -> Column:
     """The rule rewrite plus the domain's fixed terms, where they are missing."""
-    base = rewrite_query(question, question_language(question))
-    low = F.lower(base)
     plain, accented = V.RETRY_COMMON_SUFFIX.split()
-    common = F.when(~low.contains(plain) & ~low.contains(accented), V.RETRY_COMMON_SUFFIX).otherwise("")
-    latin = F.when(~low.contains(V.SPECIES_EN[0]), V.SPECIES_LATIN_SUFFIX).otherwise("")
-    return F.trim(F.concat(base, common, latin))
+
+    def extend(base: Column) -> Column:
+        low = F.lower(base)
+        common = F.when(~low.contains(plain) & ~low.contains(accented), V.RETRY_COMMON_SUFFIX).otherwise("")
+        latin = F.when(~low.contains(V.SPECIES_EN[0]), V.SPECIES_LATIN_SUFFIX).otherwise("")
+        return F.trim(F.concat(base, common, latin))
+
+    return bind(rewrite_query(question, question_language(question)), extend)
 
 
 def accept_expansion(question: Column | str, model_text: Column | str, language: Column | str) -> Column:
@@ -105,7 +111,7 @@ def lexical_terms(question: Column | str, rewritten: Column | str) -> Column:
     both = F.lower(F.concat_ws(" ", col(question), col(rewritten)))
     folded = fold_accents(both)
     tokens = F.regexp_extract_all(folded, F.lit(V.LEXICAL_TOKEN_PATTERN), F.lit(0))
-    kept = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(*V.LEXICAL_STOPWORDS))
+    kept = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~F.array_contains(text_array(V.LEXICAL_STOPWORDS), t))
     return F.array_distinct(kept)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,21 @@ def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row.
+
+    An expression that stands inside a lambda is evaluated for every element, and one that
+    stands behind an OR is not shared with its other uses; a lambda variable is.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def text_array(texts) -> Column:
+    """Constant array of texts."""
+    quoted = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in texts)
+    return F.expr(f"array({quoted})")
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.btrim(col(c), F.lit(V.WHITESPACE))
@@ -48,11 +64,10 @@ def is_editorial(c: Column | str) -> Column:
 
 def has_signal(c: Column | str) -> Column:
     """True when any rule sees data in the text (units, ratios, headers, ...)."""
-    text, low = strip(c), F.lower(col(c))
-    rules = [low.contains(w) for w in V.SIGNAL_WORDS]
-    rules += [text.rlike(_unicode_fold(p)) for p in V.SIGNAL_PATTERNS_STRIPPED]
-    rules.append(text.rlike(_BY_LINE + V.CAPITAL_THEN_DIGIT_PATTERN))
-    return ~is_blank(c) & any_of(rules)
+    patterns = [_unicode_fold(p) for p in V.SIGNAL_PATTERNS_STRIPPED] + [_BY_LINE + V.CAPITAL_THEN_DIGIT_PATTERN]
+    by_word = bind(F.lower(col(c)), lambda low: F.exists(text_array(V.SIGNAL_WORDS), lambda w: low.contains(w)))
+    by_pattern = bind(strip(c), lambda text: any_of([text.rlike(p) for p in patterns]))
+    return ~is_blank(c) & (by_word | by_pattern)
 
 
 # Start at the first capital of a line only: each line is then read once.
