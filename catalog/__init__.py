@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from catalog import admin, corpus, evaluation, retrieval, scalars, tables  # noqa: F401
+    from catalog import admin, corpus, evaluation, retrieval, scalars, streams, tables  # noqa: F401

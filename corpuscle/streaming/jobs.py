@@ -15,11 +15,14 @@ def job_state_stream(events: DataFrame) -> DataFrame:
     return job_state(events)
 
 
-def stale_job_stream(events: DataFrame, seconds: int = DEFAULTS.job_stale_seconds, delay: str = "0 seconds") -> DataFrame:
+def stale_job_stream(
+    events: DataFrame, seconds: int = DEFAULTS.job_stale_seconds, delay: str = "0 seconds", retention_seconds: int = 86400
+) -> DataFrame:
     """Emit (job_id, status, error, finished_at) for jobs that end or go stale.
 
     `events`: job_id, status, at. A job that stays active longer than `seconds` of event time
-    after its last start (or creation) becomes an error. A terminal state is final.
+    after its last start (or creation) becomes an error. A terminal state is final; it is
+    remembered for `retention_seconds` of event time, then its state is dropped.
     """
     active, message = V.ACTIVE_JOB_STATUSES, V.STALE_JOB_MESSAGE
 
@@ -29,9 +32,17 @@ def stale_job_stream(events: DataFrame, seconds: int = DEFAULTS.job_stale_second
         def row(status, error, at):
             return pd.DataFrame({"job_id": [key[0]], "status": [status], "error": [error], "finished_at": [at]})
 
-        if state.hasTimedOut:
-            _, since = state.get
+        def remember(since):
             state.update(("closed", since))
+            keep = since // 1000 + (seconds + retention_seconds) * 1000
+            state.setTimeoutTimestamp(max(keep, state.getCurrentWatermarkMs() + 1))
+
+        if state.hasTimedOut:
+            status, since = state.get
+            if status == "closed":
+                state.remove()
+                return
+            remember(since)
             yield row("error", message, pd.Timestamp(since + seconds * 1_000_000, unit="us"))
             return
         rows = pd.concat(list(batches)).sort_values("at", kind="stable")
@@ -48,8 +59,10 @@ def stale_job_stream(events: DataFrame, seconds: int = DEFAULTS.job_stale_second
             else:
                 status = "closed"
                 yield row(s, None, at)
-        state.update((status, since))
-        if status in active:
+        if status == "closed":
+            remember(max(since, pd.Timestamp(rows["at"].iloc[-1]).value // 1000))
+        else:
+            state.update((status, since))
             due = (since + seconds * 1_000_000) // 1000 + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
