@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.fixtures import CHUNKS, PAGES, chunks, pages, table
+from catalog.fixtures import CHUNKS, PAGES, chunks, pages, table, texts
 from catalog.scalars import _SQL_SIGNAL
 from corpuscle.config import Settings, scratch_path
 from corpuscle.functions.text import clean_text
@@ -101,7 +101,7 @@ def valid_documents(spark, d):
 def candidates(spark, d):
     """Two extractions per document: the pages of lines, and the text as one page."""
     first = pages(spark, d).select("file_id", F.lit("pypdf").alias("method"), "page", "text")
-    second = table(spark, d, "documents").select(
+    second = texts(spark, d).select(
         F.col("doc_id").alias("file_id"), F.lit("pdfplumber").alias("method"), F.lit(0).alias("page"), "text"
     )
     return first.unionByName(second)
@@ -135,7 +135,7 @@ def pick_extraction(spark, d):
 def cleaning_stats(spark, d):
     """Documents with a page number and a legal mark put after each sentence."""
     text = F.replace("text", F.lit(". "), F.lit(".\n3/7\nCopyright "))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit(0).alias("page"), text.alias("text"))
+    docs = texts(spark, d).select(F.col("doc_id").alias("file_id"), F.lit(0).alias("page"), text.alias("text"))
     out = ql.cleaning_stats(docs)
     return out.withColumn("examples", F.array_join("examples_removed", "|")).drop("examples_removed")
 
@@ -166,7 +166,7 @@ FIXED = """fixed AS (SELECT file_id, start_index, substr(full_text, start_index
 
 @query("chunk_fixed", f"WITH whole AS (SELECT doc_id AS file_id, text AS full_text FROM documents WHERE text <> ''), {FIXED} SELECT file_id, start_index, content FROM fixed")
 def chunk_fixed(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    docs = texts(spark, d).select(F.col("doc_id").alias("file_id"), "text")
     return ch.chunk_fixed(docs, 300, 50)
 
 
@@ -196,7 +196,7 @@ def assign_pages(spark, d):
       OR regexp_matches(lower(s), '^(©|copyright|all rights reserved)')) AND NOT ({_SQL_SIGNAL}))""")
 def filter_chunks(spark, d):
     """The documents, and again as legal notices that only a signal can save."""
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     legal = docs.select(
         (F.col("doc_id") + 1000000).alias("doc_id"),
         F.concat(F.lit("Copyright "), F.replace(F.lower("text"), F.lit("."), F.lit(""))).alias("content"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.corpus import embedder
-from catalog.fixtures import CHUNKS, SELECTED, TEST, chunks, table
+from catalog.fixtures import CHUNKS, SELECTED, TEST, chunks, table, texts
 from catalog.retrieval import found
 from catalog.scalars import norm
 from corpuscle.config import materialize, scratch_path
@@ -65,7 +65,7 @@ def passage_ranks(spark, d):
 @query("passages_in_corpus", f"""WITH n AS (SELECT DISTINCT {norm('text')} AS needle FROM benchmark), t AS (SELECT {norm('text')} AS t FROM documents)
     SELECT needle FROM n WHERE EXISTS (SELECT 1 FROM t WHERE contains(t, needle))""")
 def passages_in_corpus(spark, d):
-    docs = table(spark, d, "documents").select(F.col("text").alias("content"))
+    docs = texts(spark, d).select(F.col("text").alias("content"))
     return ev.passages_in_corpus(table(spark, d, "benchmark").select(F.col("text").alias("passage")), docs)
 
 
@@ -76,7 +76,7 @@ CENSUS = f"""{GOLDEN}, corpus AS (SELECT {norm('text')} AS t FROM documents WHER
 def others(spark, d):
     """The documents without those that the golden passages were taken from."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return table(spark, d, "documents").join(b, "doc_id", "left_anti").select(F.col("text").alias("content"))
+    return texts(spark, d).join(b, "doc_id", "left_anti").select(F.col("text").alias("content"))
 
 
 @query("missing_passages", f"WITH {CENSUS} SELECT qid, passage FROM missing")
@@ -249,7 +249,7 @@ DECIDED = """d0 AS (SELECT doc_id, text AS question, lang, CASE WHEN n_chars > 3
 
 
 def decided(spark, d):
-    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    j = texts(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
     state = j.select(
         "doc_id", F.col("text").alias("question"), "lang", F.when(F.col("lang") == "es", "pt-BR").otherwise("en").alias("language"),
         F.when(F.col("n_chars") > 300, F.col("text")).otherwise("").alias("context_1"), F.when(F.col("lang") != "fr", F.col("text")).otherwise("").alias("context_2"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpuscle.config import Settings
 
@@ -22,8 +23,26 @@ TEST = Settings(
 )
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose long texts are to be worked on.
+
+    Each given table is one file with one row group, hence one task. Such a file is spread
+    over the cores; a table of many files is left as it is.
+    """
+    df = table(spark, sf_dir, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    return df.repartition(spark.sparkContext.defaultParallelism) if single else df
 
 
 def ts(column: str):
@@ -38,8 +57,8 @@ def sql_ts(column: str, name: str | None = None) -> str:
 # --- chunks ----------------------------------------------------------------------------------
 
 
-def chunks(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+def chunks(spark: SparkSession, d: str, vectors: bool = False, spread: bool = False) -> DataFrame:
+    docs, labels = (texts if spread else table)(spark, d, "documents"), table(spark, d, "labels")
     out = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left")
     created = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("2024-01-01").cast("timestamp"))
     deleted = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("2024-06-01").cast("timestamp"))
@@ -89,7 +108,7 @@ live AS (SELECT * FROM chunks WHERE deleted_at IS NULL AND embedding IS NOT NULL
 def pages(spark: SparkSession, d: str, lines: int = 5) -> DataFrame:
     from corpuscle.sources.readers import split_pages
 
-    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "file_id")
+    docs = texts(spark, d).withColumnRenamed("doc_id", "file_id")
     return split_pages(docs, lines)
 
 

@@ -28,6 +28,10 @@ def live(spark, d):
     return chunks(spark, d, vectors=True).filter(is_live())
 
 
+def postings(spark, d):
+    return lx.build_postings(chunks(spark, d, vectors=True, spread=True).filter(is_live()))
+
+
 @query(
     "vector_topk",
     f"""WITH {CHUNKS}, sims AS (
@@ -74,7 +78,7 @@ def merge_variants(spark, d):
 
 @query("build_postings", f"WITH {CHUNKS},{POSTINGS} SELECT term, id, tf FROM postings")
 def build_postings(spark, d):
-    return lx.build_postings(live(spark, d))
+    return postings(spark, d)
 
 
 def terms(spark, d):
@@ -82,7 +86,7 @@ def terms(spark, d):
 
 
 def lexical_hits(spark, d):
-    found = lx.lexical_topk(terms(spark, d), lx.build_postings(live(spark, d)), 43)
+    found = lx.lexical_topk(terms(spark, d), postings(spark, d), 43)
     others = found.drop("rank").join(own_rows(spark, d), ["qid", "id"], "left_anti")
     return top_k(others, ["qid"], [F.desc("lexical_score"), F.asc("id")], 40)
 
@@ -107,14 +111,14 @@ def lexical_topk_all(spark, d):
     )
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))))
     asked = docs.select("qid", words.alias("term")).distinct()
-    found = lx.lexical_topk(asked, lx.build_postings(live(spark, d)), 40)
+    found = lx.lexical_topk(asked, postings(spark, d), 40)
     return found.select("qid", "id", F.round("lexical_score", 6).alias("lexical_score"), "rank")
 
 
 def frequencies(spark, d):
     rows = live(spark, d)
     total = rows.agg(F.count(F.lit(1)).alias("total_docs"))
-    return lx.term_doc_freq(lx.build_postings(rows), terms(spark, d), total)
+    return lx.term_doc_freq(postings(spark, d), terms(spark, d), total)
 
 
 @query("term_doc_freq", f"""WITH {CHUNKS},{TERMS},{POSTINGS}
@@ -141,7 +145,7 @@ def found(spark, d, settings=TEST):
     rows = chunks(spark, d, vectors=True)
     return retrieve(
         questions(spark, d), query_vectors(spark, d), rows, settings,
-        lx.build_postings(rows.filter(is_live())), exclude=own_rows(spark, d),
+        postings(spark, d), exclude=own_rows(spark, d),
     )
 
 

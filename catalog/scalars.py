@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.fixtures import analyses, ANALYSES, chunks, events, images, table, ts
+from catalog.fixtures import ANALYSES, analyses, events, table, texts, ts
 from corpuscle.functions import answers as A
 from corpuscle.functions import identity as I
 from corpuscle.functions import measures as M
@@ -32,11 +32,11 @@ def counted(text: str, words) -> str:
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return texts(spark, d)
 
 
 def html(spark, d):
-    return table(spark, d, "pages")
+    return texts(spark, d, "pages")
 
 
 # --- lines -------------------------------------------------------------------------------------

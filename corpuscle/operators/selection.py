@@ -78,38 +78,41 @@ def select_context(ranked_rows: DataFrame, settings: Settings = DEFAULTS, qid: s
     return df.drop("_top", "_in", "_kept", "_pos", "_running")
 
 
-def refuse_uncovered(
-    selected: DataFrame, top_raw: DataFrame, coverage: DataFrame, settings: Settings = DEFAULTS, qid: str = "qid"
+def with_coverage_gate(
+    chosen: DataFrame, top_raw: DataFrame, coverage: DataFrame, settings: Settings = DEFAULTS, qid: str = "qid"
 ) -> DataFrame:
-    """Second gate of the hybrid search: in the middle band a question also needs a
-    discriminative term. `top_raw`: qid, top_similarity_raw; `coverage`: qid, discriminative.
-    Questions without any term have no coverage row and pass."""
+    """Second gate of the hybrid search: add `uncovered`, true for questions of the middle band
+    without a discriminative term.
+
+    `top_raw`: qid, top_similarity_raw; `coverage`: qid, discriminative. Questions without any
+    term have no coverage row and pass.
+    """
     top = F.col("top_similarity_raw")
     doubtful = (
         top_raw.filter((top >= settings.refusal_floor) & (top < settings.strong_similarity))
         .join(coverage.filter(~F.col("discriminative")), qid, "left_semi")
-        .select(qid)
+        .select(qid, F.lit(True).alias("uncovered"))
     )
-    return selected.join(doubtful, qid, "left_anti")
+    return chosen.join(doubtful, qid, "left").withColumn("uncovered", F.coalesce("uncovered", F.lit(False)))
 
 
 def selection_trace(
-    questions: DataFrame,
-    candidates: DataFrame,
-    selected_before_gate: DataFrame,
-    selected: DataFrame,
-    settings: Settings = DEFAULTS,
-    qid: str = "qid",
+    questions: DataFrame, candidates: DataFrame, chosen: DataFrame, settings: Settings = DEFAULTS, qid: str = "qid"
 ) -> DataFrame:
-    """One row per question: candidate count, raw top similarity, selected count, characters, reason."""
+    """One row per question: candidate count, raw top similarity, selected count, characters, reason.
+
+    `chosen` is the selection with the `uncovered` mark of the second gate.
+    """
     cand = candidates.groupBy(qid).agg(
         F.count(F.lit(1)).alias("candidate_count"), F.max("similarity").alias("top_similarity_raw")
     )
-    before = selected_before_gate.groupBy(qid).agg(F.first("selection_reason").alias("_reason"))
-    after = selected.groupBy(qid).agg(
-        F.count(F.lit(1)).alias("selected_count"), F.sum("n_chars").alias("context_chars")
+    kept = ~F.col("uncovered")
+    picked = chosen.groupBy(qid).agg(
+        F.first("selection_reason").alias("_reason"),
+        F.count_if(kept).alias("selected_count"),
+        F.sum(F.when(kept, F.col("n_chars"))).alias("context_chars"),
     )
-    out = questions.select(qid).join(cand, qid, "left").join(before, qid, "left").join(after, qid, "left")
+    out = questions.select(qid).join(cand, qid, "left").join(picked, qid, "left")
     count = F.coalesce("selected_count", F.lit(0))
     return out.select(
         qid,

@@ -74,8 +74,14 @@ def retrieve(
         if postings is None:
             raise ValueError("the hybrid search needs postings")
         terms = lx.explode_terms(questions.withColumn("terms", lexical_terms("question", "rewritten")))
-        live_postings = postings.join(live.select("id"), "id", "left_semi")
-        found = lx.lexical_topk(terms, live_postings, k + spare)
+        # The postings of the asked terms serve the ranking and the second gate.
+        asked = materialize(
+            postings.join(terms.select("term").distinct(), "term", "left_semi").join(
+                live.select("id"), "id", "left_semi"
+            ),
+            "asked-postings",
+        )
+        found = lx.lexical_topk(terms, asked, k + spare)
         if exclude is not None:
             found = top_k(
                 found.drop("rank").join(exclude, ["qid", "id"], "left_anti"),
@@ -86,19 +92,20 @@ def retrieve(
         fused = vector.withColumn("lexical_rank", F.lit(None).cast("int"))
 
     placed = fused.join(live.select("id", *_PLACE), "id")
-    candidates = materialize(placed, "candidates")
-    chosen = sel.select_context(candidates, s)
-    kept = chosen
+    chosen = sel.select_context(placed, s)
     if s.hybrid_enabled:
         top_raw = vector.groupBy("qid").agg(F.max("similarity").alias("top_similarity_raw"))
         total = live.agg(F.count(F.lit(1)).alias("total_docs"))
-        freq = lx.term_doc_freq(live_postings, terms, total)
+        freq = lx.term_doc_freq(asked, terms, total)
         coverage = lx.has_discriminative_term(terms, freq, s.discriminative_max_doc_freq)
-        kept = sel.refuse_uncovered(chosen, top_raw, coverage, s)
-    columns = ["qid", "id", "position", "similarity", "lexical_rank", *_PLACE, "selection_reason"]
-    kept = materialize(kept.select(*columns), "selected")
-    trace = sel.selection_trace(questions, vector, chosen, kept, s)
-    return Retrieval(kept, trace)
+        chosen = sel.with_coverage_gate(chosen, top_raw, coverage, s)
+    else:
+        chosen = chosen.withColumn("uncovered", F.lit(False))
+    columns = ["qid", "id", "position", "similarity", "lexical_rank", *_PLACE, "selection_reason", "uncovered"]
+    chosen = materialize(chosen.select(*columns), "selected")
+    return Retrieval(
+        chosen.filter(~F.col("uncovered")).drop("uncovered"), sel.selection_trace(questions, vector, chosen, s)
+    )
 
 
 def contexts(retrieval: Retrieval, chunks: DataFrame, kinds: DataFrame | None = None, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
