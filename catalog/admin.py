@@ -10,6 +10,7 @@ from catalog.fixtures import CHUNKS, chunks, events, sql_ts, table, ts
 from catalog.scalars import META, metadata
 from corpuscle.operators import admin as ad
 from corpuscle.operators import tables as tb
+from corpuscle.operators.ordering import numbered
 from corpuscle.plans.reindex import reindex_files
 from corpuscle.sources.writers import chunk_columns
 
@@ -43,10 +44,9 @@ def cleanup_preview(spark, d):
     FROM chunks WHERE original_file_id = 'src3'""")
 def file_chunks(spark, d):
     """The listing of one file; its order is made visible by a position."""
-    from pyspark.sql import Window
-
     rows = ad.file_chunks(chunks(spark, d), "src3")
-    return rows.select("id", (F.row_number().over(Window.orderBy(*ad.listing_order())) - 1).alias("place"))
+    stretch = F.struct(F.col("chunk_index").isNull(), F.floor(F.coalesce("chunk_index", "page") / 1000))
+    return numbered(rows, ["original_file_id"], ad.listing_order(), stretch, "place").select("id", "place")
 
 
 @query("recover_content", f"""WITH {CHUNKS}, a AS (SELECT original_file_id, bool_or(deleted_at IS NULL) AS any_active FROM chunks GROUP BY 1)

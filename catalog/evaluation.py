@@ -44,24 +44,6 @@ def golden(spark, d):
     )
 
 
-# Every source asks too: its hits are its documents, which hold many benchmark items.
-@query("passage_ranks", f"""WITH q AS (SELECT DISTINCT source, item_id, {norm('b.text')} AS needle FROM documents d CROSS JOIN benchmark b),
-    h AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, {norm('text')} AS t FROM documents)
-    SELECT source AS qid, item_id AS passage_no, min(position) FILTER (contains(t, needle)) AS rank FROM q JOIN h USING (source) GROUP BY 1, 2""")
-def passage_ranks(spark, d):
-    from corpuscle.operators.ordering import numbered
-
-    docs = table(spark, d, "documents")
-    hits = numbered(docs, ["source"], [F.col("doc_id")], F.floor(F.col("doc_id") / 1000), "position").select(
-        F.col("source").alias("qid"), "position", F.col("text").alias("content")
-    )
-    items = table(spark, d, "benchmark").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]).alias("all")
-    )
-    asked = docs.select(F.col("source").alias("qid")).distinct().withColumn("expected_passages", items.scalar())
-    return ev.passage_ranks(asked, hits).select("qid", F.col("passage_no").cast("bigint").alias("passage_no"), "rank")
-
-
 @query("passages_in_corpus", f"""WITH n AS (SELECT DISTINCT {norm('text')} AS needle FROM benchmark), t AS (SELECT {norm('text')} AS t FROM documents)
     SELECT needle FROM n WHERE EXISTS (SELECT 1 FROM t WHERE contains(t, needle))""")
 def passages_in_corpus(spark, d):
@@ -110,6 +92,12 @@ def eval_retrieval(spark, d):
     return out.withColumns(rounded).withColumn("missed", F.size("missed_passages")).drop("missed_passages")
 
 
+@query("passage_ranks", f"""WITH {RETRIEVAL} SELECT e.qid, e.passage_no, e.passage, f.rank FROM expected e LEFT JOIN found_p f USING (qid, passage_no)""")
+def passage_ranks(spark, d):
+    hits = found(spark, d).selected.join(chunks(spark, d).select("id", "content"), "id")
+    return ev.passage_ranks(golden(spark, d), hits).select("qid", "passage_no", "passage", "rank")
+
+
 # Answers: the conversation of the same number; its first two sources are cited.
 ANSWERS = f"""talk AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id),
 ans AS (SELECT g.*, coalesce(t.answer, '') AS answer, d.source || '.txt' AS c0, 'src3.txt' AS c1, {norm("coalesce(t.answer, '')")} AS n

@@ -70,7 +70,7 @@ def recover_content(chunks: DataFrame) -> DataFrame:
 
     One row per (file, part): parts hold a bounded range of chunk positions, so a file of
     any size is spread over many rows. The parts of a file, in order and joined by a blank
-    line, are its text. Chunks without a position come after the others, by page.
+    line, are its text. Chunks without a position come after the others, by page, else by minute.
     """
     active = F.col("deleted_at").isNull()
     any_active = chunks.groupBy("original_file_id").agg(F.bool_or(active).alias("_any"))
@@ -78,7 +78,10 @@ def recover_content(chunks: DataFrame) -> DataFrame:
     part = F.struct(
         F.col("chunk_index").isNull().alias("unplaced"),
         F.coalesce(
-            F.floor(F.col("chunk_index") / _RECOVERY_PART), F.floor(F.col("page") / _RECOVERY_PART), F.lit(-1)
+            F.floor(F.col("chunk_index") / _RECOVERY_PART),
+            F.floor(F.col("page") / _RECOVERY_PART),
+            F.floor(F.unix_timestamp("created_at") / 60),
+            F.lit(-1),
         ).alias("range"),
     )
     ordered = F.array_sort(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.config import DEFAULTS
+from corpuscle.config import DEFAULTS, Settings
 from corpuscle.functions.questions import content_terms
 from corpuscle.operators.ordering import top_k
 
 # One matched occurrence weighs 0.1; the score c / (c + 1) then lies in 0..1.
 OCCURRENCE_WEIGHT = 0.1
+_TERM_ROW_BYTES = 128
 
 
 def build_postings(chunks: DataFrame, id_col: str = "id", content: str = "content", fold: bool = False) -> DataFrame:
@@ -37,14 +38,23 @@ def lexical_topk(
     k: int = DEFAULTS.retrieval_k,
     qid: str = "qid",
     id_col: str = "id",
+    settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Chunks that hold any query term, best first: qid, id, lexical_score, rank.
 
-    The join on the term is left to the planner: a small side is broadcast after
-    its size is known, and a hot term of two large sides is split. The occurrences
-    of a chunk are summed before the shuffle by (question, chunk).
+    Terms within the broadcast bound: the postings asked for are brought together by chunk,
+    once each and not once per question; a chunk's score for every question is then summed
+    inside one task, and each task sends on its k best rows per question only. More terms
+    than that meet the postings by term, where the planner splits a hot one, and the scores
+    meet by (question, chunk).
     """
-    hits = query_terms.select(qid, "term").join(postings, "term")
+    terms = query_terms.select(qid, "term")
+    bound = settings.broadcast_max_bytes // _TERM_ROW_BYTES
+    if terms.limit(bound + 1).count() <= bound:
+        asked = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        hits = asked.repartition(F.col(id_col)).join(F.broadcast(terms), "term")
+    else:
+        hits = postings.join(terms, "term")
     occurrences = hits.groupBy(qid, id_col).agg(F.sum("tf").alias("_n"))
     weight = F.col("_n") * F.lit(OCCURRENCE_WEIGHT)
     scored = occurrences.select(qid, id_col, (weight / (weight + 1)).alias("lexical_score"))

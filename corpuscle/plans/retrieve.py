@@ -81,7 +81,7 @@ def retrieve(
             ),
             "asked-postings",
         )
-        found = lx.lexical_topk(terms, asked, k + spare)
+        found = lx.lexical_topk(terms, asked, k + spare, settings=s)
         if exclude is not None:
             found = top_k(
                 found.drop("rank").join(exclude, ["qid", "id"], "left_anti"),

@@ -1,3 +1,4 @@
+from corpuscle.config import Settings
 from corpuscle.operators import lexical as lx
 
 
@@ -12,6 +13,9 @@ def test_lexical(spark):
     got = lx.lexical_topk(terms, postings, 5).orderBy("rank").collect()
     assert [(r.qid, r.id, round(r.lexical_score, 4)) for r in got] == [("q", 1, round(0.3 / 1.3, 4)), ("q", 2, round(0.1 / 1.1, 4))]
     assert lx.lexical_topk(terms, postings, 1).count() == 1
+    # Terms beyond the bound take the shuffled plan, with the same rows.
+    beyond = lx.lexical_topk(terms, postings, 5, settings=Settings(broadcast_max_bytes=100)).orderBy("rank").collect()
+    assert beyond == got
     freq = lx.term_doc_freq(postings, terms, spark.range(4).selectExpr("count(1) as n"))
     assert {r.term: (r.doc_count, r.total_docs) for r in freq.collect()} == {"kv": (1, 4), "fish": (2, 4), "absent": (0, 4), "indice": (0, 4)}
 
