@@ -7,6 +7,7 @@ import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -91,3 +92,9 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df, row_bytes: int, settings: Settings = DEFAULTS):
+    """`df` marked for broadcast if its rows, counted up to the bound, fit; else unmarked."""
+    bound = settings.broadcast_max_bytes // row_bytes
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

@@ -14,6 +14,10 @@ OCCURRENCE_WEIGHT = 0.1
 _TERM_ROW_BYTES = 128
 
 
+def _max_terms(settings: Settings) -> int:
+    return settings.broadcast_max_bytes // _TERM_ROW_BYTES
+
+
 def build_postings(chunks: DataFrame, id_col: str = "id", content: str = "content", fold: bool = False) -> DataFrame:
     """(term, id, tf). All words of a chunk are in one task, so the sum before the
     shuffle already yields the final rows."""
@@ -49,8 +53,7 @@ def lexical_topk(
     meet by (question, chunk).
     """
     terms = query_terms.select(qid, "term")
-    bound = settings.broadcast_max_bytes // _TERM_ROW_BYTES
-    if terms.limit(bound + 1).count() <= bound:
+    if terms.limit(_max_terms(settings) + 1).count() <= _max_terms(settings):
         asked = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
         hits = asked.repartition(F.col(id_col)).join(F.broadcast(terms), "term")
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.config import DEFAULTS, Settings
+from corpuscle.config import DEFAULTS, Settings, broadcast_if_small
 from corpuscle.functions.text import digit_density
 from corpuscle.operators.ordering import ranked, top_k
 
@@ -139,17 +139,15 @@ def companion_candidates(chunks: DataFrame, settings: Settings = DEFAULTS, file_
     A question excludes at most `context_max_chunks` selected rows and its own earlier
     picks. So among rows of one file and one length only the densest few can be chosen:
     any later one is preceded by an equal-length row that fits just as well. This bounds
-    the candidates per file by lengths, not by rows, and depends on no question.
+    the candidates per file by lengths, not by rows, and depends on no question. Stored
+    `n_chars` and `digit_density` are used where the table has them; no text is read then.
     """
     excluded = max(settings.context_max_chunks, settings.context_min_chunks)
     keep = excluded + settings.companion_max_total
-    slim = chunks.filter(
-        F.col(file_col).isNotNull() & (F.length("content") <= settings.context_char_budget)
-    ).select(
-        F.col(file_col).alias("_file"),
-        "id",
-        F.length("content").alias("_len"),
-        digit_density("content").alias("_density"),
+    length = F.col("n_chars") if "n_chars" in chunks.columns else F.length("content")
+    density = F.col("digit_density") if "digit_density" in chunks.columns else digit_density("content")
+    slim = chunks.filter(F.col(file_col).isNotNull() & (length <= settings.context_char_budget)).select(
+        F.col(file_col).alias("_file"), "id", length.alias("_len"), density.alias("_density")
     )
     return top_k(slim, ["_file", "_len"], [F.desc("_density"), F.asc("id")], keep).drop("rank")
 
@@ -165,7 +163,8 @@ def add_companions(
 
     `selected` has qid, id, position, n_chars, similarity and the file column; the result
     adds `companion`. Candidates are walked by digit density; one that does not fit into
-    the rest of the character budget is skipped, not a stop.
+    the rest of the character budget is skipped, not a stop. Only the eligible files'
+    chunks are read.
     """
     s = settings
     used = selected.groupBy(qid).agg(
@@ -178,7 +177,9 @@ def add_companions(
         .select(qid, F.col(file_col).alias("_file"))
         .distinct()
     )
-    pool = eligible.join(companion_candidates(chunks, s, file_col), "_file").join(used, qid)
+    files = broadcast_if_small(eligible.select(F.col("_file").alias(file_col)).distinct(), 128, s)
+    candidates = companion_candidates(chunks.join(files, file_col, "left_semi"), s, file_col)
+    pool = eligible.join(candidates, "_file").join(used, qid)
     pool = pool.filter(
         ~F.array_contains("_present", F.col("id"))
         & (F.col("_len") <= F.greatest(s.context_char_budget - F.col("_used"), F.lit(0)))
@@ -225,9 +226,12 @@ def add_companions(
 # --- context and citations ------------------------------------------------------------------
 
 
-def build_context(selected: DataFrame, chunks: DataFrame, qid: str = "qid") -> DataFrame:
+def build_context(
+    selected: DataFrame, chunks: DataFrame, qid: str = "qid", settings: Settings = DEFAULTS
+) -> DataFrame:
     """Contents in order of position, joined by a blank line. The text joins the plan only here."""
-    rows = selected.select(qid, "id", "position").join(chunks.select("id", "content"), "id")
+    wanted = broadcast_if_small(selected.select(qid, "id", "position"), 128, settings)
+    rows = chunks.select("id", "content").join(wanted, "id")
     ordered = F.array_sort(F.collect_list(F.struct("position", "content")))
     return rows.groupBy(qid).agg(
         F.array_join(F.transform(ordered, lambda r: r["content"]), "\n\n").alias("context")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.config import DEFAULTS, Settings, materialize
+from corpuscle.config import DEFAULTS, Settings, broadcast_if_small, materialize
 from corpuscle.operators import evaluation as ev
 from corpuscle.plans.retrieve import Retrieval
 
@@ -14,7 +14,8 @@ def evaluate_run(
     golden: DataFrame, retrieval: Retrieval, chunks: DataFrame, answers: DataFrame | None = None, settings: Settings = DEFAULTS
 ) -> tuple[DataFrame, DataFrame]:
     """(one row per question, one summary row). `answers`: qid, answer, cited_files."""
-    texts = retrieval.selected.select("qid", "id", "position", "similarity").join(chunks.select("id", "content"), "id")
+    kept = broadcast_if_small(retrieval.selected.select("qid", "id", "position", "similarity"), 128, settings)
+    texts = chunks.select("id", "content").join(kept, "id")
     found = ev.eval_retrieval(golden, texts)
     trace = retrieval.trace.select("qid", "candidate_count", "top_similarity_raw", "selected_count", "selection_reason")
     rows = found.join(trace, "qid", "left")

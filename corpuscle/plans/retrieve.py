@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.config import DEFAULTS, Settings, materialize
+from corpuscle.config import DEFAULTS, Settings, broadcast_if_small, materialize
 from corpuscle.functions.questions import lexical_terms
 from corpuscle.operators import lexical as lx
 from corpuscle.operators import selection as sel
@@ -74,12 +74,12 @@ def retrieve(
         if postings is None:
             raise ValueError("the hybrid search needs postings")
         terms = lx.explode_terms(questions.withColumn("terms", lexical_terms("question", "rewritten")))
-        # The postings of the asked terms serve the ranking and the second gate.
+        # The postings of the asked terms serve the ranking and the second gate. The rows a
+        # search must not see are few, the ones it may see are nearly all.
+        wanted = broadcast_if_small(terms.select("term").distinct(), 128, s)
+        hidden = chunks.filter(~is_live()).select("id")
         asked = materialize(
-            postings.join(terms.select("term").distinct(), "term", "left_semi").join(
-                live.select("id"), "id", "left_semi"
-            ),
-            "asked-postings",
+            postings.join(wanted, "term", "left_semi").join(hidden, "id", "left_anti"), "asked-postings"
         )
         found = lx.lexical_topk(terms, asked, k + spare, settings=s)
         if exclude is not None:
@@ -91,8 +91,9 @@ def retrieve(
     else:
         fused = vector.withColumn("lexical_rank", F.lit(None).cast("int"))
 
-    placed = fused.join(live.select("id", *_PLACE), "id")
-    chosen = sel.select_context(placed, s)
+    # A few rows per question against the whole chunk table: the table must not be shuffled.
+    fused = broadcast_if_small(materialize(fused, "fused"), 128, s)
+    chosen = sel.select_context(live.select("id", *_PLACE).join(fused, "id"), s)
     if s.hybrid_enabled:
         top_raw = vector.groupBy("qid").agg(F.max("similarity").alias("top_similarity_raw"))
         total = live.agg(F.count(F.lit(1)).alias("total_docs"))
@@ -122,12 +123,13 @@ def contexts(retrieval: Retrieval, chunks: DataFrame, kinds: DataFrame | None =
         live = chunks.filter(is_live())
         extra = sel.add_companions(wanting, live, settings).filter("companion")
         place = live.select("id", "original_file_name", "page_start", "page_end")
-        added = extra.join(place, "id").select(
+        extra = broadcast_if_small(materialize(extra, "companions"), 128, settings)
+        added = place.join(extra, "id").select(
             "qid", "id", "position", "similarity", F.lit(None).cast("int").alias("lexical_rank"), *_PLACE,
             F.lit("companion").alias("selection_reason"), "companion",
         )
         rows = materialize(rows.unionByName(added), "context-rows")
-    return rows, sel.build_context(rows, chunks)
+    return rows, sel.build_context(rows, chunks, settings=settings)
 
 
 def negative_control(retrieval: Retrieval, k: int) -> DataFrame:

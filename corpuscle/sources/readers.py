@@ -9,7 +9,7 @@ from corpuscle.functions.identity import basename, object_path
 
 CHUNK_SCHEMA = (
     "id string, content string, embedding array<float>, deleted_at timestamp, created_at timestamp, "
-    "updated_at timestamp, first_ingested_at timestamp, n_chars int, page int, page_start int, page_end int, "
+    "updated_at timestamp, first_ingested_at timestamp, n_chars int, digit_density double, page int, page_start int, page_end int, "
     "chunk_index bigint, start_index bigint, original_file_id string, original_file_name string, storage_bucket string, "
     "storage_path string, extraction_method string, metadata string"
 )
