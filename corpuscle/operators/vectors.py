@@ -24,7 +24,14 @@ _CHUNKS_PER_BLOCK = 20000
 
 
 def _best_rows(k: int, digits: int, radius: int | None):
-    """Kernel: the k best (query, id, similarity) rows of one block pair."""
+    """Kernel: the k best (query, id, similarity) rows of one block pair.
+
+    The parts are closures, which travel to the tasks by value.
+    """
+
+    def sortable(ids):
+        values = ids.to_numpy()
+        return values.astype(str) if values.dtype == object else values
 
     def matrix(vectors):
         import numpy as np
@@ -67,13 +74,7 @@ def _best_rows(k: int, digits: int, radius: int | None):
             return np.array([], dtype="int64"), ids[:0], np.array([])
         return keep_best(*(np.concatenate(part) for part in zip(*found)))
 
-    return matrix, keep_best, score
-
-
-def _ids(series):
-    """Ids as a sortable numpy array."""
-    values = series.to_numpy()
-    return values.astype(str) if values.dtype == object else values
+    return matrix, sortable, keep_best, score
 
 
 def vector_topk(
@@ -123,7 +124,7 @@ def _scan_with_shared_queries(head, chunks, k, keys, id_col, out, cell, radius):
     """Few queries: every task scans its chunks once against all of them."""
     import numpy as np
 
-    matrix, keep_best, score = _best_rows(k, SIMILARITY_DIGITS, radius)
+    matrix, sortable, keep_best, score = _best_rows(k, SIMILARITY_DIGITS, radius)
     spark = chunks.sparkSession
     if len(head):
         m, norms = matrix(head["_qv"])
@@ -132,8 +133,6 @@ def _scan_with_shared_queries(head, chunks, k, keys, id_col, out, cell, radius):
         m = np.zeros((0, 1))
     cells = head[cell].to_numpy().astype("int64") if cell else None
     shared = spark.sparkContext.broadcast((m, cells, head[keys].reset_index(drop=True)))
-    sortable = _ids
-
     def scan(batches):
         import numpy as np
 
@@ -156,7 +155,7 @@ def _scan_with_shared_queries(head, chunks, k, keys, id_col, out, cell, radius):
 
 def _blocked(queries, chunks, k, keys, id_col, out, block_rows, cell, radius):
     """Many queries: both sides in blocks, every pair of blocks is one bounded group."""
-    matrix, keep_best, score = _best_rows(k, SIMILARITY_DIGITS, radius)
+    matrix, sortable, keep_best, score = _best_rows(k, SIMILARITY_DIGITS, radius)
     q_blocks = max(1, math.ceil(queries.count() / block_rows))
     c_blocks = max(1, math.ceil(chunks.count() / _CHUNKS_PER_BLOCK))
 
@@ -169,8 +168,6 @@ def _blocked(queries, chunks, k, keys, id_col, out, block_rows, cell, radius):
     right = chunks.withColumn("_cb", F.pmod(F.xxhash64("_id"), F.lit(c_blocks)).cast("int")).withColumn(
         "_qb", numbers(q_blocks)
     )
-    sortable = _ids
-
     def pair(lhs, rhs):
         import pandas as pd
 
