@@ -1,8 +1,10 @@
 """Quality by compression: a text is like the good or the bad examples as the dictionary of either packs it better.
 
 Two zstandard dictionaries are trained on pieces of good and of bad labelled texts. A text is compressed in pieces of
-`PIECE` bytes, all of them, with both; the difference of the two sizes over their sum is the one input of a logistic
-curve, fitted on labelled texts that no dictionary has seen. Fitting takes up to `PER_CLASS` documents of either
+`PIECE` bytes, all of them, with both; the difference of the two sizes over their sum is what a logistic curve turns
+into a score. How far a text packs at all shifts the curve (its share and the square of it): a text that repeats itself packs to
+next to nothing with either dictionary, which their difference alone cannot show. The curve is fitted on labelled texts
+that no dictionary has seen. Fitting takes up to `PER_CLASS` documents of either
 label, chosen by a hash of the id, and of those that feed a dictionary a window of `WINDOW` characters at a hashed place; it
 happens on the driver within that bound. Scoring is one pass over the texts without a shuffle.
 
@@ -38,8 +40,8 @@ def held_out(doc_id: Column) -> Column:
 class Classifier:
     """Dictionaries of the good and the bad, and the curve that turns a difference into a score."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float = 0.0, level: float = 0.0):
-        self.good, self.bad, self.slope, self.level = good, bad, slope, level
+    def __init__(self, good: bytes, bad: bytes, level: float = 0.0):
+        self.good, self.bad, self.level, self.slopes = good, bad, level, np.zeros(3)
 
     def _packers(self) -> list:
         params = zstandard.ZstdCompressionParameters.from_level(
@@ -52,31 +54,34 @@ class Classifier:
             out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
         return out
 
-    def differences(self, texts: list[bytes]) -> np.ndarray:
-        """Per text (bad size - good size) / both; positive is good."""
+    def signals(self, texts: list[bytes]) -> np.ndarray:
+        """Per text (bad size - good size) / both (positive is good), the packed share of its bytes, and its square."""
+        out = np.zeros((len(texts), 3))
         if not (self.good and self.bad):
-            return np.zeros(len(texts))
+            return out
         good, bad = self._packers()
-        out = np.zeros(len(texts))
         for i, text in enumerate(texts):
             pieces = [text[k : k + PIECE] for k in range(0, len(text), PIECE)]
             a, b = sum(len(good(p)) for p in pieces), sum(len(bad(p)) for p in pieces)
-            out[i] = (b - a) / max(1, a + b)
+            share = (a + b) / (2 * max(1, len(text)))
+            out[i] = (b - a) / max(1, a + b), share, share * share
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.level + self.slope * self.differences(texts), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.level + self.signals(texts) @ self.slopes, -30, 30)))
 
-    def calibrate(self, differences: np.ndarray, labels: np.ndarray) -> None:
+    def calibrate(self, signals: np.ndarray, labels: np.ndarray) -> None:
         """Logistic fit by Newton steps, with a small pull to zero so that separable labels stay finite."""
-        scale = max(float(np.std(differences)), 1e-6)
-        x = np.column_stack((np.ones(len(labels)), differences / scale))
-        w = np.zeros(2)
+        middle, scale = signals.mean(0), np.maximum(signals.std(0), 1e-6)
+        x = np.column_stack((np.ones(len(labels)), (signals - middle) / scale))
+        pull = np.array([1e-6, 1e-1, 1e-1, 1e-1])
+        w = np.zeros(4)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 1e-2])
-            w += np.linalg.solve(hessian, x.T @ (labels - p) - np.array([1e-6, 1e-2]) * w)
-        self.level, self.slope = float(w[0]), float(w[1] / scale)
+            hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+            w += np.linalg.solve(hessian, x.T @ (labels - p) - pull * w)
+        self.slopes = w[1:] / scale
+        self.level = float(w[0] - middle @ self.slopes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier:
@@ -93,9 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
     out = Classifier(*[_dictionary(by_label[k]) for k in (1, 0)], level=float(np.log(prior / (1 - prior))))
     check = score(found.filter(F.col("place") % 2 == 1).select("quality", "text"), out, raw=True).select("quality", "score").collect()
     if out.good and out.bad and len({r["quality"] for r in check}) == 2:
-        labels_of, differences = (np.array([r[c] for r in check], float) for c in ("quality", "score"))
+        labels_of, signals = (np.array([r[c] for r in check], float) for c in ("quality", "score"))
         # The sample holds both labels in shares of its own; the level moves back to the shares of all labels.
-        out.calibrate(differences, labels_of)
+        out.calibrate(signals, labels_of)
         seen = labels_of.mean()
         out.level += float(np.log(prior / (1 - prior)) - np.log(seen / (1 - seen)))
     return out
@@ -111,16 +116,18 @@ def _dictionary(pieces: list[bytes]) -> bytes:
 
 
 def score(docs: DataFrame, classifier: Classifier, raw: bool = False) -> DataFrame:
-    """`docs` with `score`; with `raw` the difference of sizes instead."""
+    """`docs` with `score`; with `raw` the signals behind it instead."""
     kept = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(classifier))
 
+    kind = pa.list_(pa.float64()) if raw else pa.float64()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cloudpickle.loads(shared.value)
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
-            values = own.differences(texts) if raw else own.scores(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, "score"])
+            values = own.signals(texts).tolist() if raw else own.scores(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], [*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, score double")
+    return kept.mapInArrow(run, f"{fields}, score {'array<double>' if raw else 'double'}")
