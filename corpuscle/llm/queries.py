@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import compression, decontaminate, html_text, langid, mixing, quality_rules, secrets
+from corpuscle.llm import compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_benchmark_decontamination")
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.removed_lines(docs)
+    none = F.array().cast("array<int>")
+    return docs.select("doc_id").join(gone, "doc_id", "left").select(
+        "doc_id", F.size(F.coalesce("removed", none)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed")
+    )
