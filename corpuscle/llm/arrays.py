@@ -10,7 +10,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 # A random 64-bit value per byte, so that sums of near bytes do not meet.
-_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
 # The characters of [\x20\x09-\x0D] part words.
@@ -56,7 +56,7 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Running sums from which `span_hashes` takes the hash of any span."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * powers(len(data)), out=sums[1:])
+    np.cumsum(BYTE_VALUES[data] * powers(len(data)), out=sums[1:])
     return sums
 
 

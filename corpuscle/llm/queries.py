@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash
+from corpuscle.llm import compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(gone, "doc_id", "left").select(
         "doc_id", F.size(F.coalesce("removed", none)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed")
     )
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
