@@ -271,11 +271,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """`docs` without the removed lines in `text`."""
+def dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """`docs` without the removed lines in `text`; `drop_emptied` leaves out documents that lose all their words."""
     gone = removed_lines(docs).withColumnRenamed("removed", "_removed").withColumnRenamed("doc_id", "_doc")
-    parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_removed"))
     text = F.array_join(F.transform(left, lambda i: F.get(F.col("_parts"), i)), "\n")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left").withColumn("_parts", parts)
-    return joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left").withColumn("_parts", F.split("text", "\n"))
+    out = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(text))
+    if drop_emptied:
+        out = out.filter(F.col("_removed").isNull() | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    return out.select(*docs.columns)
