@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash, suffix_dedup
+from corpuscle.llm import compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash, sql, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,12 +33,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", sql.QUALITY)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-@query("op4_mixing")
+@query("op4_mixing", sql.MIXING)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(table(spark, sf_dir, "documents"))
 
