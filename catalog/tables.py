@@ -283,12 +283,31 @@ def job_state(spark, d):
     return out.select("job_id", "status", "result", ts("created_at"), ts("started_at"), ts("finished_at"))
 
 
-@query("sanitize_history", """WITH n AS (SELECT conv_id, turn, role, left(text, 400) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
-    SELECT conv_id, turn, role, text FROM n WHERE back <= 5""")
+@query("sanitize_history", """WITH n AS (SELECT conv_id, turn, role, left(text, 4000) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+    SELECT conv_id, turn, role, text FROM n WHERE back <= 20""")
 def sanitize_history(spark, d):
     from corpuscle.operators.history import recent_turns
 
-    return recent_turns(table(spark, d, "conversations"), 5, 400).select("conv_id", "turn", "role", "text")
+    return recent_turns(table(spark, d, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query("trim_history", """WITH p AS (SELECT conv_id, turn // 2 AS pair, max(text) FILTER (turn % 2 = 0) AS q, max(text) FILTER (turn % 2 = 1) AS a FROM conversations GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pair DESC) AS back FROM (SELECT * FROM p UNION ALL SELECT conv_id, pair + 1000, q, a FROM p))
+    SELECT conv_id, count(*) AS pairs, string_agg(left(q, 4000) || coalesce('|' || left(a, 4000), ''), '#' ORDER BY pair) AS kept FROM r WHERE back <= 10 GROUP BY conv_id""")
+def trim_history(spark, d):
+    """Each conversation, said twice over, as an array of pairs: the last ten stay."""
+    from corpuscle.operators.history import trim_history as apply
+
+    said = table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(
+        F.max(F.when(F.col("turn") % 2 == 0, F.col("text"))).alias("q"), F.max(F.when(F.col("turn") % 2 == 1, F.col("text"))).alias("a")
+    )
+    twice = said.unionByName(said.withColumn("pair", F.col("pair") + 1000))
+    ordered = F.array_sort(F.collect_list(F.struct("pair", F.array("q", "a").alias("texts"))))
+    histories = twice.groupBy("conv_id").agg(F.transform(ordered, lambda x: x["texts"]).alias("history"))
+    kept = histories.select("conv_id", apply("history").alias("h"))
+    return kept.select(
+        "conv_id", F.size("h").cast("bigint").alias("pairs"), F.array_join(F.transform("h", lambda p: F.array_join(p, "|")), "#").alias("kept")
+    )
 
 
 @query("with_last_turn", """SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS last_text FROM conversations""")

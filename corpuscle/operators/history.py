@@ -10,11 +10,11 @@ from corpuscle.operators.ordering import top_k
 
 
 def recent_turns(
-    turns: DataFrame, keep: int = DEFAULTS.history_pairs, max_chars: int = DEFAULTS.history_item_chars, conversation: str = "conv_id"
+    turns: DataFrame, pairs: int = DEFAULTS.history_pairs, max_chars: int = DEFAULTS.history_item_chars, conversation: str = "conv_id"
 ) -> DataFrame:
-    """The last turns of every conversation, each cut to its maximal length."""
+    """The turns of the last pairs (a question and its answer) of every conversation, each cut to its maximal length."""
     cut = turns.withColumn("text", F.left("text", F.lit(max_chars)))
-    return top_k(cut, [conversation], [F.desc("turn")], keep, "_back").drop("_back")
+    return top_k(cut, [conversation], [F.desc("turn")], 2 * pairs, "_back").drop("_back")
 
 
 def trim_history(history: Column | str, keep: int = DEFAULTS.history_pairs, max_chars: int = DEFAULTS.history_item_chars) -> Column:

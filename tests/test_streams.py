@@ -124,6 +124,12 @@ def test_ingest_stream(spark, tmp_path):
     assert set(second) == {"f1", "f2"} and second["f1"] == first["f1"]
     # The same files delivered again, with the progress lost: batches rewrite themselves.
     assert run("other") == second
+    # A page that comes late replaces the version of its document.
+    spark.createDataFrame([("f2", "b.pdf", "pypdf", 1, text + "late")], si.PAGES_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    third = run("s")
+    assert third["f1"] == first["f1"] and third["f2"] > second["f2"]
+    chunks = si.stored_chunks(spark, table).filter("original_file_id = 'f2'")
+    assert chunks.agg({"page_end": "max"}).first()[0] == 1 and chunks.select("chunk_index").distinct().count() == third["f2"]
 
 
 def test_first_requests(spark, tmp_path):
