@@ -38,6 +38,22 @@ def split_pages(spark, d):
     return pages(spark, d)
 
 
+@query("scan_pages", f"WITH {PAGES} SELECT file_id::VARCHAR AS file_id, source, page, text FROM page_rows")
+def scan_pages(spark, d):
+    """Pages written as files and scanned."""
+    path = scratch_path(spark, "pages")
+    rows = pages(spark, d)
+    rows.select(F.col("file_id").cast("string").alias("file_id"), "source", F.col("page").cast("int").alias("page"), "text").write.parquet(path)
+    return readers.scan_pages(spark, path)
+
+
+@query("first_appearance", "SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang")
+def first_appearance(spark, d):
+    from corpuscle.operators.ordering import first_appearance as apply
+
+    return apply(table(spark, d, "documents").select("source", "lang", "doc_id"), ["source", "lang"], "doc_id").select("source", "lang", "doc_id")
+
+
 @query("admit_uploads", """SELECT doc_id, CASE WHEN lang = 'de' THEN 'extension not allowed' WHEN lang = 'es' THEN 'content does not match' END AS reason,
       lang IN ('en', 'fr') AS admitted, CASE WHEN lang IN ('en', 'fr', 'de') THEN 'application/pdf' END AS detected_type FROM documents""")
 def admit_uploads(spark, d):

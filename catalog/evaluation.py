@@ -16,7 +16,7 @@ from corpuscle.operators import evaluation as ev
 from corpuscle.plans import answer as an
 from corpuscle.plans.evaluate import evaluate_run
 from corpuscle.plans.models import with_embeddings
-from corpuscle.sources import writers
+from corpuscle.sources import readers, writers
 
 # Questions whose number has a label of quality 0 are out of the corpus. A question expects its
 # own text and the first line of the document of its number.
@@ -219,6 +219,32 @@ def write_run(spark, d):
     return back.select("qid", "scope", F.round("recall", 6).alias("recall"), "selected_count")
 
 
+@query("read_golden", f"""WITH {GOLDEN} SELECT qid::VARCHAR AS qid, question, scope, expected_source_file, p0 AS first_passage,
+      (qid IN (SELECT doc_id FROM labels WHERE quality = 1))::INT AS pairs FROM golden""")
+def read_golden(spark, d):
+    """The golden questions as JSON lines, read back."""
+    path = scratch_path(spark, "golden")
+    golden(spark, d).withColumn("id", F.col("qid").cast("string")).drop("qid").write.json(path)
+    rows = readers.read_golden(spark, path)
+    first = F.get("expected_passages", F.lit(0)).alias("first_passage")
+    return rows.select("qid", "question", "scope", "expected_source_file", first, F.size("history").alias("pairs"))
+
+
+@query("read_runs", f"""WITH {RESULTS} SELECT d.source AS run_id, r.qid, r.scope, round(r.recall, 6) AS recall, r.selected_count, r.refused, r.citation_file_count
+    FROM results r JOIN documents d ON r.qid = 'q' || d.doc_id""")
+def read_runs(spark, d):
+    """One run file per source, as a run is stored, read as a row per question."""
+    path = scratch_path(spark, "run-files")
+    r = results(spark, d).join(table(spark, d, "documents").select(F.concat(F.lit("q"), "doc_id").alias("qid"), "source"), "qid")
+    one = F.struct(
+        F.col("qid").alias("id"), "scope", F.struct("recall", "selected_count").alias("retrieval"), F.struct("refused", "citation_file_count").alias("generation")
+    )
+    runs = r.groupBy("source").agg(F.collect_list(one).alias("results")).select(F.col("source").alias("run_id"), "results", F.col("source").alias("part"))
+    runs.write.partitionBy("part").json(path)
+    columns = ("run_id", "qid", "scope", F.round("recall", 6).alias("recall"), "selected_count", "refused", "citation_file_count")
+    return readers.read_runs(spark, path).select(*columns)
+
+
 @query("evaluate_run", f"""WITH {RETRIEVAL} SELECT count(*) AS questions_total, round(avg(recall) FILTER (scope = 'in_corpus'), 3) AS mean_recall,
     round(avg(retrieved_count), 1) AS mean_selected_chunks, round(avg(top_similarity), 3) AS mean_top_similarity FROM evaluated""")
 def evaluate_run_all(spark, d):

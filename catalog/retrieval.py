@@ -6,7 +6,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import ORACLE, query
 from catalog.fixtures import (
     CHUNKS, FUSED, LEXICAL_HITS, POSTINGS, QVECS, SELECTED, TERMS, TEST, VECTOR_HITS,
     chunks, own_rows, query_vectors, questions, table,
@@ -58,6 +58,29 @@ def vector_topk_ann_all(spark, d):
     return found.select("qid", "id", sim(), "rank")
 
 
+@query("vector_topk_passes", ORACLE["vector_topk"])
+def vector_topk_passes(spark, d):
+    """The same with so small a bound that the queries go in blocks, one pass each."""
+    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    small = dataclasses.replace(TEST, broadcast_max_bytes=8 * 64 * 150)
+    return vector_topk(q, live(spark, d), 40, settings=small).select("qid", "id", sim(), "rank")
+
+
+@query("vector_topk_ann_exact", "SELECT vec_id AS qid, true AS exact FROM embeddings")
+def vector_topk_ann_exact(spark, d):
+    """Whatever the index finds has its true similarity."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    found = vector_topk_ann_all(spark, d)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = found.join(vectors.select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), "qid").join(
+        vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("c")), "id"
+    )
+    cosine = dot("q", "c") / F.sqrt(dot("q", "q") * dot("c", "c"))
+    checked = met.groupBy("qid").agg(F.bool_and(F.abs(cosine - F.col("similarity")) < 2e-6).alias("exact"))
+    asked = vectors.select(F.col("vec_id").alias("qid"))
+    return asked.join(checked, "qid", "left").select("qid", F.coalesce("exact", F.lit(True)).alias("exact"))
+
+
 def variant_hits(spark, d):
     hits = vector_topk(query_vectors(spark, d), live(spark, d), 43, ("qid", "variant"), settings=TEST)
     others = hits.drop("rank").join(own_rows(spark, d), ["qid", "id"], "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import ORACLE, query
 from catalog.fixtures import ANALYSES, analyses, events, table, texts, ts
 from corpuscle.functions import answers as A
 from corpuscle.functions import identity as I
@@ -134,6 +134,13 @@ def unsupported_numbers(spark, d):
     )
 
 
+@query("numbers_in_any_form", "SELECT doc_id, 0 AS unsupported FROM documents")
+def numbers_in_any_form(spark, d):
+    """Every document as an answer in full-width digits, checked against itself in plain ones."""
+    rows = docs(spark, d).select("doc_id", "text", F.translate("text", "0123456789", "０１２３４５６７８９").alias("said"))
+    return X.with_nfkc(rows, "said").select("doc_id", F.size(A.unsupported_numbers("said", "text")).alias("unsupported"))
+
+
 # --- answers -----------------------------------------------------------------------------------
 
 # The given texts hold no refusals: markers are appended by role, so that each rule fires.
@@ -179,15 +186,14 @@ def significant_tokens(spark, d):
 
 @query("mention_coverage", f"""WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS point FROM documents),
     e AS (SELECT q.doc_id, q.point, {norm('a.text')} AS answer, {norm('q.point')} AS np
-      FROM p q JOIN conversations c ON c.conv_id = q.doc_id AND c.turn = 0 JOIN documents a ON a.doc_id = q.doc_id + 1),
+      FROM p q JOIN documents a ON a.doc_id = q.doc_id + 1),
     t AS (SELECT doc_id, answer, {_TOK.format(n='np')} AS toks FROM e),
     m AS (SELECT doc_id, len(toks) > 0 AND len(list_filter(toks, lambda t: contains(answer, t)))::DOUBLE / greatest(len(toks), 1) >= 0.6 AS ok FROM t)
     SELECT doc_id, round(count(*) FILTER (ok)::DOUBLE / count(*), 6) AS coverage FROM m GROUP BY doc_id""")
 def mention_coverage(spark, d):
-    """How far the next document mentions the sentences of a document that has a conversation."""
+    """How far the next document mentions the sentences of each document."""
     a = docs(spark, d).select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("answer"))
-    c = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"))
-    j = docs(spark, d).join(a, "doc_id").join(c, "doc_id", "left_semi")
+    j = docs(spark, d).join(a, "doc_id")
     points = F.split("text", r"\. ")
     return j.select("doc_id", F.round(A.mention_coverage("answer", points), 6).alias("coverage"))
 
@@ -322,6 +328,14 @@ def lexical_terms(spark, d):
     return t.select("doc_id", F.array_join("t", " ").alias("terms"))
 
 
+@query("lexical_terms_any_accent", ORACLE["lexical_terms"])
+def lexical_terms_any_accent(spark, d):
+    """The same terms from texts whose plain vowels carry marks beyond the Latin-1 letters."""
+    marked = docs(spark, d).select("doc_id", F.translate("text", "aeio", "ąęįő").alias("text"), "source")
+    t = X.with_folded_accents(marked, "text").select("doc_id", Q.lexical_terms("text", "source").alias("t")).filter(F.size("t") > 0)
+    return t.select("doc_id", F.array_join("t", " ").alias("terms"))
+
+
 # --- identity -----------------------------------------------------------------------------------
 
 

@@ -85,7 +85,10 @@ def relevant_words(question: Column | str) -> Column:
 
 
 def is_relevant(question: Column | str, answer: Column | str) -> Column:
-    """Some significant word of the question occurs in the answer, accents aside."""
+    """Some significant word of the question occurs in the answer, Latin accents aside.
+
+    For letters of any script bring both through `with_folded_accents` first.
+    """
     words = F.transform(relevant_words(question), lambda w: F.lower(_ascii(fold_accents(w))))
     said = F.lower(_ascii(fold_accents(F.coalesce(col(answer), F.lit("")))))
     return bind(words, lambda ws: (F.size(ws) == 0) | bind(said, lambda text: F.exists(ws, lambda w: text.contains(w))))

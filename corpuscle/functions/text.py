@@ -136,6 +136,12 @@ def with_nfkc(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def with_normal_form(df: DataFrame, **columns: str) -> DataFrame:
+    """Add per name the comparison form of another column, compatibility form included."""
+    copied = df.withColumns({name: F.col(source) for name, source in columns.items()})
+    return with_nfkc(copied, *columns).withColumns({name: normalize_text(name) for name in columns})
+
+
 def with_folded_accents(df: DataFrame, *columns: str) -> DataFrame:
     """Remove the diacritics of any script; see `fold_accents` for Latin letters alone."""
     form = _unicode_form("NFKD")

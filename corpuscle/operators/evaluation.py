@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuscle.config import DEFAULTS, Settings
 from corpuscle.functions import vocab as V
 from corpuscle.functions.answers import is_refusal, is_skeleton, mention_coverage
-from corpuscle.functions.text import normalize_text
+from corpuscle.functions.text import bind, with_nfkc, with_normal_form
 
 
 # --- passages --------------------------------------------------------------------------------
@@ -19,13 +18,12 @@ def passage_ranks(golden: DataFrame, hits: DataFrame, qid: str = "qid") -> DataF
     """Per expected passage the first retrieved position that contains it, or null.
 
     `hits`: qid, position, content, the few chunks selected per question. The join is on
-    the question; the containment test filters inside it.
+    the question; the containment test filters inside it. A blank passage is in every chunk.
     """
-    wanted = golden.select(qid, F.posexplode("expected_passages").alias("passage_no", "passage")).withColumn(
-        "_needle", normalize_text("passage")
-    )
-    texts = hits.select(qid, "position", normalize_text("content").alias("_text"))
-    met = wanted.join(texts, qid).filter((F.col("_needle") != "") & F.contains("_text", "_needle"))
+    wanted = golden.select(qid, F.posexplode("expected_passages").alias("passage_no", "passage"))
+    wanted = with_normal_form(wanted, _needle="passage")
+    texts = with_normal_form(hits.select(qid, "position", "content"), _text="content").drop("content")
+    met = wanted.join(texts, qid).filter(F.contains("_text", "_needle"))
     first = met.groupBy(qid, "passage_no").agg(F.min("position").alias("rank"))
     return wanted.drop("_needle").join(first, [qid, "passage_no"], "left")
 
@@ -67,7 +65,8 @@ def eval_retrieval(golden: DataFrame, hits: DataFrame, qid: str = "qid") -> Data
 def eval_generation(golden: DataFrame, answers: DataFrame, qid: str = "qid") -> DataFrame:
     """Answer metrics per question. `answers`: qid, answer, cited_files array."""
     joined = golden.select(qid, "scope", "expected_source_file", "must_mention").join(answers, qid)
-    refused = is_refusal("answer")
+    joined = with_nfkc(joined.withColumn("_said", F.col("answer")), "_said")
+    refused = is_refusal("_said")
     outside = F.col("scope") == "out_of_corpus"
     cited = F.filter(F.coalesce("cited_files", F.array().cast("array<string>")), lambda f: F.coalesce(f, F.lit("")) != "")
     out = joined.withColumn("refused", refused).withColumn("_cited", cited)
@@ -78,9 +77,9 @@ def eval_generation(golden: DataFrame, answers: DataFrame, qid: str = "qid") ->
         "scope",
         F.length(F.coalesce("answer", F.lit(""))).alias("answer_chars"),
         "refused",
-        (~F.col("refused") & is_skeleton("answer")).alias("skeleton"),
+        (~F.col("refused") & is_skeleton("_said")).alias("skeleton"),
         F.when(outside, F.col("refused")).otherwise(~F.col("refused")).alias("refusal_correct"),
-        F.when(~outside, mention_coverage("answer", "must_mention")).alias("mention_coverage"),
+        F.when(~outside, mention_coverage("_said", "must_mention")).alias("mention_coverage"),
         n.alias("citation_file_count"),
         F.when((F.coalesce("expected_source_file", F.lit("")) != "") & (n > 0), hits / F.greatest(n, F.lit(1))).alias(
             "citation_precision"
@@ -190,60 +189,52 @@ def verdict_accuracy(results: DataFrame) -> DataFrame:
 # --- golden set ------------------------------------------------------------------------------
 
 
+ANCHOR_WORDS = 3
+
+
 def passages_in_corpus(passages: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The passages (column `passage`) that some chunk contains, both normalised.
+    """The passages (column `passage`, not blank) that some chunk contains, both normalised.
 
-    One pass over the chunks with a multi-pattern automaton in every task, which reports
-    each passage once. Passages beyond the broadcast bound go in several such passes.
+    A chunk that contains a passage holds its inner words whole: three of them are its anchor. Chunks meet passages
+    by the hash of every run of three words, then the whole passage is looked for. Passages without so many inner words
+    are looked for directly. Either kind is broadcast in parts of at most `broadcast_max_bytes`, one pass each.
     """
-    needles = passages.select(normalize_text("passage").alias("needle")).filter(F.col("needle") != "").distinct()
-    texts = chunks.select(normalize_text("content").alias("text"))
-    size = needles.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
-    passes = max(1, -(-size // settings.broadcast_max_bytes))
+    needles = with_normal_form(passages.select("passage").distinct(), needle="passage").select("needle").filter(F.col("needle") != "").distinct()
+    texts = with_normal_form(chunks.select("content"), text="content").select("text")
+    words = F.split("needle", " ")
+    run = F.xxhash64(*[F.get(words, F.lit(1 + i)) for i in range(ANCHOR_WORDS)])
+    anchored = needles.withColumn("anchor", F.when(F.size(words) >= ANCHOR_WORDS + 2, run))
+
+    def runs(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - ANCHOR_WORDS)
+        return F.when(
+            F.size(w) >= ANCHOR_WORDS,
+            F.array_distinct(F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(ANCHOR_WORDS)]))),
+        )
+
+    spread = texts.select("text", F.explode(bind(F.split("text", " "), runs)).alias("anchor"))
     found = None
-    for i in range(passes):
-        part = needles.filter(F.pmod(F.xxhash64("needle"), F.lit(passes)) == i)
-        hit = _match_pass([r[0] for r in part.collect()], texts)
-        found = hit if found is None else found.unionByName(hit)
-    return found.distinct()
-
-
-def _match_pass(needles: list[str], texts: DataFrame) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(needles)
-
-    def scan(batches):
-        import pandas as pd
-
-        wanted = set(shared.value)
-        try:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for n in wanted:
-                automaton.add_word(n, n)
-            if wanted:
-                automaton.make_automaton()
-        except ImportError:
-            automaton = None
-        seen: set[str] = set()
-        for pdf in batches:
-            for text in pdf["text"]:
-                if not wanted:
-                    break
-                if automaton is not None:
-                    seen.update(n for _, n in automaton.iter(text))
-                else:
-                    seen.update(n for n in wanted - seen if n in text)
-        yield pd.DataFrame({"needle": sorted(seen)}, dtype="object")
-
-    return texts.mapInPandas(scan, T.StructType([T.StructField("needle", T.StringType())]))
+    for part, rows, on in (
+        (anchored.filter(F.col("anchor").isNotNull()), spread, ["anchor"]),
+        (anchored.filter(F.col("anchor").isNull()).drop("anchor"), texts, None),
+    ):
+        size = part.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0
+        passes = -(-size // settings.broadcast_max_bytes)
+        for i in range(passes):
+            block = F.broadcast(part.filter(F.pmod(F.xxhash64("needle"), F.lit(passes)) == i))
+            inside = F.contains("text", "needle")
+            met = rows.join(block, on).filter(inside) if on else rows.join(block, inside)
+            hit = met.select("needle").distinct()
+            found = hit if found is None else found.unionByName(hit)
+    return needles.limit(0) if found is None else found.distinct()
 
 
 def missing_passages(golden: DataFrame, chunks: DataFrame, qid: str = "qid", settings: Settings = DEFAULTS) -> DataFrame:
-    """Expected passages that no chunk contains: the golden set measures nothing there."""
+    """Expected passages that no chunk contains: the golden set measures nothing there. Blank ones are in any chunk."""
     wanted = golden.select(qid, F.explode("expected_passages").alias("passage"))
     found = passages_in_corpus(wanted, chunks, settings)
-    return wanted.withColumn("needle", normalize_text("passage")).join(found, "needle", "left_anti").select(qid, "passage")
+    named = with_normal_form(wanted, needle="passage").filter(F.col("needle") != "")
+    return named.join(found, "needle", "left_anti").select(qid, "passage")
 
 
 def golden_census(golden: DataFrame, chunks: DataFrame, qid: str = "qid", settings: Settings = DEFAULTS) -> DataFrame:

@@ -20,7 +20,6 @@ from corpuscle.operators.ordering import top_k
 # batch they were multiplied in; ties go to the lower id.
 SIMILARITY_DIGITS = 9
 _QUERIES_PER_PRODUCT = 512
-_CHUNKS_PER_BLOCK = 20000
 
 
 def _best_rows(k: int, digits: int, radius: int | None):
@@ -51,25 +50,33 @@ def _best_rows(k: int, digits: int, radius: int | None):
         mask = position < k
         return q[mask], ids[mask], sims[mask]
 
+    def best_of(queries, q_rows, ids, m):
+        import numpy as np
+
+        found = []
+        for start in range(0, len(q_rows), _QUERIES_PER_PRODUCT):
+            rows = q_rows[start : start + _QUERIES_PER_PRODUCT]
+            sims = np.round(queries[rows] @ m.T, digits)
+            floor = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(rows), -np.inf)
+            at, cols = np.nonzero(sims >= floor[:, None])
+            found.append((rows[at], ids[cols], sims[at, cols]))
+        return found
+
     def score(queries, q_cells, ids, vectors, cells):
         import numpy as np
 
         m, norms = matrix(vectors)
         usable = norms > 0
         m, ids = m[usable] / norms[usable, None], ids[usable]
-        found = []
-        for start in range(0, len(queries), _QUERIES_PER_PRODUCT):
-            block = queries[start : start + _QUERIES_PER_PRODUCT]
-            sims = np.round(block @ m.T, digits)
-            if radius is not None:
-                near = q_cells[start : start + _QUERIES_PER_PRODUCT, None] ^ cells[usable][None, :]
-                sims = np.where(np.bitwise_count(near) <= radius, sims, -np.inf)
-            if sims.shape[1] > k:
-                floor = np.partition(sims, -k, axis=1)[:, -k]
-            else:
-                floor = np.full(sims.shape[0], -np.inf)
-            rows, cols = np.nonzero((sims >= floor[:, None]) & np.isfinite(sims))
-            found.append((rows + start, ids[cols], sims[rows, cols]))
+        if radius is None:
+            found = best_of(queries, np.arange(len(queries)), ids, m)
+        else:
+            # Only the queries that probe a cell are multiplied with its chunks.
+            cells, found = cells[usable], []
+            for cell in np.unique(cells):
+                asking = np.flatnonzero(np.bitwise_count(q_cells ^ cell) <= radius)
+                own = cells == cell
+                found += best_of(queries, asking, ids[own], m[own])
         if not found:
             return np.array([], dtype="int64"), ids[:0], np.array([])
         return keep_best(*(np.concatenate(part) for part in zip(*found)))
@@ -111,17 +118,20 @@ def _topk(queries, chunks, k, keys, query_vector, id_col, vector, settings, cell
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    max_rows = settings.broadcast_max_bytes // (8 * settings.embedding_dimensions)
-    head = q.limit(max_rows + 1).toPandas()
-    if len(head) <= max_rows:
-        best = _scan_with_shared_queries(head, c, k, keys, id_col, out, cell, radius)
-    else:
-        best = _blocked(q, c, k, keys, id_col, out, max_rows, cell, radius)
+    # Queries beyond the bound go in blocks, each in a pass of its own over the chunks, which are never moved.
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("length")).first()
+    max_rows = max(1, settings.broadcast_max_bytes // (8 * (size["length"] or 1)))
+    passes = max(1, math.ceil(size["n"] / max_rows))
+    best = None
+    for i in range(passes):
+        block = q if passes == 1 else q.filter(F.pmod(F.xxhash64(*keys), F.lit(passes)) == i)
+        part = _scan_with_shared_queries(block.toPandas(), c, k, keys, id_col, out, cell, radius)
+        best = part if best is None else best.unionByName(part)
     return top_k(best, keys, [F.desc("similarity"), F.asc(id_col)], k)
 
 
 def _scan_with_shared_queries(head, chunks, k, keys, id_col, out, cell, radius):
-    """Few queries: every task scans its chunks once against all of them."""
+    """Every task scans its chunks once against all queries of the block."""
     import numpy as np
 
     matrix, sortable, keep_best, score = _best_rows(k, SIMILARITY_DIGITS, radius)
@@ -153,38 +163,6 @@ def _scan_with_shared_queries(head, chunks, k, keys, id_col, out, cell, radius):
     return chunks.mapInPandas(scan, out)
 
 
-def _blocked(queries, chunks, k, keys, id_col, out, block_rows, cell, radius):
-    """Many queries: both sides in blocks, every pair of blocks is one bounded group."""
-    matrix, sortable, keep_best, score = _best_rows(k, SIMILARITY_DIGITS, radius)
-    q_blocks = max(1, math.ceil(queries.count() / block_rows))
-    c_blocks = max(1, math.ceil(chunks.count() / _CHUNKS_PER_BLOCK))
-
-    def numbers(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.withColumn("_qb", F.pmod(F.xxhash64(*keys), F.lit(q_blocks)).cast("int")).withColumn(
-        "_cb", numbers(c_blocks)
-    )
-    right = chunks.withColumn("_cb", F.pmod(F.xxhash64("_id"), F.lit(c_blocks)).cast("int")).withColumn(
-        "_qb", numbers(q_blocks)
-    )
-    def pair(lhs, rhs):
-        import pandas as pd
-
-        if not len(lhs) or not len(rhs):
-            return pd.DataFrame(columns=[f.name for f in out.fields])
-        m, norms = matrix(lhs["_qv"])
-        lhs, m = lhs[norms > 0], m[norms > 0] / norms[norms > 0, None]
-        q_cells = lhs[cell].to_numpy().astype("int64") if cell else None
-        c_cells = rhs[cell].to_numpy().astype("int64") if cell else None
-        rows, ids, sims = score(m, q_cells, sortable(rhs["_id"]), rhs["_cv"], c_cells)
-        frame = lhs[keys].iloc[rows].reset_index(drop=True)
-        frame[id_col], frame["similarity"] = ids, sims
-        return frame
-
-    return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(pair, out)
-
-
 # --- approximate search ---------------------------------------------------------------------
 
 
@@ -206,8 +184,19 @@ def with_cell(df: DataFrame, vector: str, bits: int = 8, seed: int = 7, name: st
 
 
 def write_ann_index(chunks: DataFrame, path: str, vector: str = "embedding", bits: int = 8, seed: int = 7) -> None:
-    """Store the chunks by cell, so that a search reads only the cells it probes."""
-    with_cell(chunks, vector, bits, seed).write.mode("overwrite").partitionBy("cell").parquet(path)
+    """Store the chunks by cell, so that a search reads only the cells it probes.
+
+    A cell is written by a few tasks, so it has a few files however many tasks made its chunks; `cell_bits` gives the
+    number of bits for a number of chunks.
+    """
+    placed = with_cell(chunks, vector, bits, seed)
+    spread = placed.withColumn("_part", F.pmod(F.xxhash64(*[c for c in ("id",) if c in chunks.columns], F.lit(seed)), F.lit(4)))
+    spread.repartition("cell", "_part").drop("_part").write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def cell_bits(chunks: int, per_cell: int = 20000) -> int:
+    """Bits of a cell so that a cell holds about `per_cell` chunks, 4 to 16."""
+    return min(16, max(4, math.ceil(math.log2(max(1, chunks / per_cell)))))
 
 
 def vector_topk_ann(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuscle.config import DEFAULTS, Settings, materialize
 from corpuscle.functions import answers as A
 from corpuscle.functions import questions as Q
+from corpuscle.functions.text import with_folded_accents, with_nfkc
 from corpuscle.operators.selection import citations
 from corpuscle.plans.models import EmbedFn, TextFn, with_embeddings, with_model_text
 from corpuscle.plans.retrieve import contexts, query_variants, retrieve
@@ -54,7 +55,11 @@ def grade_answers(state: DataFrame) -> DataFrame:
     regenerated. Out: answer, evaluation, unsupported_numbers, numeric_regen_count.
     """
     refused = (F.col("route") == "give_up") | A.has_sentinel("generated")
-    out = state.withColumn("_unsupported", A.unsupported_numbers("generated", "context"))
+    # All forms come first: what is decided from them must not feed another table step.
+    out = _comparable(state, "generated", "regenerated", "context")
+    out = out.withColumns({"_asked": F.col("question"), "_plain": F.col("generated"), "_replain": F.col("regenerated")})
+    out = with_folded_accents(out, "_asked", "_plain", "_replain")
+    out = out.withColumn("_unsupported", A.unsupported_numbers("_generated", "_context"))
     redo = ~refused & (F.size("_unsupported") > 0) & F.col("regenerated").isNotNull()
     refused_again = redo & A.has_sentinel("regenerated")
     out = (
@@ -71,23 +76,30 @@ def grade_answers(state: DataFrame) -> DataFrame:
     out = out.withColumn(
         "unsupported_numbers",
         F.when(F.col("_refused"), nothing)
-        .when(F.col("numeric_regen_count") == 1, A.unsupported_numbers("answer", "context"))
+        .when(F.col("numeric_regen_count") == 1, A.unsupported_numbers("_regenerated", "_context"))
         .otherwise(F.col("_unsupported")),
     )
+    again = F.col("numeric_regen_count") == 1
     poor = (
         (F.trim(F.coalesce("answer", F.lit(""))) == "")
-        | ~A.is_relevant("question", "answer")
-        | A.is_skeleton("answer")
+        | ~A.is_relevant("_asked", F.when(again, F.col("_replain")).otherwise(F.col("_plain")))
+        | A.is_skeleton(F.when(again, F.col("_regenerated")).otherwise(F.col("_generated")))
     )
     return out.withColumn(
         "evaluation", F.when(F.col("_refused"), "REFUSED").when(poor, "LOW_QUALITY").otherwise("HIGH_QUALITY")
-    ).drop("_unsupported", "_refused")
+    ).drop("_unsupported", "_refused", "_generated", "_regenerated", "_context", "_asked", "_plain", "_replain")
+
+
+def _comparable(df: DataFrame, *columns: str) -> DataFrame:
+    """Add `_<column>`: the column in compatibility form, as the checks expect it."""
+    return with_nfkc(df.withColumns({f"_{c}": F.col(c) for c in columns}), *[f"_{c}" for c in columns])
 
 
 def needs_regeneration(state: DataFrame) -> DataFrame:
     """Rows whose generated text cites numbers the context lacks."""
     refused = (F.col("route") == "give_up") | A.has_sentinel("generated")
-    return state.filter(~refused & (F.size(A.unsupported_numbers("generated", "context")) > 0))
+    compared = _comparable(state, "generated", "context").withColumn("unsupported", A.unsupported_numbers("_generated", "_context"))
+    return compared.filter(~refused & (F.size("unsupported") > 0)).drop("_generated", "_context")
 
 
 class Answers(NamedTuple):
@@ -104,25 +116,58 @@ def answer_questions(
     generate: TextFn,
     settings: Settings = DEFAULTS,
     postings: DataFrame | None = None,
+    condense: TextFn | None = None,
+    rewrite: TextFn | None = None,
+    paraphrase: TextFn | None = None,
 ) -> Answers:
-    """Answer all questions (qid, question, last_question or null).
+    """Answer all questions (qid, question, last_question or null, optionally last_answer).
+
+    `condense` makes a follow-up self-contained, `rewrite` extends a question by synonyms, `paraphrase` says it in
+    the terms of the corpus; without them, or where their text is of no use, the fixed rules stand in. With
+    `multi_query_enabled` the first retrieval asks in all these forms and keeps each chunk's best similarity; the
+    words of all forms are searched.
 
-    The second retrieval sees only questions whose first context was insufficient, and
+    The second retrieval sees only questions whose first context was insufficient and is rewritten by rules alone, so
     every model runs once per row that needs it.
     """
     s = settings
-    base = questions.select(
+
+    def said(rows: DataFrame, call: TextFn | None, inputs: tuple[str, ...], name: str) -> DataFrame:
+        if call is None:
+            return rows.select("qid", F.lit(None).cast("string").alias(name))
+        return with_model_text(rows.select("qid", *inputs), call, inputs, name).select("qid", name)
+
+    last_answer = F.col("last_answer") if "last_answer" in questions.columns else F.lit(None).cast("string")
+    follow_ups = questions.filter(F.col("last_question").isNotNull()).withColumn("last_answer", F.left(F.coalesce(last_answer, F.lit("")), F.lit(500)))
+    condensed = said(follow_ups, condense, ("question", "last_question", "last_answer"), "_condensed")
+    base = questions.join(condensed, "qid", "left").select(
         "qid",
         "question",
         Q.question_language("question").alias("language"),
         Q.question_type("question").alias("question_type"),
-        Q.condense("question", "last_question", F.lit(None).cast("string")).alias("retrieval_query"),
+        Q.condense("question", "last_question", "_condensed").alias("retrieval_query"),
     )
     base = materialize(base, "questions")
 
-    def one_pass(qs: DataFrame, n: int, query: Column):
-        asked = qs.withColumn("rewritten", query)
-        variants = query_variants(asked, ("rewritten",), s.multi_query_variants)
+    def formulated(qs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(questions with `rewritten`, their variants) of the first pass."""
+        extended = said(qs, rewrite, ("retrieval_query", "language"), "_extended")
+        asked = qs.join(extended, "qid", "left").withColumn("rewritten", Q.accept_expansion("retrieval_query", "_extended", "language")).drop("_extended")
+        if not s.multi_query_enabled:
+            return asked, query_variants(asked, ("rewritten",), s.multi_query_variants)
+        other = said(qs, paraphrase, ("retrieval_query", "language"), "_other")
+        forms = asked.join(other, "qid", "left").withColumn("paraphrased", Q.accept_paraphrase("_other"))
+        variants = materialize(query_variants(forms, ("retrieval_query", "rewritten", "paraphrased"), s.multi_query_variants), "query-variants")
+        ordered = F.array_sort(F.collect_list(F.struct("variant", "text")))
+        every = variants.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda v: v["text"]), " ").alias("rewritten"))
+        return asked.drop("rewritten").join(every, "qid"), variants
+
+    def one_pass(qs: DataFrame, n: int):
+        if n == 1:
+            asked, variants = formulated(qs)
+        else:
+            asked = qs.withColumn("rewritten", Q.expand_for_retry("retrieval_query"))
+            variants = query_variants(asked, ("rewritten",), s.multi_query_variants)
         vectors = materialize(with_embeddings(variants, embed, "text", "vec"), "query-vectors")
         asked = asked.withColumn("question", F.col("retrieval_query"))
         found = retrieve(asked, vectors, chunks, s, postings, s.retrieval_k if n == 1 else s.retrieval_k_retry)
@@ -137,9 +182,9 @@ def answer_questions(
         state = state.drop(f"_ask{n}").join(asked_rows, "qid", "left")
         return materialize(state, f"pass-{n}"), rows, found.trace
 
-    first, rows_1, trace_1 = one_pass(base, 1, Q.rewrite_query("retrieval_query", "language"))
+    first, rows_1, trace_1 = one_pass(base, 1)
     again = first.filter(verdict_of("context_1", "judged_1") == "insufficient").select(base.columns)
-    second, rows_2, trace_2 = one_pass(again, 2, Q.expand_for_retry("retrieval_query"))
+    second, rows_2, trace_2 = one_pass(again, 2)
     state = decide_context(
         first.join(second.select("qid", "context_2", "confidence_2", "judged_2"), "qid", "left")
     )
@@ -151,9 +196,7 @@ def answer_questions(
         state.filter(F.col("route") == "generate"), generate,
         ("question", "context", "language", "effective_type", "confidence"), "generated",
     )
-    correction = needs_regeneration(generated).withColumn(
-        "unsupported", F.array_join(A.unsupported_numbers("generated", "context"), ", ")
-    )
+    correction = needs_regeneration(generated).withColumn("unsupported", F.array_join("unsupported", ", "))
     regenerated = with_model_text(
         correction.select("qid", "question", "context", "language", "effective_type", "confidence", "unsupported"),
         generate, ("question", "context", "language", "effective_type", "confidence", "unsupported"), "regenerated",

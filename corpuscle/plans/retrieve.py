@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.config import DEFAULTS, Settings, broadcast_if_small, materialize
 from corpuscle.functions.questions import lexical_terms
+from corpuscle.functions.text import with_folded_accents
 from corpuscle.operators import lexical as lx
 from corpuscle.operators import selection as sel
 from corpuscle.operators.ordering import ranked, top_k
@@ -73,7 +74,8 @@ def retrieve(
     if s.hybrid_enabled:
         if postings is None:
             raise ValueError("the hybrid search needs postings")
-        terms = lx.explode_terms(questions.withColumn("terms", lexical_terms("question", "rewritten")))
+        spelt = with_folded_accents(questions.select("qid", "question", "rewritten"), "question", "rewritten")
+        terms = lx.explode_terms(spelt.withColumn("terms", lexical_terms("question", "rewritten")))
         # The postings of the asked terms serve the ranking and the second gate. The rows a
         # search must not see are few, the ones it may see are nearly all.
         wanted = broadcast_if_small(terms.select("term").distinct(), 128, s)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import vocab as V
+from corpuscle.functions.text import with_nfkc
 from corpuscle.functions.identity import sanitize_filename, sniff_type
 
 
@@ -20,10 +21,11 @@ def admit_uploads(files: DataFrame, kind: str, name: str = "original_file_name")
         .when(F.length("content") > megabytes * 1024 * 1024, "too large")
         .when(~F.coalesce(detected.isin(*types), F.lit(False)), "content does not match")
     )
-    return files.select(
+    judged = files.select(
         *[c for c in files.columns if c != "content"],
         detected.alias("detected_type"),
-        sanitize_filename(name).alias("safe_name"),
+        F.col(name).alias("safe_name"),
         reason.alias("reason"),
         reason.isNull().alias("admitted"),
     )
+    return with_nfkc(judged, "safe_name").withColumn("safe_name", sanitize_filename("safe_name"))

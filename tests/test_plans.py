@@ -118,6 +118,45 @@ def test_answers(spark):
     assert ("ok", 1) in passes and ("ok", 2) not in passes and ("far", 2) in passes
 
 
+def test_models_reword_the_question(spark):
+    """A question in other words than the corpus finds its context by the paraphrase; a follow-up is made whole by the model."""
+    pages, files = corpus(spark)
+    chunks = ingest(pages, files, spark.createDataFrame([], CHUNK_SCHEMA), embedder(), SETTINGS).chunks
+    questions = spark.createDataFrame(
+        [("odd", "zebra quasar xylophone", None, None), ("next", "and the other one", "What is the growth rate", "It is high"), ("mute", "and silent", "zebra quasar", "x")],
+        "qid string, question string, last_question string, last_answer string",
+    )
+
+    def judge():
+        return lambda rows: ["SUFFICIENT" if "growth" in r["context"] else "INSUFFICIENT" for r in rows]
+
+    def generate():
+        return lambda rows: [f"{r['question']} growth" for r in rows]
+
+    def condense():
+        return lambda rows: ['"salinity stress of larvae"' if "growth" in r["last_question"] else "no" for r in rows]
+
+    def paraphrase():
+        return lambda rows: ["growth rate pond salinity" if "xylophone" in r["retrieval_query"] else "" for r in rows]
+
+    def rewrite():
+        return lambda rows: [r["retrieval_query"] + " oxygen" if "salinity" in r["retrieval_query"] else "nothing" for r in rows]
+
+    one = dataclasses.replace(SETTINGS, hybrid_enabled=False)
+    many = dataclasses.replace(one, multi_query_enabled=True)
+    hooks = {"condense": condense(), "rewrite": rewrite(), "paraphrase": paraphrase()}
+    got = {}
+    for name, settings, extra in (("rules", one, {}), ("one", one, hooks), ("many", many, hooks)):
+        out = an.answer_questions(questions, chunks, embedder(), judge(), generate(), settings, **extra)
+        got[name] = {r.qid: r for r in out.answers.collect()}
+    assert {n: g["odd"].route for n, g in got.items()} == {"rules": "give_up", "one": "give_up", "many": "generate"}
+    assert got["rules"]["next"].retrieval_query == "What is the growth rate and the other one"
+    assert got["many"]["next"].retrieval_query == got["one"]["next"].retrieval_query == "salinity stress of larvae"
+    # A text of the model that is too short is of no use.
+    assert got["many"]["mute"].retrieval_query == "zebra quasar and silent"
+    assert got["many"]["odd"].reformulation_count == 0
+
+
 def test_routing(spark):
     df = spark.createDataFrame([("sufficient", 0), ("partial", 1), ("insufficient", 0), ("insufficient", 1)], "v string, n int")
     assert [r[0] for r in df.select(an.route("v", "n")).collect()] == ["generate", "generate", "reformulate", "give_up"]
