@@ -63,10 +63,23 @@ def test_as_brute_force(spark, seed):
     assert found(spark, docs) == want
 
 
+def test_long_lines(spark):
+    rnd = random.Random(5)
+    base = [f"t{i}" for i in range(150)]
+    docs = []
+    for d in range(40):
+        line = list(base)
+        for _ in range(d % 30):
+            line[rnd.randrange(150)] = f"u{rnd.randrange(2000)}"
+        docs.append((d, " ".join(line)))
+    assert found(spark, docs) == brute(docs)
+
+
 def test_hot_words_and_second_round(spark, monkeypatch):
     # Every word is frequent, so keys are word triples; a first round of one candidate leaves work for the second.
     monkeypatch.setattr(line_dedup, "HOT_CLASS", line_dedup.rarity_class(3))
     monkeypatch.setattr(line_dedup, "FIRST", 1)
+    monkeypatch.setattr(line_dedup, "WEAK", 1)
     monkeypatch.setattr(line_dedup.candidates, "__defaults__", (1,))
     docs = corpus(3, n=60, vocabulary=60)
     assert found(spark, docs) == brute(docs)
