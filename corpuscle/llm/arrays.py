@@ -9,14 +9,8 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-# A random 64-bit value per byte, so that sums of near bytes do not meet.
-BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
-# The characters of [\x20\x09-\x0D] part words.
-SPACES = np.zeros(256, bool)
-SPACES[[9, 10, 11, 12, 13, 32]] = True
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over the 64 output bits."""
@@ -53,10 +47,25 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         start = min(end, n)
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """What each byte adds to a running sum, before its power; never zero."""
+    return data.astype(np.uint64) + np.uint64(1)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z in lower case."""
+    return data + ((data - np.uint8(65)) < 26) * np.uint8(32)
+
+
+def in_words(data: np.ndarray) -> np.ndarray:
+    """Which bytes of lower-cased UTF-8 are letters or digits; all beyond ASCII count as letters."""
+    return (data >= 128) | ((data - np.uint8(97)) < 26) | ((data - np.uint8(48)) < 10)
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Running sums from which `span_hashes` takes the hash of any span."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(len(data)), out=sums[1:])
+    np.cumsum(byte_values(data) * powers(len(data)), out=sums[1:])
     return sums
 
 
@@ -69,20 +78,19 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    border = np.zeros(n + 1, bool)
-    border[offsets] = True
-    before = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    after = np.zeros(n, bool)
-    after[:-1] = inside[1:]
-    starts = np.flatnonzero(inside & (~before | border[:-1]))
-    ends = np.flatnonzero(inside & (~after | border[1:])) + 1
+    # Starts and ends take turns.
+    turns = np.concatenate(([0] * bool(inside[0]), np.flatnonzero(inside[1:] != inside[:-1]) + 1, [n] * bool(inside[-1]))).astype(np.int64)
+    starts, ends = turns[::2], turns[1::2]
+    inner = np.unique(offsets[(offsets > 0) & (offsets < n)])
+    cut = inner[inside[inner - 1] & inside[inner]]
+    if len(cut):
+        starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
     return starts, ends
 
 
 def rows_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The row that each span lies in."""
-    return np.searchsorted(offsets, starts, "right") - 1
+    """The row that each span lies in; spans are in order."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def sliding(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -26,20 +26,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.arrays import flat, prefix_hashes, rows_of, slices, sliding, span_hashes, spans
+from corpuscle.llm.arrays import flat, in_words, lowered, prefix_hashes, rows_of, slices, sliding, span_hashes, spans
 
 SEED = 5
 THRESHOLD = 0.8
 BLOCK_CHARS = 8 << 20
 
-_WORD_BYTES = np.zeros(256, bool)
-_WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts in a row, and the n + 1 offsets of the texts in them."""
     data, offsets = flat(pa.array([t.lower() for t in texts], pa.large_string()))
-    starts, ends = spans(_WORD_BYTES[data], offsets)
+    starts, ends = spans(in_words(lowered(data)), offsets)
     return span_hashes(prefix_hashes(data), starts, ends), np.searchsorted(starts, offsets)
 
 
