@@ -4,12 +4,14 @@ A line is the set of its words (runs of letters and digits, A-Z lowered). Lines
 earlier line, by (doc_id, line number) of the input, are removed, whether or not that one is removed itself. Lines without a
 word stay.
 
-Equal sets meet first, by aggregation: only the earliest line of each set goes on. Words are ordered by rarity; two similar
+Equal sets of a batch settle at once: only the earliest line of each goes on. Words are ordered by rarity; two similar
 sets share a word among their first n - ceil(0.8 n) + 1. Words seen once in the corpus match nothing and give no key; a word in
 more than `HOT` lines is no key alone but with two further words of the longer prefix, in which similar sets share three. So a
 key of one word has at most `HOT` lines. Of the lines of a key, length, position and a parity bitmap of the words (the bits in
-which two differ are a lower bound on the words in which they differ) leave few pairs; each line takes its nearest `FIRST`
-earlier ones, and if none of these is verified a second round takes all. Verification counts the common words of both lines.
+which two differ are a lower bound on the words in which they differ; 64 bits, 256 for `LONG` words and more) leave few
+pairs. Each line takes its nearest earlier ones until `FIRST` of them are well within the bound or `WEAK` in all, and if
+none of these is verified a second round takes all. Equal sets need no verification (a hash of the
+whole set travels along); it counts the common words of both lines of the others.
 
 Rarity is read off a table of 2^22 counters (a fixed size, whatever the corpus), added up over all lines. Counters that
 words share make a word look more frequent, which costs speed and no result, as any one order does for the filter. Words are
@@ -29,18 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.config import materialize
-from corpuscle.llm.arrays import flat, mix, prefix_hashes, rows_of, slices, span_hashes, spans
+from corpuscle.config import broadcast_if_small, materialize
+from corpuscle.llm.arrays import flat, in_words, lowered, mix, prefix_hashes, rows_of, slices, span_hashes, spans
+from corpuscle.llm.storage import tidy
 
 COUNTER_BITS = 22
 COUNTER_BLOCK = 1 << 16
 HOT = 50000
-FIRST = 2
+FIRST = 4
+WEAK = 32
+LONG = 64
+AT_ONCE = 1 << 17  # rows that a task compares at a time
 
-_WORD_BYTES = np.zeros(256, bool)
-_WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _TOKEN = np.uint64((1 << 44) - 1)
 
 
@@ -57,13 +59,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         for start, end in slices(offsets):
-            own = _LOWER[data[offsets[start] : offsets[end]]]
+            own = lowered(data[offsets[start] : offsets[end]])
             borders = offsets[start : end + 1] - offsets[start]
-            starts, ends = spans(_WORD_BYTES[own], borders)
+            starts, ends = spans(in_words(own), borders)
             hashes = span_hashes(prefix_hashes(own), starts, ends)
             breaks = np.flatnonzero(own == 10)
             row = rows_of(starts, borders)
-            line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, borders[:-1])[row] if len(starts) else starts
+            passed = np.repeat(np.arange(len(breaks) + 1), np.diff(np.concatenate(([0], np.searchsorted(starts, breaks), [len(starts)]))))
+            line = passed - np.searchsorted(breaks, borders[:-1])[row] if len(starts) else starts
             yield hashes, row, line, batch.slice(start, end - start)
 
 
@@ -72,9 +75,20 @@ def count_words(docs: DataFrame) -> np.ndarray:
     blocks = (1 << COUNTER_BITS) // COUNTER_BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << COUNTER_BITS, np.uint32)
+        table = np.zeros(1 << COUNTER_BITS, np.int64)
+        held: list[np.ndarray] = []
+
+        def pour() -> None:
+            if held:
+                table[:] += np.bincount(np.concatenate(held), minlength=len(table))
+                held.clear()
+
         for hashes, *_ in _chunks(batches):
-            np.add(table, np.bincount((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(table)).astype(np.uint32), out=table)
+            held.append((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
+            if len(held) == 16:
+                pour()
+        pour()
+        table = table.astype(np.uint32)
         used = [b for b in range(blocks) if table[b * COUNTER_BLOCK : (b + 1) * COUNTER_BLOCK].any()]
         for b in used:
             part = table[b * COUNTER_BLOCK : (b + 1) * COUNTER_BLOCK]
@@ -122,102 +136,194 @@ def line_keys(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
     return np.concatenate(lines), np.concatenate(keys), np.concatenate(places)
 
 
-def describe(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """One row per line with words: its place, its set (two hashes and the size), parity bits, keys and their places."""
+def _lines(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+    """Lines with words of some megabytes of text at a time: doc, line, set hash a, size n, and their words by rarity."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def whole():
+        doc, line, a, n, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        return {"doc": doc, "line": line, "a": a, "n": n, "tokens": tokens}
+
+    for hashes, row, number, batch in _chunks(batches):
+        if not len(row):
+            continue
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        fresh = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(number) != 0))))
+        dense = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(row)))).astype(np.uint64)
+        token = (table[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(36)) | (hashes & np.uint64((1 << 36) - 1))
+        for first in range(0, len(fresh), 1 << 20):
+            last = min(first + (1 << 20), len(fresh))
+            part = slice(fresh[first], fresh[last] if last < len(fresh) else len(row))
+            keyed = np.sort(((dense[part] - np.uint64(first)) << np.uint64(44)) | token[part])
+            keyed = keyed[np.concatenate(([True], keyed[1:] != keyed[:-1]))]
+            line, tokens = keyed >> np.uint64(44), keyed & _TOKEN
+            starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+            words = fresh[first:last]
+            held.append((ids[row[words]], number[words], mix(np.add.reduceat(mix(tokens), starts)), np.diff(np.append(starts, len(tokens))), tokens))
+            size += len(tokens)
+        if size > 1_500_000:
+            yield whole()
+            held, size = [], 0
+    if held:
+        yield whole()
+
+
+def dealt(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(key, doc, line, sizes, bits, a, wide): a row per key of each line; `sizes` packs n and the place.
+
+    Lines whose set the batch has earlier are settled; they travel with sizes 0 under a key of their own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
-    schema = "doc_id bigint, line int, a bigint, b bigint, n int, bits bigint, keys array<bigint>, places array<int>"
+    names = ["key", "doc", "line", "sizes", "bits", "a", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
-        for hashes, row, number, batch in _chunks(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            fresh = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(number) != 0)))) if len(row) else row
-            dense = np.zeros(len(row), np.int64)
-            dense[fresh[1:]] = 1
-            dense = np.cumsum(dense)
-            token = (table[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(36)) | (hashes & np.uint64((1 << 36) - 1))
-            for first in range(0, len(fresh), 1 << 20):
-                last = min(first + (1 << 20), len(fresh))
-                part = slice(fresh[first], fresh[last] if last < len(fresh) else len(row))
-                keyed = np.sort(((dense[part] - first).astype(np.uint64) << np.uint64(44)) | token[part])
-                keyed = keyed[np.concatenate(([True], keyed[1:] != keyed[:-1]))]
-                line, tokens = (keyed >> np.uint64(44)).astype(np.int64), keyed & _TOKEN
-                starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-                sizes = np.diff(np.append(starts, len(tokens)))
-                at, keys, places = line_keys(tokens, starts, sizes)
-                order = np.argsort(at, kind="stable")
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(sizes))))).astype(np.int32)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tokens) & np.uint64(63)), starts)
-                a, b = (np.add.reduceat(mix(tokens + np.uint64(k)), starts) for k in (0, 1 << 50))
-                words = fresh[first:last]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row[words]], pa.int64()), pa.array(number[words], pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                     pa.array(sizes, pa.int32()), pa.array(bits.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[order].astype(np.int32)))],
-                    ["doc_id", "line", "a", "b", "n", "bits", "keys", "places"],
-                )
-
-    return docs.mapInArrow(run, schema)
+        for x in _lines(batches, np.frombuffer(shared.value, np.uint8)):
+            doc, line, a, n, tokens = (x[c] for c in ("doc", "line", "a", "n", "tokens"))
+            order = np.lexsort((line, doc, n, a))
+            again = np.concatenate(([False], (a[order][1:] == a[order][:-1]) & (n[order][1:] == n[order][:-1])))
+            first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+            copy = np.zeros(len(order), bool)
+            copy[order] = again & ((doc[order] != doc[first]) | (line[order] != line[first]))
+            gone = np.flatnonzero(copy)
+            place = mix(doc[gone].view(np.uint64) * np.uint64(31) + line[gone].astype(np.uint64))
+            kept = np.repeat(~copy, n)
+            live = np.flatnonzero(~copy)
+            starts = np.cumsum(n[live]) - n[live]
+            at, keys, places = line_keys(tokens[kept], starts, n[live])
+            # Sets too small for a similar one but themselves have themselves as their key.
+            small = np.flatnonzero(n[live] < 4)
+            at, keys, places = np.concatenate((at, small)), np.concatenate((keys, mix(a[live][small]))), np.concatenate((places, np.zeros(len(small), np.int64)))
+            spread = mix(tokens[kept])
+            bit = np.uint64(1) << (spread & np.uint64(63))
+            bits = np.bitwise_xor.reduceat(bit, starts)
+            lane = (spread >> np.uint64(6)) & np.uint64(3)
+            wide = np.stack([np.bitwise_xor.reduceat(np.where(lane == np.uint64(i), bit, np.uint64(0)), starts) for i in range(4)], axis=1)
+            row = live[at]
+            is_long = np.concatenate((n[row] >= LONG, np.zeros(len(gone), bool)))
+            buffer = np.ascontiguousarray(wide[at[n[row] >= LONG]]).tobytes()
+            offsets = np.concatenate(([0], np.cumsum(np.where(is_long, 32, 0)))).astype(np.int32)
+            wides = pa.Array.from_buffers(
+                pa.binary(), len(is_long), [pa.py_buffer(np.packbits(is_long, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(buffer)]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((keys, place)).view(np.int64)), pa.array(np.concatenate((doc[row], doc[gone])), pa.int64()),
+                 pa.array(np.concatenate((line[row], line[gone])), pa.int32()),
+                 pa.array(np.concatenate(((n[row] << 31) | places, np.zeros(len(gone), np.int64)))),
+                 pa.array(np.concatenate((bits[at], np.zeros(len(gone), np.uint64))).view(np.int64)),
+                 pa.array(np.concatenate((a[row], a[gone])).view(np.int64)), wides],
+                names,
+            )
+
+    return docs.mapInArrow(run, "key bigint, doc bigint, line int, sizes bigint, bits bigint, a bigint, wide binary")
+
+
+PAIR, MORE, SAME = 0, 1, 2
 
 
 def _near(group: dict[str, np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later row, earlier row, whether more may follow) of rows sorted by key and place in the corpus."""
-    key, n, bits, place = group["key"], group["n"].astype(np.int64), group["bits"].view(np.uint64), group["place"].astype(np.int64)
+    """(later row, earlier row, status) of rows sorted by key and place in the corpus.
+
+    The status is SAME for equal sets; MORE where a line has as many candidates as asked for and there may be others.
+    Rows are compared with those one, two, three, ... places before; groups that are through drop out as the step grows.
+    """
+    key, n, place = group["key"], group["sizes"] >> 31, group["sizes"] & ((1 << 31) - 1)
+    bits, wide, a, doc, line = group["bits"].view(np.uint64), group["wide"], group["a"], group["doc"], group["line"]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    rank = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
-    active = np.flatnonzero((rank > 0) & group["wanted"])
-    found = np.zeros(len(key), np.int64)
-    out = [[], []]
+    sizes = np.diff(np.append(start, len(key)))
+    rank, size = np.arange(len(key)) - np.repeat(start, sizes), np.repeat(sizes, sizes)
+    weak = first * WEAK // FIRST
+    found = np.where(group["wanted"], 0, weak)
+    out = [[], [], []]
+    row = np.flatnonzero(size > 1)
+    # Nine times 64 bits is the most that a size is compared with.
+    small = np.minimum(n, 600).astype(np.int16)
+    own_rank, own_bits, own_n = rank[row].astype(np.int32), bits[row], small[row]
     gap = 1
-    while len(active):
-        other = active - gap
-        both = n[active] + n[other]
+    while gap < len(row):
+        # A bound that contiguous arrays tell quickly; the exact tests follow for the few rows it leaves.
+        apart = np.bitwise_count(own_bits[gap:] ^ own_bits[:-gap])
+        hit = np.flatnonzero((apart.astype(np.int16) * np.int16(9) <= own_n[gap:] + own_n[:-gap]) & (own_rank[gap:] >= gap))
+        x, y, apart = row[hit + gap], row[hit], apart[hit].astype(np.int64)
+        both = n[x] + n[y]
         needed = (4 * both + 8) // 9
-        room = 1 + np.minimum(n[active] - place[active], n[other] - place[other]) - 1
-        apart = np.bitwise_count(bits[active] ^ bits[other]).astype(np.int64)
-        alike = (np.minimum(n[active], n[other]) >= needed) & (room >= needed) & (both - 2 * needed >= apart)
-        out[0].append(active[alike])
-        out[1].append(other[alike])
-        found[active[alike]] += 1
+        long_ = np.flatnonzero((n[x] >= LONG) & (n[y] >= LONG))
+        apart[long_] = np.bitwise_count(wide[x[long_]] ^ wide[y[long_]]).sum(1, dtype=np.int64)
+        room = np.minimum(n[x] - place[x], n[y] - place[y])
+        same = (a[x] == a[y]) & (n[x] == n[y])
+        # Where not even one word may differ only equal sets are similar.
+        alike = same | ((n[x] >= 4) & (both > 2 * needed) & (np.minimum(np.minimum(n[x], n[y]), room) >= needed) & (both - 2 * needed >= apart))
+        alike &= ((doc[x] != doc[y]) | (line[x] != line[y])) & (found[x] < weak)
+        x, y, same, strong = x[alike], y[alike], same[alike], (2 * apart <= both - 2 * needed)[alike]
+        # A strong candidate counts as much as several weak ones; equal sets end the search.
+        found[x] += np.where(same, 1 << 62, np.where(strong, WEAK // FIRST, 1))
+        out[0].append(x)
+        out[1].append(y)
+        out[2].append(same)
         gap += 1
-        active = active[(rank[active] >= gap) & (found[active] < first)]
-    later, earlier = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-    return later, earlier, found[later] >= first
+        if gap & (gap - 1) == 0:
+            open_ = np.add.reduceat((found < weak).astype(np.int64), start) > 0
+            row = np.flatnonzero((size > gap) & np.repeat(open_, sizes))
+            own_rank, own_bits, own_n = rank[row].astype(np.int32), bits[row], small[row]
+    later, earlier, same = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+    return later, earlier, np.where(same.astype(bool), SAME, np.where(found[later] >= weak, MORE, PAIR))
 
 
-def candidates(heads: DataFrame, first: int = FIRST) -> DataFrame:
-    """(doc_id, line, other_doc, other_line, more): pairs of lines of one key that no filter rules out."""
-    names = ["key", "doc_id", "line", "n", "bits", "place", "wanted"]
+def _wide(column: pa.Array) -> np.ndarray:
+    """The long lines' bitmaps as rows of four numbers, zeros elsewhere."""
+    out = np.zeros((len(column), 4), np.uint64)
+    present = column.is_valid().to_numpy(zero_copy_only=False)
+    if present.any():
+        long_ = column.drop_null()
+        first = np.frombuffer(long_.buffers()[1], np.int32)[long_.offset]
+        out[present] = np.frombuffer(long_.buffers()[2], np.uint8)[first : first + 32 * len(long_)].view(np.uint64).reshape(-1, 4)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            group = {c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in names}
-            later, earlier, more = _near(group, first)
+def candidates(rows: DataFrame, first: int = FIRST) -> DataFrame:
+    """(doc_id, line, other_doc, other_line, status, key): pairs of lines of one key that no filter rules out.
+
+    The key is given for the status MORE, 0 elsewhere.
+    """
+    names = ["key", "doc", "line", "sizes", "bits", "a", "wanted"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(doc, line, other_doc, other_line, status, key):
             return pa.RecordBatch.from_arrays(
-                [pa.array(group["doc_id"][later]), pa.array(group["line"][later]), pa.array(group["doc_id"][earlier]), pa.array(group["line"][earlier]), pa.array(more)],
-                ["doc_id", "line", "other_doc", "other_line", "more"],
+                [pa.array(doc), pa.array(line), pa.array(other_doc), pa.array(other_line), pa.array(status, pa.int32()), pa.array(key, pa.int64())],
+                ["doc_id", "line", "other_doc", "other_line", "status", "key"],
             )
 
+        def pairs(group: dict[str, np.ndarray]) -> pa.RecordBatch:
+            later, earlier, status = _near(group, first)
+            cut_short = np.where(status == MORE, group["key"][later], 0)
+            return out(group["doc"][later], group["line"][later], group["doc"][earlier], group["line"][earlier], status, cut_short)
+
+        held: list[dict[str, np.ndarray]] = []
+        size, enough = 0, AT_ONCE
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            # All but the last key of the batch is whole.
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield pairs([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield pairs(held)
-
-    spread = heads.select("doc_id", "line", "n", "bits", "wanted", F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    dealt = spread.select(F.col("k.keys").alias("key"), "doc_id", "line", "n", "bits", F.col("k.places").alias("place"), "wanted")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "doc_id", "line")
-    return dealt.mapInArrow(run, "doc_id bigint, line int, other_doc bigint, other_line int, more boolean")
+            own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {"wide": _wide(batch.column("wide"))}
+            done = own["sizes"] == 0
+            if done.any():
+                doc, line = own["doc"][done], own["line"][done]
+                yield out(doc, line, doc, line, np.full(len(doc), SAME), np.zeros(len(doc)))
+                own = {c: x[~done] for c, x in own.items()}
+            held.append(own)
+            size += len(own["key"])
+            if size >= enough:
+                group = {c: np.concatenate([p[c] for p in held]) for c in own}
+                # All but the last key is whole.
+                cut = int(np.searchsorted(group["key"], group["key"][-1], "left"))
+                if cut:
+                    yield pairs({c: x[:cut] for c, x in group.items()})
+                held = [{c: x[cut:] for c, x in group.items()}]
+                size -= cut
+                enough = max(AT_ONCE, 2 * size)
+        if size:
+            yield pairs({c: np.concatenate([p[c] for p in held]) for c in held[0]})
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "doc", "line")
+    return ordered.mapInArrow(run, "doc_id bigint, line int, other_doc bigint, other_line int, status int, key bigint")
 
 
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -254,21 +360,26 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): per document that loses lines their numbers, from 0, in order."""
-    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    lines = materialize(describe(docs, count_words(docs)), "lines")
-    whole = F.min(F.struct("doc_id", "line", "n", "bits", "keys", "places"))
-    heads = materialize(lines.groupBy("a", "b").agg(whole.alias("h")).select("h.*"), "line-heads")
-    copies = lines.select("doc_id", "line").join(heads.select("doc_id", "line"), ["doc_id", "line"], "left_anti")
-    pairs = materialize(candidates(heads.withColumn("wanted", F.lit(True))).distinct(), "line-pairs")
-    alike = materialize(verified(docs, pairs.drop("more").distinct()), "line-matches")
-    open_ = pairs.filter("more").select("doc_id", "line").distinct().join(alike, ["doc_id", "line"], "left_anti")
-    open_ = materialize(open_, "line-open")
-    if not open_.isEmpty():
-        marked = heads.join(open_.withColumn("wanted", F.lit(True)), ["doc_id", "line"], "left").fillna(False, ["wanted"])
-        rest = candidates(marked, first=1 << 62).drop("more").distinct()
-        alike = alike.union(verified(docs, materialize(rest, "line-rest")))
-    gone = copies.union(alike).distinct()
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    place = ["doc_id", "line"]
+    with tidy(docs.sparkSession):
+        classes = count_words(docs)
+        found = materialize(candidates(dealt(docs, classes).withColumn("wanted", F.lit(True))), "line-pairs")
+        gone = found.filter(F.col("status") == SAME).select(*place).distinct()
+        pairs = found.filter(F.col("status") != SAME).join(gone, place, "left_anti")
+        pairs = materialize(pairs, "line-open")
+        alike = materialize(verified(docs, pairs.drop("status", "key").distinct()), "line-matches")
+        more = pairs.filter(F.col("status") == MORE).select(*place, "key").distinct().join(alike, place, "left_anti")
+        more = materialize(more, "line-more")
+        if not more.isEmpty():
+            # Only the keys whose search was cut short are dealt again.
+            keys = broadcast_if_small(more.select("key").distinct(), 64)
+            asked = broadcast_if_small(more.select(F.col("doc_id").alias("doc"), "line", F.lit(True).alias("wanted")).distinct(), 64)
+            again = dealt(docs, classes).filter("sizes > 0").join(keys, "key", "left_semi")
+            marked = again.join(asked, ["doc", "line"], "left").fillna(False, ["wanted"])
+            rest = candidates(marked, first=1 << 40).filter(F.col("status") != SAME).drop("status", "key").distinct()
+            alike = alike.union(materialize(verified(docs, materialize(rest, "line-rest")), "line-matches"))
+    return gone.union(alike).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
 def dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
