@@ -162,7 +162,7 @@ def _lines(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[dic
             words = fresh[first:last]
             held.append((ids[row[words]], number[words], mix(np.add.reduceat(mix(tokens), starts)), np.diff(np.append(starts, len(tokens))), tokens))
             size += len(tokens)
-        if size > 1_500_000:
+        if size > 700_000:
             yield whole()
             held, size = [], 0
     if held:
