@@ -20,6 +20,10 @@ from corpuscle.operators.ordering import top_k
 # batch they were multiplied in; ties go to the lower id.
 SIMILARITY_DIGITS = 9
 _QUERIES_PER_PRODUCT = 512
+# The approximate search chooses its radius so that a sample of so many queries and chunks reaches this recall.
+RECALL = 0.92
+_SAMPLE_QUERIES = 256
+_SAMPLE_CHUNKS = 20000
 
 
 def _best_rows(k: int, digits: int, radius: int | None):
@@ -199,6 +203,45 @@ def cell_bits(chunks: int, per_cell: int = 20000) -> int:
     return min(16, max(4, math.ceil(math.log2(max(1, chunks / per_cell)))))
 
 
+def recall_radius(q: DataFrame, indexed: DataFrame, k: int, query_vector: str, id_col: str, vector: str, bits: int) -> int:
+    """The smallest radius at which a sample of the queries finds `RECALL` of its nearest chunks.
+
+    Of a share of the chunks as large a share of k is asked for, one at least: those lie as far away as the k nearest of all, or
+    farther, which errs towards the wider radius. Up to `_SAMPLE_CHUNKS` chunks the sample is the whole.
+    """
+    import numpy as np
+
+    n = indexed.count()
+    some = indexed if n <= _SAMPLE_CHUNKS else indexed.filter(F.pmod(F.xxhash64(id_col), F.lit(math.ceil(n / _SAMPLE_CHUNKS))) == 0)
+    asked = q.select(F.col(query_vector).alias("v"), "cell").orderBy(F.xxhash64(query_vector)).limit(_SAMPLE_QUERIES).toPandas()
+    found = some.select(F.col(vector).alias("v"), "cell").toPandas()  # some _SAMPLE_CHUNKS rows
+    if not len(asked) or not len(found):
+        return bits
+    a, b = (np.vstack(x["v"].to_numpy()).astype("float64") for x in (asked, found))
+    sizes_a, sizes_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    used_a, used_b = sizes_a > 0, sizes_b > 0
+    if not used_a.any() or not used_b.any():
+        return bits
+    sims = (a[used_a] / sizes_a[used_a, None]) @ (b[used_b] / sizes_b[used_b, None]).T
+    near = min(sims.shape[1], math.ceil(k * len(found) / n))
+    top = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+    cells_a, cells_b = (x["cell"].to_numpy().astype("int64")[used] for x, used in ((asked, used_a), (found, used_b)))
+    apart = np.bitwise_count(cells_a[:, None] ^ cells_b[top])
+    return next(r for r in range(bits + 1) if r == bits or (apart <= r).mean() >= RECALL)
+
+
+def cells_within(probed: list[int], bits: int, radius: int) -> list[int]:
+    """All cells that differ from one of the probed in at most `radius` bits."""
+    import numpy as np
+
+    reached = np.zeros(1 << bits, bool)
+    reached[probed] = True
+    at = np.arange(1 << bits)
+    for _ in range(min(radius, bits)):
+        reached = np.logical_or.reduce([reached, *(reached[at ^ (1 << b)] for b in range(bits))])
+    return np.flatnonzero(reached).tolist()
+
+
 def vector_topk_ann(
     queries: DataFrame,
     indexed: DataFrame,
@@ -208,16 +251,19 @@ def vector_topk_ann(
     id_col: str = "id",
     vector: str = "embedding",
     bits: int = 8,
-    radius: int = 2,
+    radius: int | None = None,
     seed: int = 7,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Top-k among the chunks whose cell differs from the query's in at most `radius` bits.
 
-    Similarities are exact; only the candidates are approximate.
+    Similarities are exact; only the candidates are approximate. Without a radius `recall_radius` measures the one that the
+    vectors need: where they have no near neighbours, most cells are read.
     """
     q = with_cell(queries, query_vector, bits, seed)
     probed = [r[0] for r in q.select("cell").distinct().collect()]  # at most 2 ** bits rows
-    cells = [c for c in range(1 << bits) if any((c ^ p).bit_count() <= radius for p in probed)]
+    if radius is None:
+        radius = recall_radius(q, indexed, k, query_vector, id_col, vector, bits)
+    cells = cells_within(probed, bits, radius)
     near = indexed.filter(F.col("cell").isin(cells))
     return _topk(q, near, k, keys, query_vector, id_col, vector, settings, "cell", radius)

@@ -66,3 +66,17 @@ def test_approximate(spark, settings):
     assert len(near & exact) / len(exact) > 0.6
     everything = {(r.qid, r.id) for r in vector_topk_ann(queries, index, 10, bits=6, radius=6, settings=settings).collect()}
     assert everything == exact
+
+
+@pytest.mark.parametrize("bits", [8, 12])
+def test_recall_at_the_registered_k(spark, bits):
+    """Vectors without any near neighbours: the radius is chosen so that 0.9 of the 40 nearest are found."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((600, 64)))]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = chunks.limit(100).selectExpr("concat('q', id) AS qid", "embedding AS vec")
+    settings = Settings(embedding_dimensions=64)
+    exact = {(r.qid, r.id) for r in vector_topk(queries, chunks, 40, settings=settings).collect()}
+    found = {(r.qid, r.id) for r in vector_topk_ann(queries, with_cell(chunks, "embedding", bits), 40, bits=bits, settings=settings).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+    assert len(found) == len(exact)
