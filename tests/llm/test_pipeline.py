@@ -70,6 +70,32 @@ def test_near_duplicates_go_where_no_line_repeats(spark, planted):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, planted[0]).collect()) == [1, 3]
 
 
+def test_edited_copies_go(spark, planted):
+    """Copies with some words changed, of similarity 0.8 and more, go; those below stay."""
+    rnd = random.Random(8)
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rows, gone = [], set()
+    for group in range(12):
+        first = words(rnd, "abcdefgh", 200)
+        rows.append((len(rows), first, "en", "web", 1))
+        for edits in (1, 2, 3, 4, 10, 20):
+            edited = first.split()
+            for at in rnd.sample(range(5, 195), edits):
+                edited[at] = f"edit{group}x{edits}x{at}"
+            a, b = shingles(first), shingles(" ".join(edited))
+            alike = len(a & b) / len(a | b) >= 0.8
+            assert alike == (edits <= 4)
+            gone |= {len(rows)} if alike else set()
+            rows.append((len(rows), " ".join(edited), "en", "web", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, planted[0]).collect()}
+    assert kept == {r[0] for r in rows} - gone
+
+
 def test_empty_tables(spark, planted, tmp_path):
     docs = spark.read.parquet(f"{planted[0]}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
