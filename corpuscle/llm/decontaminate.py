@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared as lower-cased words (runs of letters and digits). A document that shares a run of `SEED` words with a
+Texts are compared as lower-cased words (runs of letters, digits and marks of any script; single characters in scripts without blanks). A document that shares a run of `SEED` words with a
 test item is a candidate; tiling then marks the longest matches first, each word once on either side, until no match of `SEED`
 words is left. Matches come from rolling hashes of `SEED` words: runs of equal ones on a diagonal are the maximal matches, and
 a match that runs into marked words is cut and put back. Passages count in any order, so a reordered item is caught. A
@@ -17,7 +17,9 @@ input do not matter and are kept by `clean`.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +28,44 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.arrays import flat, in_words, lowered, prefix_hashes, rows_of, slices, sliding, span_hashes, spans
+from corpuscle.llm.arrays import flat, in_words, prefix_hashes, rows_of, slices, sliding, span_hashes, spans
 
 SEED = 5
 THRESHOLD = 0.8
 BLOCK_CHARS = 8 << 20
+SEPARATOR, LETTER, ALONE = 0, 1, 2
+# Thai, Lao, Myanmar, Khmer, kana and ideographs: each character is a word.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF),
+)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Per code point: SEPARATOR, LETTER (letters, digits and their marks), or ALONE in scripts without blanks."""
+    kinds = np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)), np.uint8, 0x110000)
+    for first, last in UNSPACED:
+        kinds[first : last + 1] *= np.uint8(ALONE)
+    return kinds
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts in a row, and the n + 1 offsets of the texts in them."""
-    data, offsets = flat(pa.array([t.lower() for t in texts], pa.large_string()))
-    starts, ends = spans(in_words(lowered(data)), offsets)
+    low = [t.lower() for t in texts]
+    joined = "".join(low)
+    offsets = np.cumsum([0, *map(len, low)])
+    # A character of ASCII has the same hash either way.
+    if joined.isascii():
+        data = np.frombuffer(joined.encode(), np.uint8)
+        starts, ends = spans(in_words(data), offsets)
+    else:
+        data = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _kinds()[data]
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == ALONE)
+        cut[offsets] = True
+        starts, ends = np.flatnonzero(cut[:-1] & (kind != SEPARATOR)), np.flatnonzero(cut[1:] & (kind != SEPARATOR)) + 1
     return span_hashes(prefix_hashes(data), starts, ends), np.searchsorted(starts, offsets)
 
 

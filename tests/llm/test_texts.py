@@ -151,6 +151,16 @@ def greedy_tiles(a, b, least):
         used_b[j : j + k] = [True] * k
 
 
+def test_leaks_in_other_scripts_and_punctuation(spark):
+    chinese, thai = "床前明月光，疑是地上霜。举头望明月，低头思故乡。", "ทุกคนมีสิทธิเท่าเทียมกันตามกฎหมาย"
+    quoted = 'the "old" bridge - built by monks - still carries the whole road'
+    items = spark.createDataFrame([(1, chinese), (2, thai), (3, quoted)], "item_id bigint, text string")
+    styled = quoted.replace(' "', " “").replace('" ', "” ").replace(" - ", "—").replace("whole road", "whole\u00a0road")
+    texts = ["前文" + chinese.replace("，", "、") + "后文", "ก" + thai + "ข", f"»{styled}«", "床前明日光，天上人间。", "ทุกวันไปตลาด", "the old road was built", "été: " + quoted]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()) == [(0, 1), (1, 2), (2, 3), (6, 3)]
+
+
 def test_tiles_as_defined():
     import numpy as np
 
