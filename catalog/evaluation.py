@@ -230,16 +230,23 @@ def read_golden(spark, d):
     return rows.select("qid", "question", "scope", "expected_source_file", first, F.size("history").alias("pairs"))
 
 
+def run_parts(results, total, per_part=10000):
+    """Rows of a run file (run_id, results, part): a run's results in parts of about `per_part` of the rows, however large the run."""
+    one = F.struct(
+        F.col("qid").alias("id"), "scope", F.struct("recall", "selected_count").alias("retrieval"), F.struct("refused", "citation_file_count").alias("generation")
+    )
+    number = F.pmod(F.xxhash64("qid"), F.lit(total // per_part + 1))
+    runs = results.groupBy(F.col("source").alias("run_id"), number.alias("number")).agg(F.collect_list(one).alias("results"))
+    return runs.select("run_id", "results", F.concat_ws("-", "run_id", "number").alias("part"))
+
+
 @query("read_runs", f"""WITH {RESULTS} SELECT d.source AS run_id, r.qid, r.scope, round(r.recall, 6) AS recall, r.selected_count, r.refused, r.citation_file_count
     FROM results r JOIN documents d ON r.qid = 'q' || d.doc_id""")
 def read_runs(spark, d):
-    """One run file per source, as a run is stored, read as a row per question."""
+    """A run per source in files of bounded parts, read as a row per question."""
     path = scratch_path(spark, "run-files")
     r = results(spark, d).join(table(spark, d, "documents").select(F.concat(F.lit("q"), "doc_id").alias("qid"), "source"), "qid")
-    one = F.struct(
-        F.col("qid").alias("id"), "scope", F.struct("recall", "selected_count").alias("retrieval"), F.struct("refused", "citation_file_count").alias("generation")
-    )
-    runs = r.groupBy("source").agg(F.collect_list(one).alias("results")).select(F.col("source").alias("run_id"), "results", F.col("source").alias("part"))
+    runs = run_parts(r, table(spark, d, "documents").count())
     runs.write.partitionBy("part").json(path)
     columns = ("run_id", "qid", "scope", F.round("recall", 6).alias("recall"), "selected_count", "refused", "citation_file_count")
     return readers.read_runs(spark, path).select(*columns)

@@ -79,3 +79,18 @@ def test_write_run(spark, tmp_path):
     assert run.endswith("Z-label")
     values = {(r.section, r.name): r.value for r in spark.read.json(str(tmp_path / "values")).collect()}
     assert values["summary", "mean_recall"] == "0.5" and values["config", "k"] == "40"
+
+
+def test_a_large_run_is_written_in_parts(spark, tmp_path):
+    from catalog.evaluation import run_parts
+    from corpuscle.sources import readers
+
+    r = spark.range(3000).selectExpr(
+        "concat('q', id) AS qid", "'in_corpus' AS scope", "if(id % 10 < 9, 'hot', 'rare') AS source", "1.0D AS recall", "id AS selected_count",
+        "false AS refused", "1L AS citation_file_count",
+    )
+    runs = run_parts(r, 3000, per_part=100)
+    assert runs.selectExpr("max(size(results))").first()[0] < 200
+    runs.write.partitionBy("part").json(str(tmp_path / "runs"))
+    back = readers.read_runs(spark, str(tmp_path / "runs"))
+    assert {(x["run_id"], x["qid"]) for x in back.collect()} == {(x["source"], x["qid"]) for x in r.collect()} and back.count() == 3000
