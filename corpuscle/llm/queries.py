@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash, sql, suffix_dedup
+from corpuscle.config import scratch_path
+from corpuscle.llm import (
+    compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash, sql, suffix_dedup, token_grammar,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +97,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_token_output")
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    token_grammar.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    found = token_grammar.read_tokens(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
