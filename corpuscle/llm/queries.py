@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.config import scratch_path
 from corpuscle.llm import (
-    compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash, sql, suffix_dedup, token_grammar,
+    compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash, sql, suffix_dedup, token_grammar, turn_repair,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,17 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_grammar.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     found = token_grammar.read_tokens(spark, path)
     return found.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+@query("op12_turn_repair")
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are damaged by the hash of their place first, so that there is something to repair."""
+    known = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", *known, (F.crc32(place.cast("binary")) % 20).alias("fault"))
+    fault = F.col("fault")
+    damaged = turns.withColumns({
+        "role": F.when(fault == 4, "user").otherwise(F.col("role")),
+        "text": F.when(fault.isin(0, 1), "").when(fault == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+    })
+    return turn_repair.repair(damaged, F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1))
