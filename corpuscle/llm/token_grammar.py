@@ -7,7 +7,7 @@ Parquet table: document ids, tokens and symbols per document, the rules (two sym
 expands, and the symbols. `read_tokens` decodes all documents; `read_range` decodes any run of token positions and
 expands only the symbols that cover it.
 
-Re-Pair takes the most frequent pair first. Here a round takes all pairs down to a sixteenth of the most frequent one's
+Re-Pair takes the most frequent pair first. Here a round takes all pairs down to a 64th of the most frequent one's
 count at once; where two of them overlap the more frequent one wins, and in a run of one symbol every second pair. Counts
 are exact and of the whole shard.
 
@@ -24,8 +24,9 @@ of the text, and repeated rows stay; an empty table gives no shard; other column
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.arrays import slices
+from corpuscle.llm.arrays import flat, slices
 from corpuscle.operators.ordering import running_before
 
 SHARD_TOKENS = 8 << 20
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 64 << 20
 # A rule pays for itself (two symbols and a length) after a few uses; below this the gain is not worth a round.
 LEAST_USES = 32
-ROUND_RATIO = 16
-_STRETCH = 32 << 20
-_CACHED_WORDS = 1 << 18
+ROUND_RATIO = 64
+_STRETCH = 16 << 20
+_CACHED_WORDS = 1 << 19
 _TABLE_BITS = 18
-_STOPS = frozenset(".,;:!?")
+# Marks that compose with ASCII letters, and the sign that special tokens hold.
+_CASE_MATTERS = "[\u0300-\u036f]|\\|"
 
 
 class WordTokens:
@@ -57,57 +59,60 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.by_word = by_word
-        self.known: dict[str, list[int]] = {}
+        self._forget()
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("q")
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids per word. Words of letters only are one piece each, so many go in one call, told apart by the piece number."""
-        alone = [w for w in words if not w.isalpha()]
-        out = dict(zip(alone, self._encode(alone), strict=True))
+    def _append(self, words: list[str], ids: list[int], ends: list[int]) -> None:
+        base = len(self.ids)
+        self.places.update(zip(words, range(len(self.ends), len(self.ends) + len(words)), strict=True))
+        self.ids.extend(ids)
+        self.ends.extend([base + e for e in ends])
+
+    def _learn_one_by_one(self, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        self._append(words, list(chain.from_iterable(found)), list(accumulate(map(len, found))))
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters only are one piece each, so many go in one call, told apart by the piece number."""
+        self._learn_one_by_one([w for w in words if not w.isalpha()])
         joined = [w for w in words if w.isalpha()]
         for start in range(0, len(joined), 1000):
             some = joined[start : start + 1000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, pieces = found.ids, np.array(found.word_ids, np.int64)
-            cuts = np.searchsorted(pieces, np.arange(len(some) + 1)).tolist()
+            pieces = np.array(found.word_ids, np.int64)
             if not len(pieces) or pieces[-1] != len(some) - 1:  # lower case may add a mark, which is a piece of its own
-                out.update(zip(some, self._encode(some), strict=True))
+                self._learn_one_by_one(some)
             else:
-                out.update((w, ids[cuts[i] : cuts[i + 1]]) for i, w in enumerate(some))
-        return [out[w] for w in words]
-
-    def _learn(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words; a stop after an ASCII letter is a token of its own, so it is tokenised apart from its word."""
-        if len(self.known) > _CACHED_WORDS:
-            self.known = {}
-        # Lower case is the tokenizer's own first step; "|" may be part of a special token, whose case matters.
-        plain = [w.lower() if w.isascii() and "|" not in w else w for w in words]
-        stops = ["" if len(w) < 2 or w[-1] not in _STOPS or not (w[-2].isascii() and w[-2].isalpha()) else w[-1] for w in plain]
-        stems = [w[:-1] if s else w for w, s in zip(plain, stops, strict=True)]
-        missing = list({*stems, *_STOPS} - self.known.keys())
-        self.known.update(zip(missing, self._encode_words(missing), strict=True))
-        known = self.known
-        return [known[w] + known[s] if s else known[w] for w, s in zip(stems, stops, strict=True)]
+                self._append(some, found.ids, np.searchsorted(pieces, np.arange(1, len(some) + 1)).tolist())
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the n + 1 offsets of the texts in them."""
         if not self.by_word:
-            found = self._encode(texts.to_pylist())
+            found = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), np.concatenate(([0], np.cumsum(lengths)))
-        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        # Fewer distinct words: lower case is the tokenizer's own step, but comes after composition of marks and after its
+        # special tokens; stops after an ASCII letter and before white space are a piece of their own.
+        data, offsets = flat(texts)  # from offset zero: ascii_lower misreads slices
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.copy()), pa.py_buffer(data))
+        texts = pc.if_else(pc.match_substring_regex(texts, _CASE_MATTERS), texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([a-z])([.,;:!?]+)(\s|$)", r"\1 \2\3"))
         distinct = words.flatten().dictionary_encode()
-        found = self._learn(distinct.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        begins = np.cumsum(lengths) - lengths
+        offsets = np.asarray(words.offsets) - words.offsets[0].as_py()
+        values = distinct.dictionary.to_pylist()
+        if len(self.places) > _CACHED_WORDS:
+            self._forget()
+        self._learn([w for w in values if w not in self.places])
+        place = np.fromiter(map(self.places.__getitem__, values), np.int64, len(values))
+        ends, known = np.array(self.ends, np.int64), np.array(self.ids, np.uint32)
+        lengths, begins = np.diff(ends, prepend=0)[place], np.concatenate(([0], ends))[place]
         at = distinct.indices.to_numpy()
         ends = np.cumsum(lengths[at])
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(begins[at] - (ends - lengths[at]), lengths[at])]
-        offsets = np.asarray(words.offsets) - words.offsets[0].as_py()
+        ids = known[np.arange(total) + np.repeat(begins[at] - (ends - lengths[at]), lengths[at])]
         return ids, np.concatenate(([0], ends))[offsets]
 
 
