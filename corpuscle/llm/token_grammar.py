@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from corpuscle.llm.arrays import flat, slices
 from corpuscle.operators.ordering import running_before
 
-SHARD_TOKENS = 8 << 20
+SHARD_TOKENS = 4 << 20
 PARTITION_BYTES = 64 << 20
 # A rule pays for itself (two symbols and a length) after a few uses; below this the gain is not worth a round.
 LEAST_USES = 32
 ROUND_RATIO = 64
-_STRETCH = 16 << 20
-_CACHED_WORDS = 1 << 19
+_STRETCH = 8 << 20
+_CACHED_WORDS = 1 << 20
 _TABLE_BITS = 18
 # Marks that compose with ASCII letters, and the sign that special tokens hold.
 _CASE_MATTERS = "[\u0300-\u036f]|\\|"
@@ -126,7 +126,7 @@ def _pairs(symbols: np.ndarray, start: int, end: int) -> np.ndarray:
     return symbols[start:end].astype(wide) << wide(8 * symbols.dtype.itemsize) | symbols[start + 1 : end + 1]
 
 
-def pair_counts(symbols: np.ndarray, closed: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def pair_counts(symbols: np.ndarray, closed: np.ndarray, step: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of neighbouring symbols, where the first is not `closed`, and how often each occurs."""
     keys, counts = [], []
     for start in range(0, len(symbols) - 1, step):
