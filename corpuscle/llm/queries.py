@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.config import scratch_path
 from corpuscle.llm import (
-    compression, decontaminate, html_text, langid, line_dedup, mixing, quality_rules, secrets, simhash, sql, suffix_dedup, token_grammar, turn_repair,
+    compression, decontaminate, html_text, langid, line_dedup, mixing, phrases, quality_rules, secrets, simhash, sql, suffix_dedup, token_grammar, turn_repair,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text": F.when(fault.isin(0, 1), "").when(fault == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
     })
     return turn_repair.repair(damaged, F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1))
+
+
+@query("op13_phrase_mining", sql.PHRASES)
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

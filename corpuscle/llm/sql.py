@@ -108,3 +108,33 @@ FROM judged
 
 
 QUALITY = _quality()
+
+PHRASES = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+sized AS (SELECT lang, ws, unnest([1, 2, 3, 4]) AS k FROM listed),
+grams AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS p
+  FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM sized WHERE len(ws) >= k)),
+f AS (SELECT lang, k, p, count(*) AS c FROM grams GROUP BY ALL),
+cand AS (SELECT lang, k, p, c AS a, string_split(p, ' ') AS ws FROM f WHERE k >= 2 AND c >= 30),
+cuts AS (SELECT lang, p, k, a, ws, unnest(range(1, k)) AS cut FROM cand),
+judged AS (
+  SELECT cuts.lang, cuts.p, cuts.a, cut, x.c AS l, y.c AS r, (2000000::HUGEINT * cuts.a) // (x.c::HUGEINT + y.c) AS score
+  FROM cuts
+  JOIN f x ON x.lang = cuts.lang AND x.k = cut AND x.p = array_to_string(ws[1:cut], ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.k = cuts.k - cut AND y.p = array_to_string(ws[cut + 1:cuts.k], ' ')),
+lowest AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+held AS (
+  SELECT lang, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS p, max(a) AS longer
+  FROM (SELECT lang, ws, a, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM cand WHERE k > 2))
+  GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN held USING (lang, p) WHERE longer IS NULL OR longer::HUGEINT * 100 < lowest.a::HUGEINT * 80),
+totals AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase,
+  a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
