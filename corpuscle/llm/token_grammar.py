@@ -59,6 +59,10 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.by_word = by_word
+        # Where a run of small ASCII letters reaches the model as it is, such words can be given to the model itself.
+        t, letters = self.tokenizer, "abcdefghijklmnopqrstuvwxyz"
+        normal = t.normalizer.normalize_str(letters) if t.normalizer else letters
+        self.plain = normal == letters and t.pre_tokenizer is not None and t.pre_tokenizer.pre_tokenize_str(letters) == [(letters, (0, len(letters)))]
         self._forget()
 
     def _forget(self) -> None:
@@ -79,6 +83,12 @@ class WordTokens:
         """Words of letters only are one piece each, so many go in one call, told apart by the piece number."""
         self._learn_one_by_one([w for w in words if not w.isalpha()])
         joined = [w for w in words if w.isalpha()]
+        if self.plain:
+            model = self.tokenizer.model
+            small = [w for w in joined if w.isascii() and w.islower()]
+            found = [[token.id for token in model.tokenize(w)] for w in small]
+            self._append(small, list(chain.from_iterable(found)), list(accumulate(map(len, found))))
+            joined = [w for w in joined if not (w.isascii() and w.islower())]
         for start in range(0, len(joined), 1000):
             some = joined[start : start + 1000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -102,7 +112,7 @@ class WordTokens:
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([a-z])([.,;:!?]+)(\s|$)", r"\1 \2\3"))
         distinct = words.flatten().dictionary_encode()
         offsets = np.asarray(words.offsets) - words.offsets[0].as_py()
-        values = distinct.dictionary.to_pylist()
+        values = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.places) > _CACHED_WORDS:
             self._forget()
         self._learn([w for w in values if w not in self.places])
