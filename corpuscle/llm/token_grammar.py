@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from corpuscle.llm.arrays import flat, slices
 from corpuscle.operators.ordering import running_before
 
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 5 << 19
 PARTITION_BYTES = 64 << 20
 # A rule pays for itself (two symbols and a length) after a few uses; below this the gain is not worth a round.
 LEAST_USES = 32
 ROUND_RATIO = 64
 _STRETCH = 8 << 20
-_CACHED_WORDS = 1 << 20
+_CACHED_WORDS = 1 << 19
 _TABLE_BITS = 18
 # Marks that compose with ASCII letters, and the sign that special tokens hold.
 _CASE_MATTERS = "[\u0300-\u036f]|\\|"
@@ -175,7 +175,7 @@ def _places(symbols: np.ndarray, closed: np.ndarray, pairs: np.ndarray, step: in
         keys = _pairs(symbols, start, end)
         near = table[_slots(keys)]
         hit = np.flatnonzero((pairs[near] == keys) & ~closed[start:end])
-        at.append(hit + start)
+        at.append((hit + start).astype(np.int32))
         which.append(near[hit])
     return np.concatenate(at), np.concatenate(which)
 
@@ -185,9 +185,10 @@ def _settle(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     follows = np.concatenate(([False], at[1:] == at[:-1] + 1))
     # One rank next to itself is a run of one symbol: every second place counts, from the left.
     same = follows & np.concatenate(([False], rank[1:] == rank[:-1]))
-    index = np.arange(len(at))
-    since = index - np.maximum.accumulate(np.where(same, 0, index))
-    open_ = np.flatnonzero(since % 2 == 0)
+    index = np.arange(len(at), dtype=np.int32)
+    since = index - np.maximum.accumulate(np.where(same, np.int32(0), index))
+    open_ = np.flatnonzero(since % 2 == 0).astype(np.int32)
+    del follows, same, index, since
     taken = []
     # Chains of ever better ranks settle from their ends; what is open after these steps waits for the next round.
     for _ in range(32):
@@ -202,7 +203,7 @@ def _settle(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
         gone[1:] |= wins[:-1] & joined
         gone[:-1] |= wins[1:] & joined
         open_ = open_[~gone]
-    return np.sort(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+    return np.sort(np.concatenate(taken)) if taken else np.zeros(0, np.int32)
 
 
 def compress(symbols: np.ndarray, closed: np.ndarray, vocabulary: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
