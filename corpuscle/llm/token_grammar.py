@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm.arrays import flat, slices
+from corpuscle.llm.storage import small_batches
 from corpuscle.operators.ordering import running_before
 
 SHARD_TOKENS = 5 << 19
@@ -43,8 +44,8 @@ PARTITION_BYTES = 64 << 20
 # A rule pays for itself (two symbols and a length) after a few uses; below this the gain is not worth a round.
 LEAST_USES = 32
 ROUND_RATIO = 64
-_STRETCH = 8 << 20
-_CACHED_WORDS = 1 << 19
+_STRETCH = 2 << 20
+_CACHED_WORDS = 1 << 18
 _TABLE_BITS = 18
 # Marks that compose with ASCII letters, and the sign that special tokens hold.
 _CASE_MATTERS = "[\u0300-\u036f]|\\|"
@@ -340,7 +341,8 @@ def write_tokens(
         if held:
             yield pack(ids, np.concatenate(lengths), np.concatenate(parts), vocabulary, number)
 
-    ordered.mapInArrow(encode, _schema(id_type)).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(encode, _schema(id_type)).write.parquet(path)
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
