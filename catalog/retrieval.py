@@ -15,6 +15,7 @@ from corpuscle.config import scratch_path
 from corpuscle.functions.questions import lexical_terms
 from corpuscle.operators import lexical as lx
 from corpuscle.operators import selection as sel
+from corpuscle.operators.centroids import search_lists, write_lists
 from corpuscle.operators.ordering import top_k
 from corpuscle.operators.vectors import vector_topk, vector_topk_ann, write_ann_index
 from corpuscle.plans.retrieve import contexts, negative_control, query_variants, retrieve
@@ -83,6 +84,47 @@ def vector_topk_ann_exact(spark, d):
     return asked.join(checked, "qid", "left").select("qid", F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
+@query("vector_topk_lists", ORACLE["vector_topk"])
+def vector_topk_lists(spark, d):
+    """The exact result through the k-means index: lists that cannot hold a nearer chunk are not read."""
+    rows = live(spark, d).select("id", "embedding")
+    path = scratch_path(spark, "vector-lists")
+    write_lists(rows, path)
+    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    return search_lists(q, path, rows.schema, 40, exact=True, settings=TEST).select("qid", "id", sim(), "rank")
+
+
+def recall_and_share(spark, rows, q):
+    """One row: recall@40 of the approximate search by lists, and the share of all chunks that a question is compared with."""
+    path = scratch_path(spark, "vector-lists")
+    write_lists(rows, path)
+    found = search_lists(q, path, rows.schema, 40, settings=TEST)
+    exact = vector_topk(q, rows, 40, settings=TEST).select("qid", "id", F.lit(1).alias("hit"))
+    per_question = found.groupBy("qid").agg(F.max("n_read").alias("n_read"))
+    hits = exact.join(found.select("qid", "id", F.lit(1).alias("found")), ["qid", "id"], "left")
+    recall = hits.agg(F.count("hit").alias("neighbours"), (F.count("found") / F.count("hit")).alias("recall"))
+    share = per_question.agg(F.count(F.lit(1)).alias("questions"), F.avg("n_read").alias("read"))
+    chunks_n = rows.agg(F.count(F.lit(1)).alias("n"))
+    return recall.join(share).join(chunks_n).select("questions", "neighbours", "recall", (F.col("read") / F.col("n")).alias("share"))
+
+
+@query("vector_lists_recall", "SELECT count(*) AS questions, true AS recalled FROM embeddings")
+def vector_lists_recall(spark, d):
+    """The given vectors, which have no near neighbours: nine tenths of the 40 nearest are found."""
+    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    return recall_and_share(spark, live(spark, d).select("id", "embedding"), q).select("questions", (F.col("recall") >= 0.9).alias("recalled"))
+
+
+@query("vector_lists_clustered", "SELECT count(*) AS questions, true AS recalled, true AS few_read FROM embeddings")
+def vector_lists_clustered(spark, d):
+    """Every vector drawn to the first one of its label: recall holds while under a third of the chunks is read."""
+    e = table(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("centre"))
+    near = e.join(first, "label").select("vec_id", F.zip_with("embedding", "centre", lambda x, c: x + 2 * c).alias("embedding"))
+    row = recall_and_share(spark, near.withColumnRenamed("vec_id", "id"), near.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")))
+    return row.select("questions", (F.col("recall") >= 0.9).alias("recalled"), (F.col("share") < 0.3).alias("few_read"))
+
+
 def variant_hits(spark, d):
     hits = vector_topk(query_vectors(spark, d), live(spark, d), 43, ("qid", "variant"), settings=TEST)
     others = hits.drop("rank").join(own_rows(spark, d), ["qid", "id"], "left_anti")
