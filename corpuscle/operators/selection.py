@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.config import DEFAULTS, Settings, broadcast_if_small
+from corpuscle.config import DEFAULTS, Settings, broadcast_if_small, materialize
 from corpuscle.functions.text import digit_density
 from corpuscle.operators.ordering import ranked, top_k
 
@@ -133,23 +133,50 @@ def selection_trace(
 # --- companions -----------------------------------------------------------------------------
 
 
+def _banded(rows: DataFrame, keep: int) -> DataFrame:
+    """Of rows sorted by file and falling density, those that fewer than `keep` denser rows of their file undercut in length.
+
+    One pass with the `keep` smallest lengths of the current file in memory.
+    """
+    import heapq
+
+    def scan(frames):
+        file, shortest = None, []
+        for pdf in frames:
+            kept = []
+            for f, n in zip(pdf["_file"].tolist(), pdf["_len"].tolist()):
+                if f != file:
+                    file, shortest = f, []
+                if len(shortest) < keep:
+                    heapq.heappush(shortest, -n)
+                    kept.append(True)
+                else:
+                    kept.append(n < -shortest[0])
+                    if kept[-1]:
+                        heapq.heapreplace(shortest, -n)
+            yield pdf[kept]
+
+    return rows.mapInPandas(scan, rows.schema)
+
+
 def companion_candidates(chunks: DataFrame, settings: Settings = DEFAULTS, file_col: str = "original_file_id") -> DataFrame:
-    """The rows of a file that any question could ever take as a companion.
+    """The rows of a file that any question could ever take as a companion: its skyband over density and length.
 
-    A question excludes at most `context_max_chunks` selected rows and its own earlier
-    picks. So among rows of one file and one length only the densest few can be chosen:
-    any later one is preceded by an equal-length row that fits just as well. This bounds
-    the candidates per file by lengths, not by rows, and depends on no question. Stored
-    `n_chars` and `digit_density` are used where the table has them; no text is read then.
+    A question excludes at most `context_max_chunks` selected rows and its own earlier picks. A row that as many denser
+    rows of no greater length precede can never be chosen: whenever it fits, one of them does. What is left per
+    file grows with the logarithm of its rows where the two are unrelated, and depends on no question. Tasks keep the
+    band of their own rows before any row is moved; the bands of a file are merged in one sorted pass. Stored `n_chars` and
+    `digit_density` are used where the table has them; no text is read then.
     """
-    excluded = max(settings.context_max_chunks, settings.context_min_chunks)
-    keep = excluded + settings.companion_max_total
+    keep = max(settings.context_max_chunks, settings.context_min_chunks) + settings.companion_max_total
     length = F.col("n_chars") if "n_chars" in chunks.columns else F.length("content")
     density = F.col("digit_density") if "digit_density" in chunks.columns else digit_density("content")
     slim = chunks.filter(F.col(file_col).isNotNull() & (length <= settings.context_char_budget)).select(
-        F.col(file_col).alias("_file"), "id", length.alias("_len"), density.alias("_density")
+        F.col(file_col).alias("_file"), "id", length.cast("bigint").alias("_len"), density.cast("double").alias("_density")
     )
-    return top_k(slim, ["_file", "_len"], [F.desc("_density"), F.asc("id")], keep).drop("rank")
+    order = [F.asc("_file"), F.desc("_density"), F.asc("id")]
+    own = _banded(slim.sortWithinPartitions(*order), keep)
+    return _banded(own.repartition("_file").sortWithinPartitions(*order), keep)
 
 
 def add_companions(
@@ -162,16 +189,12 @@ def add_companions(
     """Append up to three data-rich rows of the files of the top three chunks.
 
     `selected` has qid, id, position, n_chars, similarity and the file column; the result
-    adds `companion`. Candidates are walked by digit density; one that does not fit into
-    the rest of the character budget is skipped, not a stop. Only the eligible files'
-    chunks are read.
+    adds `companion`. Candidates are taken by digit density; one that does not fit into
+    the rest of the character budget is skipped, not a stop. What once did not fit never fits later, so each of the few
+    picks is the first fitting row after the one before: a minimum per question. Only the eligible files' chunks are read.
     """
     s = settings
-    used = selected.groupBy(qid).agg(
-        F.sum("n_chars").alias("_used"),
-        F.max("position").alias("_last"),
-        F.collect_list("id").alias("_present"),
-    )
+    used = selected.groupBy(qid).agg(F.sum("n_chars").alias("_used"), F.max("position").alias("_last"))
     eligible = (
         selected.filter((F.col("position") < s.companion_top_files) & F.col(file_col).isNotNull())
         .select(qid, F.col(file_col).alias("_file"))
@@ -179,36 +202,23 @@ def add_companions(
     )
     files = broadcast_if_small(eligible.select(F.col("_file").alias(file_col)).distinct(), 128, s)
     candidates = companion_candidates(chunks.join(files, file_col, "left_semi"), s, file_col)
-    pool = eligible.join(candidates, "_file").join(used, qid)
-    pool = pool.filter(
-        ~F.array_contains("_present", F.col("id"))
-        & (F.col("_len") <= F.greatest(s.context_char_budget - F.col("_used"), F.lit(0)))
-    )
-    walk = pool.groupBy(qid).agg(
-        F.first("_used").alias("_used"),
-        F.first("_last").alias("_last"),
-        F.array_sort(
-            F.collect_list(
-                F.struct((-F.col("_density")).alias("d"), F.col("id"), F.col("_len").alias("n"), F.col("_file").alias("f"))
-            )
-        ).alias("_walk"),
-    )
-    empty = F.array().cast(walk.schema["_walk"].dataType)
-
-    def step(state, candidate):
-        fits = (candidate["n"] <= state["left"]) & (F.size(state["picked"]) < s.companion_max_total)
-        return F.struct(
-            F.when(fits, state["left"] - candidate["n"]).otherwise(state["left"]).alias("left"),
-            F.when(fits, F.concat(state["picked"], F.array(candidate)))
-            .otherwise(state["picked"])
-            .alias("picked"),
-        )
-
-    budget = F.greatest(F.lit(s.context_char_budget) - F.col("_used"), F.lit(0)).cast("bigint")
-    start = F.struct(budget.alias("left"), empty.alias("picked"))
-    picked = walk.select(
-        qid, "_last", F.posexplode(F.aggregate("_walk", start, step)["picked"]).alias("_i", "_c")
-    ).select(
+    left = F.greatest(F.lit(s.context_char_budget) - F.col("_used"), F.lit(0)).cast("bigint")
+    budgets = used.select(qid, left.alias("_left"), "_last")
+    place = F.struct((-F.col("_density")).alias("d"), F.col("id"), F.col("_len").alias("n"), F.col("_file").alias("f"))
+    pool = eligible.join(candidates, "_file").join(selected.select(qid, "id"), [qid, "id"], "left_anti").select(qid, place.alias("_c"))
+    pool = materialize(pool.join(budgets, qid).filter(F.col("_c.n") <= F.col("_left")).select(qid, "_c"), "companion-pool")
+    state = budgets.withColumn("_after", F.lit(None).cast(pool.schema["_c"].dataType))
+    picks = None
+    for i in range(s.companion_max_total):
+        open_ = pool.join(state, qid).filter((F.col("_c.n") <= F.col("_left")) & (F.col("_after").isNull() | (F.col("_c") > F.col("_after"))))
+        best = open_.groupBy(qid, "_left", "_last").agg(F.min("_c").alias("_c"))
+        best = materialize(best.withColumn("_i", F.lit(i)), "companion-picks")
+        picks = best if picks is None else picks.unionByName(best)
+        state = best.select(qid, (F.col("_left") - F.col("_c.n")).alias("_left"), "_last", F.col("_c").alias("_after"))
+    kept = selected.select(qid, "id", "position", "n_chars", "similarity", file_col).withColumn("companion", F.lit(False))
+    if picks is None:
+        return kept
+    picked = picks.select(
         qid,
         F.col("_c.id").alias("id"),
         (F.col("_last") + 1 + F.col("_i")).alias("position"),
@@ -217,9 +227,6 @@ def add_companions(
         F.col("_c.f").alias(file_col),
         F.lit(True).alias("companion"),
     )
-    kept = selected.select(qid, "id", "position", "n_chars", "similarity", file_col).withColumn(
-        "companion", F.lit(False)
-    )
     return kept.unionByName(picked)
 
 

@@ -102,6 +102,20 @@ def test_companions(spark):
     assert tight.filter("companion").count() == 0
 
 
+def test_companion_band_is_small(spark):
+    """One file of many lengths: the band stays far below one row per length, and holds exactly the rows that few others beat."""
+    import random
+
+    rnd = random.Random(8)
+    s = dataclasses.replace(S, context_max_chunks=4, context_min_chunks=2, companion_max_total=3, context_char_budget=10**6)
+    rows = [(i, "f", rnd.randrange(1, 10**6), rnd.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, original_file_id string, n_chars int, digit_density double").repartition(5)
+    got = {r.id for r in sel.companion_candidates(df, s).collect()}
+    ordered = sorted(rows, key=lambda r: (-r[3], r[0]))
+    want = {r[0] for i, r in enumerate(ordered) if sum(o[2] <= r[2] for o in ordered[:i]) < 7}
+    assert got == want and len(got) < 120
+
+
 def test_companion_candidates_keep_what_any_question_needs(spark):
     """Brute force over random files: the bounded candidate set gives the same picks."""
     import random
