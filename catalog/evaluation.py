@@ -141,19 +141,41 @@ def results(spark, d):
     )
 
 
-@query("summarize", f"""WITH {RESULTS}, o AS (SELECT context_chars::DOUBLE AS x, row_number() OVER (ORDER BY context_chars) AS i, count(*) OVER () AS n FROM results),
+# Every fifth question is a colloquial one, and the labelled ones have grades.
+GRADED = f"""{RESULTS}, graded AS (SELECT * REPLACE (CASE WHEN d.doc_id % 5 = 0 THEN 'col-' || d.doc_id ELSE r.qid END AS qid),
+    CASE WHEN refused IS NOT NULL AND scope = 'in_corpus' THEN (context_chars % 5) / 4.0::DOUBLE END AS mention_coverage,
+    CASE WHEN refused IS NOT NULL AND citation_file_count > 0 THEN (context_chars % 3) / 2.0::DOUBLE END AS citation_precision,
+    CASE WHEN refused IS NOT NULL THEN context_chars % 101 END AS groundedness, CASE WHEN refused IS NOT NULL THEN context_chars % 7 END AS answers_question
+  FROM results r JOIN documents d ON r.qid = 'q' || d.doc_id)"""
+
+
+def graded(spark, d):
+    n, known = F.col("context_chars"), F.col("refused").isNotNull()
+    number = F.expr("cast(substring(qid, 2) as bigint)")
+    return results(spark, d).withColumns({
+        "qid": F.when(number % 5 == 0, F.concat(F.lit("col-"), number.cast("string"))).otherwise(F.col("qid")),
+        "mention_coverage": F.when(known & (F.col("scope") == "in_corpus"), (n % 5) / 4.0),
+        "citation_precision": F.when(known & (F.col("citation_file_count") > 0), (n % 3) / 2.0),
+        "groundedness": F.when(known, n % 101), "answers_question": F.when(known, n % 7),
+    })
+
+
+@query("summarize", f"""WITH {GRADED}, o AS (SELECT context_chars::DOUBLE AS x, row_number() OVER (ORDER BY context_chars) AS i, count(*) OVER () AS n FROM results),
     p AS (SELECT CASE WHEN max(n) < 20 THEN max(x) ELSE (max(CASE WHEN i = 19 * (n + 1) // 20 THEN x END) * (20 - max(19 * (n + 1) % 20))
         + max(CASE WHEN i = 19 * (n + 1) // 20 + 1 THEN x END) * max(19 * (n + 1) % 20)) / 20 END AS p95 FROM o)
-    SELECT count(*) AS questions_total, round(avg(recall) FILTER (scope = 'in_corpus'), 3) AS mean_recall, round(avg((recall = 1)::INT) FILTER (scope = 'in_corpus'), 3) AS perfect_recall_rate,
-      round(avg(top_similarity), 3) AS mean_top_similarity, round(avg((selected_count <= 6)::INT) FILTER (selection_reason <> 'refused'), 3) AS starvation_rate,
+    SELECT count(*) AS questions_total, count(*) FILTER (scope = 'in_corpus') AS questions_in_corpus, count(*) FILTER (scope = 'out_of_corpus') AS questions_out_of_corpus,
+      round(avg(recall) FILTER (scope = 'in_corpus'), 3) AS mean_recall, round(avg((recall = 1)::INT) FILTER (scope = 'in_corpus'), 3) AS perfect_recall_rate,
+      round(avg(top_similarity), 3) AS mean_top_similarity, round(avg(selected_count), 1) AS mean_selected_chunks,
+      round(avg((selected_count <= 6)::INT) FILTER (selection_reason <> 'refused'), 3) AS starvation_rate,
+      count(*) FILTER (qid LIKE 'col-%') AS col_questions_total, round(avg(recall) FILTER (qid LIKE 'col-%'), 3) AS col_mean_recall,
+      round(avg((recall = 1)::INT) FILTER (qid LIKE 'col-%'), 3) AS col_perfect_recall_rate, round(avg(top_similarity) FILTER (qid LIKE 'col-%'), 3) AS col_mean_top_similarity,
+      round(avg((selected_count <= 6)::INT) FILTER (qid LIKE 'col-%'), 3) AS col_starvation_rate,
       round(avg(refusal_correct::INT), 3) AS refusal_correct_rate, round(avg(refused::INT) FILTER (scope = 'out_of_corpus'), 3) AS out_of_corpus_refusal_rate,
+      round(avg(groundedness), 1) AS mean_groundedness, round(avg(answers_question), 1) AS mean_answers_question, round(avg(mention_coverage), 3) AS mean_mention_coverage,
       round(avg(skeleton::INT) FILTER (NOT refused), 3) AS skeleton_rate, round(avg(citation_file_count) FILTER (NOT refused), 2) AS citation_file_count_mean,
-      round((SELECT p95 FROM p)) AS p95_context_chars FROM results""")
+      round(avg(citation_precision) FILTER (NOT refused), 3) AS citation_precision, round((SELECT p95 FROM p)) AS p95_context_chars FROM graded""")
 def summarize(spark, d):
-    return ev.summarize(results(spark, d)).select(
-        "questions_total", "mean_recall", "perfect_recall_rate", "mean_top_similarity", "starvation_rate", "refusal_correct_rate",
-        "out_of_corpus_refusal_rate", "skeleton_rate", "citation_file_count_mean", "p95_context_chars",
-    )
+    return ev.summarize(graded(spark, d))
 
 
 @query("verdict_accuracy", """WITH v AS (SELECT lang AS scope, (CASE WHEN lang = 'en' THEN quality = 0 ELSE quality = 1 END)::INT AS ok FROM documents JOIN labels USING (doc_id)),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.config import DEFAULTS, Settings
+from corpuscle.config import DEFAULTS, Settings, materialize
 from corpuscle.functions import vocab as V
 from corpuscle.functions.answers import is_refusal, is_skeleton, mention_coverage
 from corpuscle.functions.text import bind, with_nfkc, with_normal_form
@@ -90,28 +90,49 @@ def eval_generation(golden: DataFrame, answers: DataFrame, qid: str = "qid") ->
 # --- summary ---------------------------------------------------------------------------------
 
 
-def exclusive_p95(values: DataFrame, column: str, name: str = "p95") -> DataFrame:
-    """95th percentile by the exclusive method; below 20 values the maximum. One row.
+_RANGES = 1024
+
+
+def order_statistics(values: DataFrame, column: str, ranks: list[int]) -> list[float]:
+    """The values at the given 1-based places in ascending order.
 
-    Works on the histogram of values, which sums before the shuffle: only distinct values,
-    not rows, meet in the final ordering.
+    A pass counts the rows of `_RANGES` equal ranges between the least and the greatest value; the next one looks only into
+    a range that holds a wanted place, until all values in it are equal. Only the counts of the ranges come here.
     """
-    hist = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_x")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    everything = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.select("_x", F.sum("_c").over(everything).alias("_upto"))
-    n = hist.agg(F.sum("_c").alias("n"))
-    cum = cum.withColumn("_n", n.scalar())
-    # The cut point lies between the order statistics j and j + 1 (1-based).
-    position = 19 * (F.col("_n") + 1)
-    j = F.least(F.greatest(F.floor(position / 20), F.lit(1)), F.col("_n") - 1)
-    low = F.min(F.when(F.col("_upto") >= j, F.col("_x")))
-    high = F.min(F.when(F.col("_upto") >= j + 1, F.col("_x")))
-    d = F.max(position - 20 * j)
-    return cum.agg(
-        F.when(F.max("_n") < 20, F.max("_x")).otherwise((low * (20 - d) + high * d) / 20).alias(name)
-    )
+    rows = values.select(F.col(column).cast("double").alias("_x")).filter("_x is not null")
+
+    def within(low: float, high: float, before: int, wanted: list[int]) -> dict[int, float]:
+        place = F.width_bucket("_x", F.lit(low), F.lit(high), F.lit(_RANGES))
+        ranges = (
+            rows.filter(F.col("_x").between(low, high)).groupBy(place.alias("range"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high")).orderBy("range").collect()
+        )
+        out: dict[int, float] = {}
+        for r in ranges:
+            inside = [k for k in wanted if before < k <= before + r["n"]]
+            if inside:
+                out |= dict.fromkeys(inside, r["low"]) if r["low"] == r["high"] else within(r["low"], r["high"], before, inside)
+            before += r["n"]
+        return out
+
+    low, high = rows.agg(F.min("_x"), F.max("_x")).first()
+    if low is None:
+        return [None] * len(ranks)
+    found = dict.fromkeys(ranks, low) if low == high else within(low, high, 0, sorted(set(ranks)))
+    return [found[k] for k in ranks]
+
+
+def exclusive_p95(values: DataFrame, column: str, name: str = "p95") -> DataFrame:
+    """95th percentile by the exclusive method; below 20 values the maximum. One row."""
+    narrow = materialize(values.select(F.col(column).cast("double").alias("_x")).filter("_x is not null"), "percentile")
+    n, most = narrow.agg(F.count(F.lit(1)), F.max("_x")).first()
+    result = most
+    if n >= 20:
+        # The cut point lies between the order statistics j and j + 1.
+        j, d = divmod(19 * (n + 1), 20)
+        low, high = order_statistics(narrow, "_x", [j, j + 1])
+        result = (low * (20 - d) + high * d) / 20
+    return values.sparkSession.range(1).select(F.lit(result).cast("double").alias(name))
 
 
 def summarize(results: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -190,43 +211,112 @@ def verdict_accuracy(results: DataFrame) -> DataFrame:
 
 
 ANCHOR_WORDS = 3
+# Bytes of the piece by which a passage without an anchor is looked for.
+PIECE_BYTES = 4
+_ANCHORS_AT_ONCE = 50_000
+
+
+def with_borders(chunks: DataFrame, reach: int) -> DataFrame:
+    """(text) of all chunks, normalised, and of the borders between chunks n and n + 1 of a file: `reach` characters on either side.
+
+    A chunk shorter than the reach takes the end of its predecessor along, again and again until the reach is full, so what
+    spans several short chunks is found too. Chunks without a file or position have no borders.
+    """
+    file, index = "original_file_id", "chunk_index"
+    if file not in chunks.columns or index not in chunks.columns:
+        return with_normal_form(chunks.select("content"), text="content").select("text")
+    texts = materialize(with_normal_form(chunks.select(file, F.col(index).cast("bigint").alias(index), "content"), text="content").drop("content"), "chunk-texts")
+    placed = texts.filter(F.col(file).isNotNull() & F.col(index).isNotNull())
+    own = placed.select(file, index, F.right("text", F.lit(reach)).alias("own"), (F.length("text") < reach).alias("short"))
+    before = materialize(own.select(file, index, F.col("own").alias("end"), F.col("short").alias("open")), "chunk-ends")
+    while not before.filter("open").isEmpty():
+        # Only short chunks wait for their predecessor; each round brings one more chunk into reach.
+        earlier = before.select(file, (F.col(index) + 1).alias(index), F.col("end").alias("earlier"), F.col("open").alias("more"))
+        waiting = before.filter("open").select(file, index).distinct().join(own, [file, index])
+        came = waiting.join(earlier, [file, index], "left").select(file, index, F.right(F.concat_ws(" ", "earlier", "own"), F.lit(reach)).alias("end"), "more")
+        # An end is complete once it is full, or its predecessor's is, or there is none.
+        came = came.withColumn("open", F.coalesce("more", F.lit(False)) & (F.length("end") < reach)).drop("more")
+        before = materialize(before.filter("not open").unionByName(came), "chunk-ends")
+    heads = placed.select(file, (F.col(index) - 1).alias(index), F.left("text", F.lit(reach)).alias("head"))
+    borders = before.join(heads, [file, index]).select(F.concat_ws(" ", "end", "head").alias("text"))
+    return texts.select("text").unionByName(borders)
 
 
 def passages_in_corpus(passages: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The passages (column `passage`, not blank) that some chunk contains, both normalised.
+    """The passages (column `passage`, not blank) that some chunk, or two neighbouring ones together, contain, all normalised.
 
-    A chunk that contains a passage holds its inner words whole: three of them are its anchor. Chunks meet passages
-    by the hash of every run of three words, then the whole passage is looked for. Passages without so many inner words
-    are looked for directly. Either kind is broadcast in parts of at most `broadcast_max_bytes`, one pass each.
+    A text that contains a passage holds its inner words whole: three of them are its anchor. Texts are probed for the hashes of their
+    runs of three words, and only hits become rows, which then look for the whole passage. Passages without so many
+    inner words are looked for by a piece of a few bytes in the same manner. Either kind goes in blocks of a bounded size, one pass each.
     """
     needles = with_normal_form(passages.select("passage").distinct(), needle="passage").select("needle").filter(F.col("needle") != "").distinct()
-    texts = with_normal_form(chunks.select("content"), text="content").select("text")
+    needles = materialize(needles, "needles")
+    longest = needles.agg(F.max(F.length("needle"))).first()[0]
+    if not longest:
+        return needles
+    texts = materialize(with_borders(chunks, longest), "passage-texts")
     words = F.split("needle", " ")
     run = F.xxhash64(*[F.get(words, F.lit(1 + i)) for i in range(ANCHOR_WORDS)])
     anchored = needles.withColumn("anchor", F.when(F.size(words) >= ANCHOR_WORDS + 2, run))
+    found = needles.limit(0)
+    for part, search in ((anchored.filter(F.col("anchor").isNotNull()), _by_anchor), (anchored.filter(F.col("anchor").isNull()), _by_piece)):
+        n, size = part.agg(F.count(F.lit(1)), F.sum(F.octet_length("needle") + 64)).first()
+        passes = max(-(-(size or 0) // settings.broadcast_max_bytes), -(-n // _ANCHORS_AT_ONCE))
+        for i in range(passes):
+            block = part.filter(F.pmod(F.xxhash64("needle"), F.lit(passes)) == i)
+            found = found.unionByName(search(texts, block))
+    return found.distinct()
+
+
+def _by_anchor(texts: DataFrame, block: DataFrame) -> DataFrame:
+    anchors = ",".join(str(r[0]) for r in block.select("anchor").distinct().collect())  # a block is bounded
 
     def runs(w: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(w) - ANCHOR_WORDS)
-        return F.when(
-            F.size(w) >= ANCHOR_WORDS,
-            F.array_distinct(F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(ANCHOR_WORDS)]))),
-        )
-
-    spread = texts.select("text", F.explode(bind(F.split("text", " "), runs)).alias("anchor"))
-    found = None
-    for part, rows, on in (
-        (anchored.filter(F.col("anchor").isNotNull()), spread, ["anchor"]),
-        (anchored.filter(F.col("anchor").isNull()).drop("anchor"), texts, None),
-    ):
-        size = part.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0
-        passes = -(-size // settings.broadcast_max_bytes)
-        for i in range(passes):
-            block = F.broadcast(part.filter(F.pmod(F.xxhash64("needle"), F.lit(passes)) == i))
-            inside = F.contains("text", "needle")
-            met = rows.join(block, on).filter(inside) if on else rows.join(block, inside)
-            hit = met.select("needle").distinct()
-            found = hit if found is None else found.unionByName(hit)
-    return needles.limit(0) if found is None else found.distinct()
+        return F.when(F.size(w) >= ANCHOR_WORDS, F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(ANCHOR_WORDS)])))
+
+    wanted = F.split(F.lit(anchors), ",").cast("array<bigint>")
+    hits = texts.select("text", F.array_intersect(bind(F.split("text", " "), runs), wanted).alias("_hits")).filter(F.size("_hits") > 0)
+    met = hits.select("text", F.explode("_hits").alias("anchor")).join(F.broadcast(block), "anchor")
+    return met.filter(F.contains("text", "needle")).select("needle").distinct()
+
+
+def _by_piece(texts: DataFrame, block: DataFrame) -> DataFrame:
+    """Passages of a few words: a task compares all runs of bytes in its texts with one run of each passage, then looks for the passage at hits."""
+    by_piece: dict[int, dict[int, list[bytes]]] = {}
+    for row in block.select("needle").collect():  # a block is bounded
+        data = row[0].encode()
+        size = min(PIECE_BYTES, len(data))
+        pieces = [data[i : i + size] for i in range(len(data) - size + 1)]
+        # Digits, signs and non-ASCII letters are rarer in prose than its small letters and spaces.
+        piece = min(pieces, key=lambda p: (sum(97 <= c <= 122 or c == 32 for c in p), p))
+        by_piece.setdefault(size, {}).setdefault(int.from_bytes(piece, "little"), []).append(data)
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        keys = {size: np.sort(np.fromiter(pieces, np.uint32, len(pieces))) for size, pieces in by_piece.items()}
+        seen = set()
+        for batch in batches:
+            texts = [t.encode() for t in batch.column(0).to_pylist()]
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            ends = np.cumsum([len(t) for t in texts])
+            for size, wanted in keys.items():
+                if len(data) < size:
+                    continue
+                run = data[: len(data) - size + 1].astype(np.uint32)
+                for i in range(1, size):
+                    run |= data[i : len(data) - size + 1 + i].astype(np.uint32) << np.uint32(8 * i)
+                near = np.minimum(np.searchsorted(wanted, run), len(wanted) - 1)
+                at = np.flatnonzero(wanted[near] == run)
+                # One look per text and piece; runs over the end of a text find nothing in it.
+                pairs = np.unique(np.stack((np.searchsorted(ends, at, "right"), run[at].astype(np.int64)), 1), axis=0) if len(at) else ()
+                for row, piece in pairs:
+                    seen.update(n for n in by_piece[size][int(piece)] if n not in seen and n in texts[row])
+        yield pa.RecordBatch.from_arrays([pa.array([n.decode() for n in seen], pa.string())], ["needle"])
+
+    return texts.mapInArrow(scan, "needle string").distinct()
 
 
 def missing_passages(golden: DataFrame, chunks: DataFrame, qid: str = "qid", settings: Settings = DEFAULTS) -> DataFrame:

@@ -15,6 +15,23 @@ def test_exclusive_p95(spark, n):
     assert ev.exclusive_p95(df, "v").first()[0] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("kind", ["exponents", "hot", "tiny steps"])
+def test_order_statistics(spark, kind):
+    rnd = random.Random(4)
+    values = {
+        "exponents": [rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(-300, 300) for _ in range(3000)],
+        "hot": [5.0] * 2000 + [rnd.random() for _ in range(1000)],
+        "tiny steps": [1.0 + i * 2.0**-52 for i in range(1500)] * 2,
+    }[kind]
+    rnd.shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    ranks = [1, 2, 1500, 1501, 2850, 2851, 3000]
+    assert ev.order_statistics(df, "v", ranks) == [sorted(values)[k - 1] for k in ranks]
+    want = statistics.quantiles(values, n=20)[18]
+    assert ev.exclusive_p95(df, "v").first()[0] == pytest.approx(want)
+    assert ev.order_statistics(df.limit(0), "v", [1]) == [None]
+
+
 GOLDEN = "qid string, scope string, expected_source_file string, expected_passages array<string>, must_mention array<string>, history array<array<string>>"
 
 
@@ -56,6 +73,28 @@ def test_passages_in_several_passes(spark):
     assert {r[0] for r in ev.passages_in_corpus(wanted, chunks, tiny).collect()} == {f"word{i}" for i in range(0, 20, 2)}
 
 
+def test_passages_over_borders_and_of_few_words(spark):
+    """Against plain containment in the joined text of each file."""
+    rnd = random.Random(5)
+    words = ["alpha", "beta", "gamma", "été", "64.10%", "x", "42", "delta", "ω"]
+    files = {f: [" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 3, 30, 60]))) for _ in range(40)] for f in ("f", "g")}
+    rows = [(f, i, t) for f, parts in files.items() for i, t in enumerate(parts)] + [(None, None, "alone"), ("h", 3, "left of"), ("h", 5, "a gap")]
+    joined = [" ".join(parts) for parts in files.values()] + ["alone", "left of", "a gap"]
+    wanted = set()
+    for text in joined[:2]:
+        for _ in range(120):
+            start = rnd.randrange(len(text))
+            wanted.add(text[start : start + rnd.choice([1, 2, 3, 5, 12, 60, 250])].strip())
+    wanted |= {"never there", "left of a gap", "x" * 9, "beta beta beta beta beta beta beta beta", "é", "0%", "alone"}
+    wanted.discard("")
+    chunks = spark.createDataFrame(rows, "original_file_id string, chunk_index int, content string").repartition(5)
+    passages = spark.createDataFrame([(w,) for w in wanted], "passage string")
+    got = {r[0] for r in ev.passages_in_corpus(passages, chunks).collect()}
+    assert got == {w for w in wanted if any(w in t for t in joined)}
+    plan = ev.passages_in_corpus(passages, chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_summary(spark):
     cols = (
         "qid string, scope string, recall double, top_similarity double, selected_count int, context_chars int, selection_reason string, refused boolean, skeleton boolean, "
