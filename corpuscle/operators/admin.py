@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.config import broadcast_if_small, materialize
+from corpuscle.operators.ordering import numbered
+
 _RECOVERY_PART = 1000  # chunks per recovered part
 
 
@@ -68,22 +71,27 @@ def file_chunks(chunks: DataFrame, file_id: str) -> DataFrame:
 def recover_content(chunks: DataFrame) -> DataFrame:
     """The text of every file from its active chunks, or from all when none is active.
 
-    One row per (file, part): parts hold a bounded range of chunk positions, so a file of
-    any size is spread over many rows. The parts of a file, in order and joined by a blank
-    line, are its text. Chunks without a position come after the others, by page, else by minute.
+    One row per (file, part, piece): a part is a range of chunk positions (of pages, or all else, where there is no position), and
+    a part of many rows, such as chunks without any place, is cut into pieces of `_RECOVERY_PART` rows in its order. So no row of
+    the result holds more, however a file was written. The parts and pieces of a file, in order and joined by a
+    blank line, are its text. Chunks without a position come after the others.
     """
     active = F.col("deleted_at").isNull()
     any_active = chunks.groupBy("original_file_id").agg(F.bool_or(active).alias("_any"))
-    rows = chunks.join(any_active, "original_file_id").filter(active | ~F.col("_any"))
-    part = F.struct(
+    rows = chunks.join(any_active, "original_file_id").filter(active | ~F.col("_any")).select(
+        "original_file_id",
         F.col("chunk_index").isNull().alias("unplaced"),
-        F.coalesce(
-            F.floor(F.col("chunk_index") / _RECOVERY_PART),
-            F.floor(F.col("page") / _RECOVERY_PART),
-            F.floor(F.unix_timestamp("created_at") / 60),
-            F.lit(-1),
-        ).alias("range"),
-    )
+        F.coalesce(F.floor(F.col("chunk_index") / _RECOVERY_PART), F.floor(F.col("page") / _RECOVERY_PART), F.lit(-1)).alias("part"),
+        "chunk_index", "page", "created_at", "id", "content",
+    )
+    keys = ["original_file_id", "unplaced", "part"]
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _RECOVERY_PART).drop("_n")
+    large = broadcast_if_small(materialize(large, "large-parts"), 256)
+    small = rows.join(large, keys, "left_anti").withColumn("piece", F.lit(0).cast("bigint"))
+    # Rows of large parts are cut by splitters of their whole order; the number of a range is its place in the part.
+    ranged = rows.join(large, keys, "left_semi").repartitionByRange(*keys, *listing_order())
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()), "large-part-rows")
+    cut = numbered(ranged, keys, listing_order(), F.col("_range"), "_at").withColumn("piece", F.floor(F.col("_at") / _RECOVERY_PART))
     ordered = F.array_sort(
         F.collect_list(
             F.struct(
@@ -96,16 +104,10 @@ def recover_content(chunks: DataFrame) -> DataFrame:
             )
         )
     )
-    return rows.groupBy("original_file_id", part.alias("part")).agg(
+    return small.unionByName(cut.drop("_range", "_at")).groupBy(*keys, "piece").agg(
         F.array_join(F.transform(ordered, lambda r: r["text"]), "\n\n").alias("content"),
         F.count(F.lit(1)).alias("chunks"),
-    ).select(
-        "original_file_id",
-        F.col("part.unplaced").alias("unplaced"),
-        F.col("part.range").alias("part"),
-        "chunks",
-        "content",
-    )
+    ).select(*keys, "piece", "chunks", "content")
 
 
 def diagnose(summaries: DataFrame) -> DataFrame:

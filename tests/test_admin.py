@@ -90,3 +90,23 @@ def test_new_files(spark):
     assert [r[0] for r in ad.new_files(files, table(spark)).collect()] == ["N"]
     assert ad.new_files(files, table(spark), force=True).count() == 2
     assert [r[0] for r in ad.already_ingested(files, table(spark)).collect()] == ["A"]
+
+
+def test_recovery_in_bounded_pieces(spark):
+    """Chunks of one instant without any place, one position that is repeated, and an ordinary file."""
+    from pyspark.sql import functions as F
+
+    n = 5000
+    same = spark.range(n).select(
+        F.format_string("%05d", "id").alias("id"), F.lit("hot").alias("original_file_id"), F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("int").alias("page"),
+        F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("deleted_at"), F.concat(F.lit("t"), "id").alias("content"),
+    )
+    repeated = same.limit(2500).withColumns({"original_file_id": F.lit("twice"), "chunk_index": F.lit(7)})
+    plain = same.limit(30).withColumns({"original_file_id": F.lit("plain"), "chunk_index": F.col("id").cast("int")})
+    rows = ad.recover_content(same.unionByName(repeated).unionByName(plain).repartition(7)).orderBy("original_file_id", "unplaced", "part", "piece").collect()
+    assert max(r.chunks for r in rows) <= 1000
+    text = {}
+    for r in rows:
+        text.setdefault(r.original_file_id, []).extend(r.content.split("\n\n"))
+    assert text["hot"] == [f"t{i}" for i in range(n)] and len([r for r in rows if r.original_file_id == "hot"]) == 5
+    assert text["plain"] == [f"t{i}" for i in range(30)] and len(text["twice"]) == len(set(text["twice"])) == 2500
