@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from corpuscle.config import scratch_path
 from corpuscle.operators.ordering import running_before
 
 _DAY = 86400
@@ -93,35 +93,76 @@ def quiet_sessions(events: DataFrame, window_seconds: float) -> DataFrame:
     )
 
 
-def admit_batch(events: DataFrame, max_events: int, window_seconds: float) -> DataFrame:
+RANGE_EVENTS = 100_000
+
+
+def admit_batch(events: DataFrame, max_events: int, window_seconds: float, range_events: int = RANGE_EVENTS) -> DataFrame:
     """The same decisions over a finished table of (key, ts, event_id).
 
-    Sessions are spread over tasks and each is read once in time order, batch by batch, with
-    at most `max_events` times in memory.
+    Events are cut into ranges of (key, time) of about `range_events`, so a single key with all events is spread like any other.
+    A range is first decided as if nothing came before it. What it leaves behind, at most `max_events` accepted times, is
+    handed to the next range if that goes on with the same key, and only ranges that were handed something else than they
+    had assumed are decided again, until none is. Decisions forget where they started after some windows, so that a few rounds
+    do for ordinary streams; at worst the ranges of one key are decided one after the other. One summary per range reaches the driver.
     """
-    out = T.StructType(
-        [
-            T.StructField("key", T.StringType()),
-            T.StructField("event_id", T.LongType()),
-            T.StructField("admitted", T.BooleanType()),
-        ]
-    )
+    keyed = events.select(normalized_key().alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("_s"), "event_id")
+    spark, order = events.sparkSession, ["key", "_s", "event_id"]
+    n_ranges = keyed.count() // range_events + 1
+    ranged = keyed.repartitionByRange(n_ranges, *order).withColumn("_range", F.spark_partition_id())
+    states: dict[int, list[float]] = {}
+    if n_ranges > 1:
+        path = scratch_path(spark, "event-ranges")
+        ranged.write.partitionBy("_range").parquet(path)
+        ranged = spark.read.schema(ranged.schema).parquet(path)
+        states = _handed_on(ranged, max_events, window_seconds, order)
     decide = _limiter(max_events, window_seconds)
 
-    def run(batches):
-        current, recent = None, []
-        for pdf in batches:
-            verdicts = []
-            for key, session, at in zip(pdf["key"], pdf["session"], pdf["_s"]):
-                if (key, session) != current:
-                    current, recent = (key, session), []
-                verdicts.append(decide(recent, at))
-            yield pdf[["key", "event_id"]].assign(admitted=verdicts)
-
-    keyed = events.select(normalized_key().alias("key"), "ts", "event_id")
-    sessions = quiet_sessions(keyed, window_seconds).select("key", "session", "_s", "event_id")
-    ordered = sessions.repartition("key", "session").sortWithinPartitions("key", "session", "_s", "event_id")
-    return ordered.mapInPandas(run, out)
+    def run(key, pdf):
+        return _decided(pdf.sort_values(order, kind="stable"), states.get(int(key[0]), []), decide)[0][["key", "event_id", "admitted"]]
+
+    return ranged.groupBy("_range").applyInPandas(run, f"key string, event_id {keyed.schema['event_id'].dataType.simpleString()}, admitted boolean")
+
+
+def _decided(pdf, state: list[float], decide):
+    """Ordered events with their verdicts, and the accepted times that the last key leaves behind; `state` is the first key's."""
+    current, recent, verdicts = pdf["key"].iat[0], list(state), []
+    for key, at in zip(pdf["key"].tolist(), pdf["_s"].tolist()):
+        if key != current:
+            current, recent = key, []
+        verdicts.append(decide(recent, at))
+    return pdf.assign(admitted=verdicts), recent
+
+
+def _handed_on(ranged: DataFrame, max_events: int, window: float, order: list[str]) -> dict[int, list[float]]:
+    """Per range the accepted times inside the window that its first key brings along."""
+    decide = _limiter(max_events, window)
+    known: dict[int, dict] = {}
+    states: dict[int, list[float]] = {}
+    todo = None
+    while todo is None or todo:
+        assumed = dict(states)
+
+        def summarize(key, pdf):
+            import pandas as pd
+
+            pdf = pdf.sort_values(order, kind="stable")
+            left = _decided(pdf, assumed.get(int(key[0]), []), decide)[1]
+            first, last = pdf.iloc[0], pdf.iloc[-1]
+            return pd.DataFrame({"_range": [key[0]], "first_key": [first["key"]], "first_s": [first["_s"]], "last_key": [last["key"]], "left": [left]})
+
+        asked = ranged if todo is None or len(todo) > 1000 else ranged.filter(F.col("_range").isin(sorted(todo)))
+        found = asked.groupBy("_range").applyInPandas(summarize, "_range int, first_key string, first_s double, last_key string, left array<double>")
+        known |= {r["_range"]: r for r in found.collect()}
+        todo, before = set(), None
+        for number in sorted(known):
+            row = known[number]
+            goes_on = before is not None and before["last_key"] == row["first_key"]
+            brought = [t for t in before["left"] if row["first_s"] - t <= window] if goes_on else []
+            if brought != states.get(number, []):
+                states[number] = brought
+                todo.add(number)
+            before = row
+    return states
 
 
 def window_counts(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:

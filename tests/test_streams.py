@@ -47,6 +47,17 @@ def test_batch_matches_brute_force(spark):
         assert got == brute(events, limit, window)
 
 
+def test_one_key_over_many_ranges(spark):
+    """All events of one key, without a quiet gap: dense, at a steady beat that never forgets its start, and at one instant."""
+    rnd = random.Random(9)
+    dense = [("hot", i, rnd.randrange(40000)) for i in range(4000)]
+    steady = [("hot", i, 10 * i) for i in range(1200)]
+    instant = [("hot", i, 5) for i in range(900)] + [("next", 900 + i, 5 + i) for i in range(300)]
+    for events, limit, window, size in ((dense, 4, 90, 300), (steady, 1, 95, 200), (steady, 3, 95, 200), (instant, 7, 30, 100)):
+        got = {r.event_id: r.admitted for r in sl.admit_batch(frame(spark, events), limit, window, size).collect()}
+        assert got == brute(events, limit, window)
+
+
 def test_quiet_sessions(spark):
     events = [("a", 0, 0), ("a", 1, 100), ("a", 2, 401), ("a", 3, 86400 * 2), ("a", 4, 86400 * 2 + 300), ("b", 5, 50)]
     got = {r.event_id: r.session for r in sl.quiet_sessions(frame(spark, events), 300).collect()}
