@@ -28,7 +28,8 @@ def test_top_k_and_first(spark):
 
 def test_history(spark):
     turns = spark.createDataFrame([("c", t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(30)], "conv_id string, turn int, role string, text string")
-    assert sorted(r.turn for r in hs.recent_turns(turns, 4, 2).collect()) == [26, 27, 28, 29]
+    assert sorted(r.turn for r in hs.recent_turns(turns, 2, 2).collect()) == [26, 27, 28, 29]
+    assert sorted(r.turn for r in hs.recent_turns(turns).collect()) == list(range(10, 30))  # ten pairs
     got = {r.turn: r.last_text for r in hs.with_last_turn(turns, bucket=5).collect()}
     assert got[0] is None and got[1] is None and all(got[t] == f"t{t - 2}" for t in range(2, 30))
     pairs = spark.createDataFrame([([["q1", "a1"], ["q2", "a2", "x"], [None, "a3"], [None, None]],), (None,)], "h array<array<string>>")
