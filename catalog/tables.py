@@ -6,8 +6,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import ORACLE, query
 from catalog.fixtures import ANALYSES, IMAGES, JOBS, analyses, events, images, jobs, sql_ts, table, ts
+from corpuscle.config import scratch_path
 from corpuscle.functions import vocab as V
 from corpuscle.operators import jobs as jb
 from corpuscle.operators import measurements as ms
@@ -27,6 +28,19 @@ def upsert(spark, d):
     return tb.upsert(target, new, "c_custkey")
 
 
+@query("upsert_buckets", ORACLE["upsert"])
+def upsert_buckets(spark, d):
+    """The same into a table stored by buckets of the key, of which only the touched ones are rewritten."""
+    new = table(spark, d, "supplier").select(
+        (F.col("s_suppkey") + 50).alias("c_custkey"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("c_name"), F.col("s_acctbal").alias("c_acctbal")
+    )
+    target = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = scratch_path(spark, "customer-buckets")
+    tb.write_buckets(target, path, "c_custkey", 16)
+    tb.upsert_buckets(spark, path, target.schema, new, "c_custkey", 16)
+    return tb.read_buckets(spark, path, target.schema)
+
+
 @query("upsert_all", """SELECT coalesce(o_orderkey, id) AS o_orderkey, CASE WHEN id IS NOT NULL THEN p ELSE o_orderpriority END AS o_orderpriority
     FROM orders FULL JOIN (SELECT l_orderkey + 100 AS id, CASE WHEN max(l_tax) > 0.05 THEN 'URGENT' END AS p FROM lineitem GROUP BY 1) ON o_orderkey = id""")
 def upsert_all(spark, d):

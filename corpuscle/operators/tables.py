@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpuscle.config import DEFAULTS, Settings, materialize
 from corpuscle.functions import vocab as V
 from corpuscle.functions.identity import first_non_blank, normalized_role
 from corpuscle.functions.text import is_blank, strip
@@ -13,22 +15,68 @@ from corpuscle.functions.text import is_blank, strip
 # --- changes ---------------------------------------------------------------------------------
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: str, keep_null: bool = True) -> DataFrame:
-    """Target with updates applied by key. With `keep_null` a null update leaves the value."""
-    t, u = target.alias("t"), updates.alias("u")
-    joined = t.join(u, F.col(f"t.{key}") == F.col(f"u.{key}"), "full")
-    touched = F.col(f"u.{key}").isNotNull()
+def upsert(target: DataFrame, updates: DataFrame, key: str, keep_null: bool = True, settings: Settings = DEFAULTS) -> DataFrame:
+    """Target with updates applied by key. With `keep_null` a null update leaves the value.
 
-    def merged(name: str) -> Column:
-        if name == key:
-            return F.coalesce(f"t.{key}", f"u.{key}").alias(key)
-        if name not in updates.columns:
-            return F.col(f"t.{name}").alias(name)
-        if keep_null:
-            return F.coalesce(f"u.{name}", f"t.{name}").alias(name)
-        return F.when(touched, F.col(f"u.{name}")).otherwise(F.col(f"t.{name}")).alias(name)
+    Few updates are broadcast behind a count: the target is read where it lies, once for the rows it has and once for the keys that
+    it lacks. More of them meet the target by key in a full join.
+    """
+    updates = materialize(updates, "updates")
+    small = settings.broadcast_max_bytes // _UPDATE_BYTES
+    t, marked = target.alias("t"), updates.withColumn("_touched", F.lit(True)).alias("u")
+    if updates.limit(small + 1).count() > small:
+        joined = t.join(marked, F.col(f"t.{key}") == F.col(f"u.{key}"), "full")
+        return joined.select(*[_merged(c, key, updates.columns, keep_null) for c in target.columns])
+    changed = t.join(F.broadcast(marked), F.col(f"t.{key}") == F.col(f"u.{key}"), "left").select(*[_merged(c, key, updates.columns, keep_null) for c in target.columns])
+    # Keys that are there already: as few as the updates, whatever the target.
+    known = target.select(key).join(F.broadcast(updates.select(key)), key, "left_semi").distinct()
+    missing = updates.join(F.broadcast(known), key, "left_anti")
+    absent = [F.col(c) if c in updates.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns]
+    return changed.unionByName(missing.select(*absent))
 
-    return joined.select(*[merged(c) for c in target.columns])
+
+_UPDATE_BYTES = 512
+
+
+def _merged(name: str, key: str, given: list[str], keep_null: bool) -> Column:
+    if name == key:
+        return F.coalesce(f"t.{key}", f"u.{key}").alias(key)
+    if name not in given:
+        return F.col(f"t.{name}").alias(name)
+    if keep_null:
+        return F.coalesce(f"u.{name}", f"t.{name}").alias(name)
+    return F.when(F.col("u._touched"), F.col(f"u.{name}")).otherwise(F.col(f"t.{name}")).alias(name)
+
+
+# --- tables stored by buckets of their key ----------------------------------------------------
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_buckets(table: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Store a table by buckets of its key. Choose so many that a bucket is some hundred MB."""
+    placed = table.withColumn("_bucket", _bucket(key, buckets))
+    placed.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def upsert_buckets(spark: SparkSession, path: str, schema: T.StructType, updates: DataFrame, key: str, buckets: int, keep_null: bool = True) -> int:
+    """Apply updates to a stored table: only the buckets that hold an updated key are read, merged and replaced; returns how many.
+
+    The merged buckets are written aside first, so a job that fails before the replacement leaves the table as it was.
+    """
+    updates = materialize(updates.withColumn("_bucket", _bucket(key, buckets)), "updates")
+    touched = sorted(r[0] for r in updates.select("_bucket").distinct().collect())  # one number a bucket at most
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(path)
+    merged = upsert(stored.filter(F.col("_bucket").isin(touched)).drop("_bucket"), updates.drop("_bucket"), key, keep_null)
+    merged = materialize(merged.withColumn("_bucket", _bucket(key, buckets)), "merged-buckets")
+    merged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    return len(touched)
 
 
 def delete_rows(target: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,36 @@ def test_upsert(spark):
     assert sorted(map(tuple, tb.upsert(target, new, "k", keep_null=False).collect()), key=str) == [(1, "a", "x"), (2, None, "y"), (3, "c", None)]
 
 
+def test_upsert_moves_only_the_updates(spark):
+    """Few updates: the target is not shuffled. Null and repeated keys give what a full join gives, in either way."""
+    import dataclasses
+
+    from corpuscle.config import Settings
+
+    target = spark.createDataFrame([(i, f"v{i}") for i in range(50)] + [(None, "none"), (7, "again")], "k int, v string").repartition(3)
+    new = spark.createDataFrame([(7, "x"), (7, "y"), (60, "new"), (60, "two"), (None, "u"), (8, None)], "k int, v string")
+    plan = tb.upsert(target, new, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FullOuter" not in plan
+    shuffled = dataclasses.replace(Settings(), broadcast_max_bytes=512)
+    for keep in (True, False):
+        assert sorted(map(tuple, tb.upsert(target, new, "k", keep).collect()), key=str) == sorted(map(tuple, tb.upsert(target, new, "k", keep, shuffled).collect()), key=str)
+
+
+def test_upsert_of_stored_buckets(spark, tmp_path):
+    """Untouched buckets keep their files."""
+    import glob
+
+    path = str(tmp_path / "table")
+    target = spark.createDataFrame([(i, f"v{i}") for i in range(400)], "k int, v string")
+    tb.write_buckets(target, path, "k", 16)
+    before = {p: open(p, "rb").read() for p in glob.glob(f"{path}/_bucket=*/*.parquet")}
+    new = spark.createDataFrame([(5, "five"), (1000, "new")], "k int, v string")
+    assert tb.upsert_buckets(spark, path, target.schema, new, "k", 16) in (1, 2)
+    got = {r.k: r.v for r in tb.read_buckets(spark, path, target.schema).collect()}
+    assert got == {**{i: f"v{i}" for i in range(400)}, 5: "five", 1000: "new"}
+    assert len(set(before) & set(glob.glob(f"{path}/_bucket=*/*.parquet"))) >= 14
+
+
 def test_delete(spark):
     df = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
     left, gone = tb.delete_rows(df, spark.createDataFrame([("1",), ("9",), ("1",)], "id string"))
