@@ -1,8 +1,8 @@
 """Token ids in compressed shards: Re-Pair grammars with expansion lengths for random access.
 
 `write_tokens` tokenises texts, closes each with an end id and lays them in ascending id order into shards. Inside a shard
-the frequent pairs of neighbouring symbols are replaced by new symbols, round by round, until no pair is frequent or the
-symbols no longer fit 16 bits (32 for larger vocabularies); no pair crosses the end of a document. A shard is one row of a
+the frequent pairs of neighbouring symbols are replaced by new symbols, round by round, until no pair is frequent, a round
+gains little, or the symbols no longer fit 16 bits (32 for larger vocabularies); no pair crosses the end of a document. A shard is one row of a
 Parquet table: document ids, tokens and symbols per document, the rules (two symbols each), the length to which each rule
 expands, and the symbols. `read_tokens` decodes all documents; `read_range` decodes any run of token positions and
 expands only the symbols that cover it.
@@ -43,9 +43,11 @@ SHARD_TOKENS = 5 << 19
 PARTITION_BYTES = 64 << 20
 # A rule pays for itself (two symbols and a length) after a few uses; below this the gain is not worth a round.
 LEAST_USES = 32
+# Rounds end with one that shortens a shard by less than this share.
+LEAST_GAIN = 0.01
 ROUND_RATIO = 64
 _STRETCH = 2 << 20
-_CACHED_WORDS = 1 << 18
+_CACHED_WORDS = 1 << 19
 _TABLE_BITS = 18
 # Marks that compose with ASCII letters, and the sign that special tokens hold.
 _CASE_MATTERS = "[\u0300-\u036f]|\\|"
@@ -82,14 +84,15 @@ class WordTokens:
 
     def _learn(self, words: list[str]) -> None:
         """Words of letters only are one piece each, so many go in one call, told apart by the piece number."""
-        self._learn_one_by_one([w for w in words if not w.isalpha()])
-        joined = [w for w in words if w.isalpha()]
-        if self.plain:
-            model = self.tokenizer.model
-            small = [w for w in joined if w.isascii() and w.islower()]
-            found = [[token.id for token in model.tokenize(w)] for w in small]
-            self._append(small, list(chain.from_iterable(found)), list(accumulate(map(len, found))))
-            joined = [w for w in joined if not (w.isascii() and w.islower())]
+        small, joined, others = [], [], []
+        for w in words:
+            (others if not w.isalpha() else small if self.plain and w.isascii() and w.islower() else joined).append(w)
+        self._learn_one_by_one(others)
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], []
+        for w in small:
+            ids += [token.id for token in tokenize(w)]
+            ends.append(len(ids))
+        self._append(small, ids, ends)
         for start in range(0, len(joined), 1000):
             some = joined[start : start + 1000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -115,7 +118,7 @@ class WordTokens:
         offsets = np.asarray(words.offsets) - words.offsets[0].as_py()
         values = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.places) > _CACHED_WORDS:
-            self._forget()
+            self._forget()  # frequent words are soon known again
         self._learn([w for w in values if w not in self.places])
         place = np.fromiter(map(self.places.__getitem__, values), np.int64, len(values))
         ends, known = np.array(self.ends, np.int64), np.array(self.ids, np.uint32)
@@ -238,6 +241,8 @@ def compress(symbols: np.ndarray, closed: np.ndarray, vocabulary: int, least: in
         found = pairs[paid]
         rules.append(np.stack((found >> found.dtype.type(half), found & found.dtype.type((1 << half) - 1)), 1).astype(symbols.dtype))
         free += len(found)
+        if len(at) < LEAST_GAIN * len(symbols):
+            break
     return symbols, closed, np.concatenate(rules) if rules else np.zeros((0, 2), symbols.dtype)
 
 
