@@ -50,12 +50,14 @@ def file_chunks(spark, d):
 
 
 @query("recover_content", f"""WITH {CHUNKS}, a AS (SELECT original_file_id, bool_or(deleted_at IS NULL) AS any_active FROM chunks GROUP BY 1)
-    SELECT original_file_id, chunk_index IS NULL AS unplaced, coalesce(chunk_index // 1000, page // 1000) AS part, count(*) AS chunks,
-      md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, page, created_at, id)) AS content_hash
-    FROM chunks JOIN a USING (original_file_id) WHERE deleted_at IS NULL OR NOT any_active GROUP BY 1, 2, 3""")
+    , placed AS (SELECT c.*, chunk_index IS NULL AS unplaced, coalesce(chunk_index // 1000, page // 1000) AS part
+      FROM chunks c JOIN a USING (original_file_id) WHERE deleted_at IS NULL OR NOT any_active),
+    cut AS (SELECT *, (row_number() OVER (PARTITION BY original_file_id, unplaced, part ORDER BY chunk_index, page, created_at, id) - 1) // 1000 AS piece FROM placed)
+    SELECT original_file_id, unplaced, part, piece, count(*) AS chunks,
+      md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, page, created_at, id)) AS content_hash FROM cut GROUP BY 1, 2, 3, 4""")
 def recover_content(spark, d):
     rows = ad.recover_content(chunks(spark, d))
-    return rows.select("original_file_id", "unplaced", "part", "chunks", F.md5("content").alias("content_hash"))
+    return rows.select("original_file_id", "unplaced", "part", "piece", "chunks", F.md5("content").alias("content_hash"))
 
 
 @query("diagnose", f"""WITH {CHUNKS},{SUMMARIES} SELECT original_file_id, original_file_name, total_chunks, active_chunks, deleted_chunks, true AS has_table_data,

@@ -222,6 +222,20 @@ def retrieve_selected(spark, d):
     return found(spark, d).selected.select("qid", "id", "position", sim(), "lexical_rank", "n_chars", "selection_reason")
 
 
+@query("retrieve_stored", ORACLE["retrieve_selected"])
+def retrieve_stored(spark, d):
+    """The same through a stored index, written in two ingest batches: the search reads the buckets of the asked terms and no text."""
+    rows, path = chunks(spark, d, vectors=True), scratch_path(spark, "postings")
+    texts = chunks(spark, d, vectors=True, spread=True).filter(F.col("embedding").isNotNull())
+    schema = lx.build_postings(texts).schema
+    for half in (0, 1):
+        lx.write_postings(lx.build_postings(texts.filter(F.pmod(F.col("id"), F.lit(2)) == half)), path, buckets=16)
+    lx.hide_postings(rows.filter(~is_live()).select("id"), path)
+    stored = lambda wanted: lx.asked_postings(spark, path, wanted, schema, buckets=16, settings=TEST)
+    out = retrieve(questions(spark, d), query_vectors(spark, d), rows, TEST, stored, exclude=own_rows(spark, d))
+    return out.selected.select("qid", "id", "position", sim(), "lexical_rank", "n_chars", "selection_reason")
+
+
 @query("retrieve_trace", f"""WITH {CHUNKS},{SELECTED}, n AS (
       SELECT qid, count(*) AS selected_count, sum(n_chars) AS context_chars FROM selected GROUP BY qid),
     r AS (SELECT qid, any_value(selection_reason) AS reason FROM chosen GROUP BY qid)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuscle.config import DEFAULTS, Settings
+from corpuscle.config import DEFAULTS, Settings, broadcast_if_small, materialize
 from corpuscle.functions.questions import content_terms
 from corpuscle.operators.ordering import top_k
 
@@ -25,11 +27,46 @@ def build_postings(chunks: DataFrame, id_col: str = "id", content: str = "conten
     return words.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Store postings sorted by term, hot terms over many files, so lookups prune."""
-    postings.repartitionByRange("term", postings.columns[1]).sortWithinPartitions("term").write.mode(
-        "overwrite"
-    ).parquet(path)
+TERM_BUCKETS = 256
+_SHARES = 8
+
+
+def _bucket(term: str = "term", buckets: int = TERM_BUCKETS):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS, mode: str = "append") -> None:
+    """Add postings to a stored index: by bucket of the term, sorted by term, the rows of a frequent term over several files.
+
+    Every ingest batch appends its own files; `hide_postings` takes chunks out again (stored beside, under `path`.hidden).
+    """
+    id_col = postings.columns[1]
+    placed = postings.withColumn("_bucket", _bucket(buckets=buckets)).withColumn("_share", F.pmod(F.xxhash64(id_col), F.lit(_SHARES)))
+    ordered = placed.repartition("_bucket", "_share").sortWithinPartitions("_bucket", "term").drop("_share")
+    ordered.write.mode(mode).partitionBy("_bucket").parquet(path)
+
+
+def hide_postings(ids: DataFrame, path: str) -> None:
+    """Mark chunks (one column) as deleted or replaced: the index gives them no more."""
+    ids.distinct().write.mode("append").parquet(f"{path}.hidden")
+
+
+def asked_postings(spark: SparkSession, path: str, terms: DataFrame, schema: T.StructType, buckets: int = TERM_BUCKETS, settings: Settings = DEFAULTS) -> DataFrame:
+    """The stored postings (of `schema`: term, id, tf) of the asked terms; only the buckets of these terms are read, no text is.
+
+    Hidden chunks are left out; with very many of them the postings found meet them by id.
+    """
+    asked = materialize(terms.select("term").distinct().withColumn("_bucket", _bucket(buckets=buckets)), "asked-terms")
+    wanted = sorted(r[0] for r in asked.select("_bucket").distinct().collect())  # at most `buckets` numbers
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(path)
+    found = stored.filter(F.col("_bucket").isin(wanted)).drop("_bucket")
+    found = found.join(broadcast_if_small(asked.select("term"), _TERM_ROW_BYTES, settings), "term", "left_semi")
+    id_col = schema.names[1]
+    try:
+        hidden = spark.read.schema(T.StructType([schema[id_col]])).parquet(f"{path}.hidden")
+    except AnalysisException:  # nothing was hidden yet
+        return found
+    return found.join(broadcast_if_small(hidden, 64, settings), id_col, "left_anti").select(*schema.names)
 
 
 def explode_terms(questions: DataFrame, terms: str = "terms", qid: str = "qid") -> DataFrame:

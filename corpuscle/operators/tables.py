@@ -62,7 +62,7 @@ def write_buckets(table: DataFrame, path: str, key: str, buckets: int) -> None:
 
 
 def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def upsert_buckets(spark: SparkSession, path: str, schema: T.StructType, updates: DataFrame, key: str, buckets: int, keep_null: bool = True) -> int:

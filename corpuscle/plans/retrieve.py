@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -48,14 +49,15 @@ def retrieve(
     query_vectors: DataFrame,
     chunks: DataFrame,
     settings: Settings = DEFAULTS,
-    postings: DataFrame | None = None,
+    postings: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     k: int | None = None,
     exclude: DataFrame | None = None,
 ) -> Retrieval:
     """Candidates, fusion, selection and gates of all questions in one plan.
 
     `questions`: qid, question, rewritten; `query_vectors`: qid, variant, vec; `chunks`: the
-    chunk table; `postings` is needed for the hybrid search. `exclude` (qid, id) names rows a
+    chunk table; `postings` is needed for the hybrid search: a table, or a function that reads those of given terms from a
+    stored index (`lexical.asked_postings`). `exclude` (qid, id) names rows a
     question must not get. The candidate lists are small (k per question) and written once,
     since selection, gate and trace all read them.
     """
@@ -80,9 +82,8 @@ def retrieve(
         # search must not see are few, the ones it may see are nearly all.
         wanted = broadcast_if_small(terms.select("term").distinct(), 128, s)
         hidden = chunks.filter(~is_live()).select("id")
-        asked = materialize(
-            postings.join(wanted, "term", "left_semi").join(hidden, "id", "left_anti"), "asked-postings"
-        )
+        held = postings(terms.select("term").distinct()) if callable(postings) else postings.join(wanted, "term", "left_semi")
+        asked = materialize(held.join(hidden, "id", "left_anti"), "asked-postings")
         found = lx.lexical_topk(terms, asked, k + spare, settings=s)
         if exclude is not None:
             found = top_k(

@@ -25,3 +25,21 @@ def test_stored_postings(spark, tmp_path):
     path = str(tmp_path / "p")
     lx.write_postings(lx.build_postings(chunks), path)
     assert spark.read.parquet(path).filter("term = 'hot'").count() == 50
+
+
+def test_stored_index_in_batches(spark, tmp_path):
+    """Two ingest batches and a hidden chunk; a search reads the buckets of its terms and no others."""
+    path = str(tmp_path / "p")
+    first = spark.createDataFrame([(i, f"hot word{i}") for i in range(40)], "id int, content string")
+    later = spark.createDataFrame([(i, f"hot term{i}") for i in range(40, 60)], "id int, content string")
+    schema = lx.build_postings(first).schema
+    lx.write_postings(lx.build_postings(first), path)
+    terms = spark.createDataFrame([("q", "hot"), ("q", "term41"), ("r", "word3"), ("r", "absent")], "qid string, term string")
+    assert {(r.term, r.id) for r in lx.asked_postings(spark, path, terms, schema).collect()} == {("hot", i) for i in range(40)} | {("word3", 3)}
+    lx.write_postings(lx.build_postings(later), path)
+    lx.hide_postings(spark.createDataFrame([(3,), (45,)], "id int"), path)
+    found = lx.asked_postings(spark, path, terms, schema)
+    assert {(r.term, r.id) for r in found.collect()} == {("hot", i) for i in range(60) if i not in (3, 45)} | {("term41", 41)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan parquet") :]
+    assert "PartitionFilters: [_bucket" in scan or "_bucket#" in scan.split("PartitionFilters:")[1].split("]")[0]

@@ -103,6 +103,26 @@ def test_stale_jobs(spark, tmp_path):
     assert got == {"done": ("done", False), "late": ("error", True), "stuck": ("error", True), "edge": ("error", False), "tick": ("done", False)}
 
 
+def test_closed_jobs(spark, tmp_path):
+    """Each job once, with its times; what comes after the end is ignored, also when the state has gone."""
+    log = [
+        ("done", 0, "queued"), ("done", 100, "processing"), ("done", 350, "done"), ("late", 0, "queued"), ("late", 301, "done"),
+        ("stuck", 10, "processing"), ("edge", 0, "queued"), ("edge", 300, "error"), ("twice", 20, "queued"), ("twice", 30, "done"),
+        ("twice", 900, "error"), ("tick", 5000, "queued"), ("old", 5100, "queued"), ("done", 360, "error"), ("tick", 5200, "done"), ("end", 9000, "queued"),
+    ]
+    df = spark.createDataFrame([(j, at(s), st, f"r{s}", None, i) for i, (j, s, st) in enumerate(log)], "job_id string, at timestamp, status string, result string, error string, i int")
+    with sj.rocksdb_state(spark):
+        out = drain(tmp_path, sj.closed_jobs_stream(stream(spark, tmp_path, df, 6, "i"), 300, "600 seconds", 600))
+        rows = out.collect()
+    seconds = lambda t: None if t is None else int((t - T0).total_seconds())
+    got = {r.job_id: (r.status, r.error is None, seconds(r.created_at), seconds(r.started_at), seconds(r.finished_at)) for r in rows}
+    assert len(rows) == len(got)
+    assert got == {
+        "done": ("done", True, 0, 100, 350), "late": ("error", False, 0, None, 300), "stuck": ("error", False, None, 10, 310), "edge": ("error", True, 0, None, 300),
+        "twice": ("done", True, 20, None, 30), "tick": ("done", True, 5000, None, 5200), "old": ("error", False, 5100, None, 5400),
+    }
+
+
 def test_window_counts(spark):
     got = sl.window_counts(frame(spark, [("a", 0, 30), ("a", 1, 90)]), "2 minutes", "1 minute").collect()
     assert {(r.window_start, r.events) for r in got} == {(at(-60), 1), (at(0), 2), (at(60), 1)}
