@@ -106,6 +106,6 @@ def test_empty_tables(spark, planted, tmp_path):
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
-    assert set(queries.ORACLE) == {"op2_quality_rules", "op4_mixing"} and set(queries.ORACLE) <= set(entry.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+    assert set(queries.ORACLE) == {"op2_quality_rules", "op4_mixing", "op13_phrase_mining"} and set(queries.ORACLE) <= set(entry.oracle_sql())
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
