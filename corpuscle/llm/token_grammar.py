@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.config import broadcast_if_small, materialize
 from corpuscle.llm.arrays import flat, slices
 from corpuscle.llm.storage import small_batches
 from corpuscle.operators.ordering import running_before
@@ -356,7 +357,8 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     narrow = table.select("shard", "n_tokens").withColumn("_all", F.lit(0))
     # Numbers grow by partition: a range of them is one bucket, so even millions of shards meet in several tasks.
     firsts = running_before(narrow, ["_all"], [F.col("shard")], F.shiftright("shard", 42), {"first": F.col("n_tokens")})
-    return table.join(firsts.select("shard", "first"), "shard")
+    # One number a shard; the shards themselves stay where they are.
+    return table.join(broadcast_if_small(materialize(firsts.select("shard", "first"), "shard-firsts"), 32), "shard")
 
 
 def _decoder(row: dict) -> tuple[Decoder, np.ndarray]:
@@ -373,7 +375,8 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("vocabulary", "rules", "spans", "symbols", "first")}
+                row = {n: batch.column(n)[i].as_py() for n in ("vocabulary", "first")}
+                row |= {n: batch.column(n)[i].as_buffer() for n in ("rules", "spans", "symbols")}
                 decoder, symbols = _decoder(row)
                 ids, lengths, widths = (batch.column(n)[i].values for n in ("ids", "lengths", "widths"))
                 n = lengths.to_numpy()
