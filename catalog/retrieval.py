@@ -70,13 +70,13 @@ def vector_topk_passes(spark, d):
 @query("vector_topk_ann_exact", "SELECT vec_id AS qid, true AS exact FROM embeddings")
 def vector_topk_ann_exact(spark, d):
     """Whatever the index finds has its true similarity, and every query finds as many chunks as it asks for."""
-    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot("embedding", "embedding")).alias("length"))
     found = vector_topk_ann_all(spark, d)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = found.join(vectors.select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), "qid").join(
-        vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("c")), "id"
+    met = found.join(vectors.select(F.col("vec_id").alias("qid"), F.col("v").alias("q"), F.col("length").alias("q_length")), "qid").join(
+        vectors.select(F.col("vec_id").alias("id"), F.col("v").alias("c"), F.col("length").alias("c_length")), "id"
     )
-    cosine = dot("q", "c") / F.sqrt(dot("q", "q") * dot("c", "c"))
+    cosine = dot("q", "c") / (F.col("q_length") * F.col("c_length"))
     enough = min(40, live(spark, d).count())
     right = F.bool_and(F.abs(cosine - F.col("similarity")) < 2e-6) & (F.count(F.lit(1)) == enough)
     checked = met.groupBy("qid").agg(right.alias("exact"))

@@ -3,6 +3,9 @@
 Similarities are dense matrix products, which SQL expressions cannot do at speed,
 so each task multiplies Arrow batches with numpy and keeps its k best rows per
 query. No pair of rows ever leaves a task except those k.
+
+Few queries are broadcast and the chunks stay where they are. More are cut into blocks, as the
+chunks are, and every pair of blocks meets in a task (`paired_topk`): its memory is that of two blocks and k rows per query of one.
 """
 
 from __future__ import annotations
@@ -20,6 +23,16 @@ from corpuscle.operators.ordering import top_k
 # batch they were multiplied in; ties go to the lower id.
 SIMILARITY_DIGITS = 9
 _QUERIES_PER_PRODUCT = 512
+# Bytes that a result row of the broadcast search takes in a task while lists are merged.
+_ROW_BYTES = 200
+# Bytes of the vectors in a block of queries and in one of chunks, and the queries below which a block is not cut for more tasks.
+_QUERY_BLOCK = 16 << 20
+_CHUNK_BLOCK = 32 << 20
+_LEAST_QUERIES = 2048
+# Queries and chunks of one product, and the candidates a query may have before they are ranked.
+_TILE = 1024
+_PIECE = 4096
+_WAITING = 48
 # The approximate search chooses its radius so that a sample of so many queries and chunks reaches this recall.
 RECALL = 0.92
 _SAMPLE_QUERIES = 256
@@ -122,18 +135,192 @@ def _topk(queries, chunks, k, keys, query_vector, id_col, vector, settings, cell
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    # Queries beyond the bound go in blocks, each in a pass of its own over the chunks, which are never moved.
+    # The queries and what a task keeps for them must fit the bound; else blocks of both sides meet.
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("length")).first()
-    max_rows = max(1, settings.broadcast_max_bytes // (8 * (size["length"] or 1)))
-    passes = max(1, math.ceil(size["n"] / max_rows))
-    best = None
-    for i in range(passes):
-        block = q if passes == 1 else q.filter(F.pmod(F.xxhash64(*keys), F.lit(passes)) == i)
-        part = _scan_with_shared_queries(block.toPandas(), c, k, keys, id_col, out, cell, radius)
-        best = part if best is None else best.unionByName(part)
+    length = size["length"] or 1
+    if size["n"] * (8 * length + _ROW_BYTES * k) <= settings.broadcast_max_bytes:
+        best = _scan_with_shared_queries(q.toPandas(), c, k, keys, id_col, out, cell, radius)
+    else:
+        probes = None if cell is None else lambda own, numbers: lambda rows: _near_cells(own, numbers, radius, rows)
+        best = paired_topk(q, c, k, keys, id_col, out, size["n"], c.count(), length, cell, cell, probes)
     return top_k(best, keys, [F.desc("similarity"), F.asc(id_col)], k)
 
 
+def _near_cells(own, numbers, radius, rows):
+    import numpy as np
+
+    return np.bitwise_count(own.to_numpy().astype("int64")[rows, None] ^ numbers[None, :]) <= radius
+
+
+def _block_search(k: int, digits: int):
+    """Kernel: the k best chunks of every query of a block pair.
+
+    A product in single precision finds the candidates, with a margin above its error; their similarities are
+    then taken in double precision, so the result is that of the exact product. The parts are closures, as above.
+    """
+
+    def matrix(column):
+        """(vectors, lengths, rows) of the rows that have a direction."""
+        import numpy as np
+
+        column = column.combine_chunks()
+        m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+        norms = np.sqrt(np.einsum("ij,ij->i", m, m, dtype="float64"))
+        usable = np.flatnonzero(norms > 0)
+        return (m, norms, usable) if len(usable) == len(m) else (m[usable], norms[usable], usable)
+
+    def unit(m, norms):
+        import numpy as np
+
+        out = np.empty(m.shape, "float32")
+        for a in range(0, len(m), 1 << 14):
+            out[a : a + (1 << 14)] = m[a : a + (1 << 14)] / norms[a : a + (1 << 14), None]
+        return out
+
+    def without_copies(m, numbers, rank):
+        """The rows without those that k equal vectors of lower rank precede."""
+        import numpy as np
+
+        words = np.ascontiguousarray(m).view("uint32").reshape(len(m), -1)
+        mixed = numbers.astype("uint64")
+        for j in range(words.shape[1]):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + words[:, j]
+            mixed ^= mixed >> np.uint64(29)
+        order = np.lexsort((rank, mixed))
+        fresh = np.ones(len(m), bool)
+        alike = np.flatnonzero(mixed[order][1:] == mixed[order][:-1])
+        same = (words[order[alike]] == words[order[alike + 1]]).all(1) & (numbers[order[alike]] == numbers[order[alike + 1]])
+        fresh[alike[same] + 1] = False
+        begins = np.flatnonzero(fresh)
+        place = np.arange(len(m)) - np.repeat(begins, np.diff(np.append(begins, len(m))))
+        return np.sort(order[place < k])
+
+    def exact(queries, q_norms, chunks, c_norms, q, c):
+        import numpy as np
+
+        out = np.empty(len(q))
+        for a in range(0, len(q), 1 << 14):
+            x, y = q[a : a + (1 << 14)], c[a : a + (1 << 14)]
+            product = np.einsum("ij,ij->i", queries[x].astype("float64"), chunks[y].astype("float64"))
+            out[a : a + (1 << 14)] = product / (q_norms[x] * c_norms[y])
+        return np.round(out, digits)
+
+    def pieces(borders, mask):
+        """(from, to, asking rows or None for all) over the segments, runs of those that all rows ask for as one."""
+        import numpy as np
+
+        every, some = mask.all(0), mask.any(0)
+        at, last = 0, len(borders) - 1
+        while at < last:
+            until = at + 1
+            if every[at]:
+                while until < last and every[until]:
+                    until += 1
+            if some[at]:
+                who = None if every[at] else np.flatnonzero(mask[:, at])
+                for low in range(borders[at], borders[until], _PIECE):
+                    yield low, min(low + _PIECE, borders[until]), who
+            at = until
+
+    def search(queries, q_norms, chunks, c_norms, rank, borders, asked):
+        """Per tile of queries: (query row, chunk row, similarity). `chunks` stand by segment, `asked` tells a tile's segments."""
+        import numpy as np
+
+        margin = 2 * (queries.shape[1] + 8) * 2.0**-23
+        c32 = unit(chunks, c_norms)
+        for start in range(0, len(queries), _TILE):
+            own, own_norms = queries[start : start + _TILE], q_norms[start : start + _TILE]
+            x, n = unit(own, own_norms), len(own)
+            mask = np.ones((n, len(borders) - 1), bool) if asked is None else asked(slice(start, start + _TILE))
+            floor = np.full(n, -np.inf)
+            held = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
+            waiting, wait = [], 0
+
+            def merge():
+                q, c = (np.concatenate(p) for p in zip(*waiting, strict=True))
+                sims = exact(own, own_norms, chunks, c_norms, q, c)
+                near = sims >= floor[q]
+                q, c, sims = (np.concatenate((h, p[near])) for h, p in zip(held, (q, c, sims), strict=True))
+                order = np.lexsort((rank[c], -sims, q))
+                q, c, sims = q[order], c[order], sims[order]
+                first = np.searchsorted(q, np.arange(n))
+                place = np.arange(len(q)) - first[q]
+                last = place == k - 1
+                floor[q[last]] = sims[last]
+                best = place < k
+                return q[best], c[best], sims[best]
+
+            for low, high, who in pieces(borders, mask):
+                part = x if who is None else x[who]
+                sims = part @ c32[low:high].T
+                least = (floor if who is None else floor[who]) - margin
+                fresh = np.flatnonzero(least == -np.inf)
+                if len(fresh) and high - low > k:
+                    least[fresh] = np.partition(sims[fresh], -k, axis=1)[:, -k] - margin
+                hits = np.flatnonzero(sims >= least.astype("float32")[:, None])
+                if not len(hits):
+                    continue
+                q, c = np.divmod(hits, high - low)
+                waiting.append((q if who is None else who[q], c + low))
+                wait += len(hits)
+                if wait > _WAITING * n or 4 * len(fresh) > n:
+                    held = merge()
+                    waiting, wait = [], 0
+            if waiting:
+                held = merge()
+            yield held[0] + start, held[1], held[2]
+
+    return matrix, without_copies, search
+
+
+def paired_topk(queries, chunks, k, keys, id_col, out, n_queries, n_chunks, length, segment=None, extra=None, probes=None):
+    """The k best chunks per query of every block pair; blocks are dealt by hash, so that equal keys, lists or cells do not meet in one.
+
+    `queries` has the keys, `_qv` and `extra`; `chunks` has `_id`, `_cv` and `segment`. With `probes`, a query is compared only with the
+    segments it asks for: probes(extra column, segment numbers) gives a function from a slice of queries to (query, segment) marks.
+    """
+    spark = queries.sparkSession
+    rows = lambda block: max(1, block // (4 * length))
+    chunk_blocks = max(1, math.ceil(n_chunks / rows(_CHUNK_BLOCK)))
+    spread = min(math.ceil(2 * spark.sparkContext.defaultParallelism / chunk_blocks), math.ceil(n_queries / _LEAST_QUERIES))
+    query_blocks = max(1, math.ceil(n_queries / rows(_QUERY_BLOCK)), spread)
+    pairs = query_blocks * chunk_blocks
+    matrix, without_copies, search = _block_search(k, SIMILARITY_DIGITS)
+    schema = out
+
+    def meet(left, right):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        q, q_norms, q_rows = matrix(left.column("_qv"))
+        c, c_norms, c_rows = matrix(right.column("_cv"))
+        if not len(q) or not len(c):
+            return pa.table({f.name: pa.array([], left.schema.field(f.name).type if f.name in keys else None) for f in schema.fields[: len(keys)]}
+                            | {id_col: pa.array([], right.schema.field("_id").type), "similarity": pa.array([], pa.float64())})
+        ids = right.column("_id").combine_chunks().take(pa.array(c_rows))
+        rank = np.empty(len(ids), "int64")
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        numbers = right.column(segment).to_numpy().astype("int64")[c_rows] if segment else np.zeros(len(ids), "int64")
+        kept = without_copies(c, numbers, rank)
+        kept = kept[np.argsort(numbers[kept], kind="stable")]
+        c, c_norms, rank, numbers, ids = c[kept], c_norms[kept], rank[kept], numbers[kept], ids.take(pa.array(kept))
+        begins = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+        asked = probes(left.column(extra).combine_chunks().take(pa.array(q_rows)), numbers[begins]) if probes else None
+        found = list(search(q, q_norms, c, c_norms, rank, np.append(begins, len(c)).tolist(), asked))
+        q_at, c_at, sims = (np.concatenate(p) for p in zip(*found, strict=True))
+        at = pa.array(q_rows[q_at])
+        return pa.table({key: left.column(key).combine_chunks().take(at) for key in keys} | {id_col: ids.take(pa.array(c_at)), "similarity": pa.array(sims)})
+
+    def dealt(df, own, n_own, other, n_other, by):
+        copies = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+        return df.select("*", F.pmod(F.xxhash64(*by), F.lit(n_own)).cast("int").alias(own)).select("*", copies).repartition(pairs, "_qb", "_cb")
+
+    left = dealt(queries, "_qb", query_blocks, "_cb", chunk_blocks, [*keys, "_qv"])
+    right = dealt(chunks, "_cb", chunk_blocks, "_qb", query_blocks, ["_id", "_cv"])
+    return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(meet, out)
+
+
 def _scan_with_shared_queries(head, chunks, k, keys, id_col, out, cell, radius):
     """Every task scans its chunks once against all queries of the block."""
     import numpy as np

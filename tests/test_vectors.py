@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from corpuscle.config import Settings
+from corpuscle.operators import vectors
 from corpuscle.operators.vectors import vector_topk, vector_topk_ann, with_cell
 
 SMALL = Settings(embedding_dimensions=8)
@@ -80,3 +81,24 @@ def test_recall_at_the_registered_k(spark, bits):
     found = {(r.qid, r.id) for r in vector_topk_ann(queries, with_cell(chunks, "embedding", bits), 40, bits=bits, settings=settings).collect()}
     assert len(found & exact) / len(exact) >= 0.9
     assert len(found) == len(exact)
+
+
+def test_queries_beyond_the_bound_meet_in_blocks(spark, monkeypatch):
+    """However many queries there are, the plan stays one step over pairs of blocks."""
+    c, q, chunks, queries = data(spark, n=200, nq=60)
+    monkeypatch.setattr(vectors, "_CHUNK_BLOCK", 4 * 8 * 30)
+    monkeypatch.setattr(vectors, "_QUERY_BLOCK", 4 * 8 * 7)
+    monkeypatch.setattr(vectors, "_TILE", 4)
+    monkeypatch.setattr(vectors, "_PIECE", 16)
+    found = vector_topk(queries, chunks, 10, settings=BLOCKED)
+    assert {(r.qid, r.id, r["rank"], round(r.similarity, 7)) for r in found.collect()} == brute(c, q, 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CoGroup") == 1 and "MapInPandas" not in plan
+
+
+def test_many_copies_in_blocks(spark):
+    """A third of the chunks share one vector: of the copies the lowest ids stay, also where queries go in blocks."""
+    chunks = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 == 0 else [0.0, float(i)]) for i in range(900)], "id long, embedding array<float>")
+    q = spark.createDataFrame([(f"q{i}", [1.0, 0.0]) for i in range(50)], "qid string, vec array<float>")
+    got = vector_topk(q, chunks.repartition(4), 10, settings=BLOCKED).collect()
+    assert {(r.qid, r.id, r["rank"]) for r in got} == {(f"q{i}", 3 * r, r) for i in range(50) for r in range(10)}
