@@ -1,8 +1,8 @@
 """Vector search through an index of k-means lists.
 
-Every chunk is stored in the list of its nearest centroid, with the angle between the two. A search works for a block of queries at a time:
+Every chunk is stored in the list of its nearest centroid, with the angle between the two. A search takes all queries in two rounds:
 first the nearest lists of each query, until they hold a few times k chunks; the k-th similarity found then rules out
-every other list whose chunks cannot come close enough, and only the rest is read. Centroids are fitted on a bounded sample,
+every other list whose chunks cannot come close enough, and only the rest is compared. In both, blocks of queries meet blocks of chunks. Centroids are fitted on a bounded sample,
 but every chunk is in the index, and similarities are exact.
 
 Two bounds are offered. The exact one follows from the triangle inequality: a chunk is no nearer to the query than the difference of
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from corpuscle.config import DEFAULTS, Settings, materialize
 from corpuscle.operators.ordering import top_k
-from corpuscle.operators.vectors import SIMILARITY_DIGITS, _best_rows
+from corpuscle.operators.vectors import paired_topk
 
 SAMPLE_ROWS = 100_000
 MOST_LISTS = 4096
@@ -131,36 +131,12 @@ def read_lists(spark: SparkSession, path: str) -> Lists:
     return Lists(centroids, column("size"), column("mean"), column("most"))
 
 
-def _scan(chunks: DataFrame, head, unit: np.ndarray, probe: np.ndarray, k: int, keys: list[str], id_col: str, vector: str, out: T.StructType) -> DataFrame:
-    """The k best chunks per query among the lists it probes: each task multiplies a list's chunks with the queries that ask for it."""
-    matrix, sortable, keep_best, score = _best_rows(k, SIMILARITY_DIGITS, None)
-    wanted = np.flatnonzero(probe.any(axis=0)).tolist()
-    shared = chunks.sparkSession.sparkContext.broadcast((unit, np.packbits(probe, axis=0), head[keys].reset_index(drop=True)))
-    n_queries = len(unit)
+def _marks(own, numbers):
+    """Bit rows of the lists a query asks for -> marks of those lists for a slice of queries."""
+    import numpy as np
 
-    def scan(batches):
-        import numpy as np
-
-        queries, packed, labels = shared.value
-        best = None
-        for pdf in batches:
-            numbers = pdf["list"].to_numpy()
-            for number in np.unique(numbers):
-                asking = np.flatnonzero(np.unpackbits(packed[:, number], count=n_queries))
-                own = pdf[numbers == number]
-                if not len(asking):
-                    continue
-                rows, ids, sims = score(queries[asking], None, sortable(own["_id"]), own["_cv"], None)
-                part = asking[rows], ids, sims
-                best = part if best is None else keep_best(*(np.concatenate(p) for p in zip(best, part, strict=True)))
-        if best is not None:
-            rows, ids, sims = best
-            frame = labels.iloc[rows].reset_index(drop=True)
-            frame[id_col], frame["similarity"] = ids, sims
-            yield frame
-
-    asked = chunks.filter(F.col("list").isin(wanted)).select(F.col(id_col).alias("_id"), F.col(vector).alias("_cv"), "list")
-    return asked.mapInPandas(scan, out)
+    packed = np.stack([np.frombuffer(x, "uint8") for x in own.to_pylist()])
+    return lambda rows: np.unpackbits(packed[rows], axis=1)[:, numbers].astype(bool)
 
 
 def search_lists(
@@ -178,57 +154,65 @@ def search_lists(
 ) -> DataFrame:
     """Per query the k chunks of highest cosine similarity through the index: keys, id, similarity, rank, n_read.
 
-    `n_read` is the number of chunks the query was compared with. Queries go in blocks of a bounded size, each with a written result.
-    With `exact` the result is that of the exact search.
+    `n_read` is the number of chunks the query was compared with. With `exact` the result is that of the exact search.
+    Nothing but the centroids is broadcast, whatever the bound of `settings`.
     """
     spark = queries.sparkSession
     keys = list(keys)
     lists = read_lists(spark, path)
-    chunks = read_chunks(spark, path, chunk_schema)
-    out = T.StructType([
-        *[queries.schema[key] for key in keys], T.StructField(id_col, chunk_schema[id_col].dataType), T.StructField("similarity", T.DoubleType()),
+    chunks = read_chunks(spark, path, chunk_schema).select(F.col(id_col).alias("_id"), F.col(vector).alias("_cv"), "list")
+    id_type = chunk_schema[id_col].dataType
+    final = T.StructType([
+        *[queries.schema[key] for key in keys], T.StructField(id_col, id_type), T.StructField("similarity", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()), T.StructField("n_read", T.LongType()),
     ])
-    final = T.StructType([*out.fields, T.StructField("rank", T.IntegerType()), T.StructField("n_read", T.LongType())])
     q = queries.filter(F.exists(query_vector, lambda x: x != 0)).select(*keys, F.col(query_vector).alias("_qv"))
-    n = q.count()
-    if not n or not lists.sizes.sum():
+    q = materialize(q.withColumn("_row", F.monotonically_increasing_id()), "queries")
+    n, n_chunks = q.count(), int(lists.sizes.sum())
+    if not n or not n_chunks:
         return spark.createDataFrame([], final)
-    # A block holds its vectors and one number per list for every query.
-    row_bytes = 8 * (lists.centroids.shape[1] + len(lists.sizes))
-    blocks = math.ceil(n / max(1, settings.broadcast_max_bytes // row_bytes))
-    q = materialize(q.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks))), "queries") if blocks > 1 else q.withColumn("_block", F.lit(0))
-    best = None
-    for i in range(blocks):
-        part = _search_block(q.filter(F.col("_block") == i), chunks, lists, k, keys, id_col, vector, out, exact, slack)
-        best = part if best is None else best.unionByName(part)
-    return best
-
-
-def _search_block(queries: DataFrame, chunks: DataFrame, lists: Lists, k, keys, id_col, vector, out, exact, slack) -> DataFrame:
-    spark = queries.sparkSession
-    head = queries.toPandas()  # a block is bounded
-    if not len(head):
-        return spark.createDataFrame([], out).withColumns({"rank": F.lit(0), "n_read": F.lit(0).cast("bigint")})
-    m = np.vstack(head["_qv"].to_numpy()).astype("float64")
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    head["_row"] = np.arange(len(head))
-    cosines = np.clip(unit @ lists.centroids.T, -1, 1)
+    shared = spark.sparkContext.broadcast(lists)  # MOST_LISTS rows at most
+    out = T.StructType([T.StructField("_row", T.LongType()), T.StructField(id_col, id_type), T.StructField("similarity", T.DoubleType())])
     order = [F.desc("similarity"), F.asc(id_col)]
-    numbered = T.StructType([T.StructField("_row", T.LongType()), *out.fields[len(keys) :]])
-
-    first = lists.nearest(cosines, FIRST_SHARE * k)
-    found = materialize(top_k(_scan(chunks, head, unit, first, k, ["_row"], id_col, vector, numbered), ["_row"], order, k).drop("rank"), "near")
-    reached = found.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("worst")).toPandas()
-    worst = np.full(len(head), -np.inf)
-    full = reached["n"].to_numpy() >= k
-    worst[reached["_row"].to_numpy()[full]] = reached["worst"].to_numpy()[full]
-    more = lists.probes(cosines, worst, exact, slack) & ~first & (lists.sizes > 0)
-    if more.any():
-        rest = _scan(chunks, head, unit, more, k, ["_row"], id_col, vector, numbered)
-        found = top_k(found.unionByName(rest), ["_row"], order, k)
-    else:
-        found = top_k(found, ["_row"], order, k)
-    head["n_read"] = ((first | more) @ lists.sizes).astype("int64")
-    names = T.StructType([*out.fields[: len(keys)], T.StructField("_row", T.LongType()), T.StructField("n_read", T.LongType())])
-    labels = spark.createDataFrame(head[[*keys, "_row", "n_read"]], names)
-    return materialize(found.join(F.broadcast(labels), "_row").select(*keys, id_col, "similarity", F.col("rank").cast("int").alias("rank"), "n_read"), "block")
+
+    def asked(rows: DataFrame, first_round: bool) -> DataFrame:
+        """Rows with `_probe`, the lists to compare as bits, and `n_read`, the chunks in them; `_before` are those of the first round."""
+
+        @F.pandas_udf("probe binary, n_read bigint")
+        def probe(vectors, worst, before):
+            import numpy as np
+            import pandas as pd
+
+            own = shared.value
+            bits, sizes = [], []
+            m = np.vstack(vectors.to_numpy()).astype("float64") if len(vectors) else np.zeros((0, own.centroids.shape[1]))
+            for start in range(0, len(m), 1024):
+                part = m[start : start + 1024]
+                cosines = np.clip(part / np.linalg.norm(part, axis=1, keepdims=True) @ own.centroids.T, -1, 1)
+                if first_round:
+                    marks = own.nearest(cosines, FIRST_SHARE * k)
+                else:
+                    done = np.stack([np.frombuffer(x, "uint8") for x in before[start : start + 1024]])
+                    done = np.unpackbits(done, axis=1, count=len(own.sizes)).astype(bool)
+                    marks = own.probes(cosines, worst.to_numpy()[start : start + 1024], exact, slack) & ~done & (own.sizes > 0)
+                bits += [row.tobytes() for row in np.packbits(marks, axis=1)]
+                sizes.append((marks @ own.sizes).astype("int64"))
+            return pd.DataFrame({"probe": bits, "n_read": np.concatenate(sizes) if sizes else np.zeros(0, "int64")})
+
+        return rows.withColumn("_p", probe("_qv", "_worst", "_before")).select("_row", "_qv", F.col("_p.probe").alias("_probe"), F.col("_p.n_read").alias("n_read"))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        probed = rows.select("_row", "_qv", "_probe")
+        return paired_topk(probed, chunks, k, ["_row"], id_col, out, n, n_chunks, lists.centroids.shape[1], "list", "_probe", _marks)
+
+    never = F.lit(float("-inf"))
+    first = materialize(asked(q.withColumns({"_worst": never, "_before": F.lit(b"")}), True), "probes")
+    found = materialize(top_k(compared(first), ["_row"], order, k).drop("rank"), "near")
+    reached = found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_w"))
+    bounded = first.withColumnRenamed("_probe", "_before").join(reached, "_row", "left").withColumn("_worst", F.when(F.col("_n") >= k, F.col("_w")).otherwise(never))
+    more = materialize(asked(bounded, False), "probes")
+    rest = compared(more.filter("n_read > 0"))
+    best = top_k(found.unionByName(rest), ["_row"], order, k)
+    read = first.select("_row", "n_read").join(more.select("_row", F.col("n_read").alias("_more")), "_row")
+    labels = q.select("_row", *keys).join(read, "_row").select("_row", *keys, (F.col("n_read") + F.col("_more")).alias("n_read"))
+    return best.join(labels, "_row").select(*keys, id_col, "similarity", F.col("rank").cast("int").alias("rank"), "n_read")

@@ -89,3 +89,11 @@ def test_hot_vector_few_chunks_and_none(spark):
 
 def test_list_count():
     assert [list_count(n) for n in (0, 1, 100, 10**9)] == [1, 1, 10, 4096]
+
+
+def test_queries_are_not_taken_block_by_block(near):
+    """A bound that few queries fit leaves one plan, not one per block of queries."""
+    chunks, queries, path, exact = near
+    found = search_lists(queries, path, chunks.schema, 40, exact=True, settings=dataclasses.replace(SMALL, broadcast_max_bytes=1000))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+    assert {(r.qid, r.id) for r in found.collect()} == set(exact)
