@@ -4,10 +4,10 @@ The field tags the tokens of a line as begin, inside or outside of a secret. Its
 characters, length, changes between letters and digits), its neighbours (a keyword, a separator or a quote before it, what
 follows, whether it is glued to the token before) and the file (whether it looks like code, whether the line assigns).
 Weights are fitted by gradient steps on the likelihood of lines that the fixed patterns have tagged; the sample is bounded by
-`SAMPLE_DOCS` documents and `SAMPLE_LINES` lines, chosen by hash. Tags come from Viterbi. A token may begin a secret only if its
-line has a digit or a keyword, so other lines need no decoding: they are all outside.
+`SAMPLE_DOCS` documents and `SAMPLE_LINES` lines, chosen by hash. Tags are those of Viterbi, for every line. A bound on what any secret in a
+line can gain over no secret, taken from the same scores, comes first: where it is below zero the best path is all outside and needs no decoding.
 
-One pass over the texts without a shuffle; memory is that of one text.
+One pass over the texts without a shuffle; memory is that of one text, or of several short ones.
 
 Defined cases: a null text is empty and has no spans; repeated rows are scanned one by one; other columns of the input
 stay, one named `spans` is overwritten; with no line to learn from only the fixed patterns find secrets.
@@ -16,6 +16,7 @@ stay, one named `spans` is overwritten; with no line to learn from only the fixe
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ SAMPLE_LINES = 2000
 SEQUENCE = 80  # tokens of a training line
 STEPS = 60
 LEAST = 6  # characters of a secret
+TOGETHER = 1 << 17  # characters of the texts whose lines are looked at together
 
 # The patterns every scan reports, and the words that announce a secret.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,7 +42,7 @@ KINDS = ("assign", "access", "hex", "crf")
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W\d_A-Za-z]+|\S")
 _DIGIT = re.compile(r"[0-9]")
-_ANNOUNCED = re.compile("|".join(KEYWORDS), re.I | re.A)
+_KEYWORDS = frozenset(KEYWORDS)
 _LOUD = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _CODE = re.compile(r"[{};]\s*$|^\s*(?:def|class|import|const|let|var|export)\s", re.M)
 
@@ -79,13 +81,32 @@ def _type(token: str) -> int:
         return 3
     if not token.isalnum():
         return 7
-    if token.lower() in KEYWORDS:
+    if token.lower() in _KEYWORDS:
         return 1
     if token.isdigit():
         return 4
     return 6 if token.isalpha() else 5
 
 
+def _shape(t: str) -> tuple[int, int]:
+    """Numbers of a token's shape and of its changes."""
+    size = len(t)
+    length = 0 if size < 4 else 1 if size < 8 else 2 if size < 16 else 3 if size < 24 else 4 if size < 40 else 5
+    if t.isalpha():
+        if not t.isascii():  # such a token has no other letters
+            return length, 0
+        kinds = 1 if t.islower() else 2 if t.isupper() else 3
+        return kinds * 6 + length, int(kinds == 1 and not t.strip("abcdef"))
+    kinds = (any("a" <= c <= "z" for c in t)) + 2 * (any("A" <= c <= "Z" for c in t)) + 4 * (any("0" <= c <= "9" for c in t))
+    flips = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:], strict=False))
+    hexed = t.isascii() and all(c in "0123456789abcdef" for c in t)
+    return kinds * 6 + length, (0 if not flips else 1 if flips < 3 else 2 if flips < 8 else 3) * 2 + hexed
+
+
+def _open(t: str) -> bool:
+    return t.isascii() and (t.isalnum() or t in "+/_.=-")
+
+
 def features(line: str, code: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Spans of the tokens of a line, a row of feature numbers for each, and which may begin or continue a secret."""
     spans = [m.span() for m in _TOKEN.finditer(line)]
@@ -97,38 +118,56 @@ def features(line: str, code: bool) -> tuple[list[tuple[int, int]], np.ndarray,
     file = 2 * code + ("=" in line)
     last_keyword = -99
     for i, t in enumerate(tokens):
-        size = len(t)
-        kinds = (any("a" <= c <= "z" for c in t)) + 2 * (any("A" <= c <= "Z" for c in t)) + 4 * (any("0" <= c <= "9" for c in t))
-        length = 0 if size < 4 else 1 if size < 8 else 2 if size < 16 else 3 if size < 24 else 4 if size < 40 else 5
-        flips = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:], strict=False))
-        hexed = t.isascii() and all(c in "0123456789abcdef" for c in t)
-        changes = (0 if not flips else 1 if flips < 3 else 2 if flips < 8 else 3) * 2 + hexed
+        shape, changes = _shape(t)
         before = types[i - 1] if i else 0
         glued = i > 0 and spans[i - 1][1] == spans[i][0]
         rows[i] = (
-            at[0] + kinds * 6 + length, at[1] + changes, at[2] + types[i], at[3] + before, at[4] + (types[i - 2] if i > 1 else 0),
+            at[0] + shape, at[1] + changes, at[2] + types[i], at[3] + before, at[4] + (types[i - 2] if i > 1 else 0),
             at[5] + (types[i + 1] if i + 1 < n else 0), at[6] + (i - last_keyword <= 5), at[7] + glued * 8 + before, at[8] + file,
         )
         if types[i] == 1:
             last_keyword = i
-    open_ = np.array([t.isascii() and (t.isalnum() or t in "+/_.=-") for t in tokens], bool)
+    open_ = np.array([_open(t) for t in tokens], bool)
     return spans, rows, open_
 
 
-def candidate_lines(text: str) -> Iterator[tuple[int, str]]:
-    """(start, line) of the lines in which a secret can stand: those with a digit or a keyword."""
-    if not (_DIGIT.search(text) or _ANNOUNCED.search(text)):
-        return
-    start = 0
-    for line in text.split("\n"):
-        if _DIGIT.search(line) or _ANNOUNCED.search(line):
-            yield start, line
-        start += len(line) + 1
+class Words(dict):
+    """Word -> the classes of its tokens as 16-bit numbers; a class has shape, changes, type, whether open, whether glued to the token before.
+
+    White space alone parts tokens that are not glued, so a word's tokens do not depend on where it stands.
+    """
+
+    MOST = 1 << 17
+    LONGEST = 64
+
+    def __init__(self):
+        super().__init__()
+        self.numbers: dict[tuple, int] = {}
+        self.table = np.zeros((5, 0), np.int64)
+
+    def classes(self) -> np.ndarray:
+        """A row each for the shape, changes, type, openness and glue of all classes."""
+        if self.table.shape[1] < len(self.numbers):
+            self.table = np.array(list(self.numbers), np.int64).T
+        return self.table
+
+    def __missing__(self, word: str) -> bytes:
+        out = []
+        for k, t in enumerate(_TOKEN.findall(word)):
+            out.append(self.numbers.setdefault((*_shape(t), _type(t), _open(t), k > 0), len(self.numbers)))
+        own = array("H", out).tobytes()
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = own
+        return own
 
 
 # --- the field --------------------------------------------------------------------------
 
 NEVER = -1e9
+# What a token that can be in no secret loses in the bound.
+FAR = 1e3
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -207,35 +246,101 @@ class Field:
         self.steps[OUTSIDE, INSIDE] = NEVER
         self.trained = True
 
+    def may_hold(self, lines: list[str], code: np.ndarray, words: Words) -> np.ndarray:
+        """Per line, with the code marks of their files, whether a path with a secret can be as good as the one that is all outside.
+
+        A run of begin and inside tokens gains its first token's start, the best step into each further one, and its end. The runs
+        of a path add up, so where the best run of a line loses, every path with runs does.
+        """
+        out = np.zeros(len(lines), bool)
+        known = words.__getitem__
+        packed = [b"".join(map(known, line.split())) for line in lines]
+        sizes = np.fromiter(map(len, packed), np.int64, len(lines)) // 2
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            return out
+        token = np.frombuffer(b"".join(packed), np.uint16)
+        shape, changes, kind, open_, glued = words.classes()
+        gain = self.weights[:, 1:] - self.weights[:, :1]
+        at = _OFFSETS
+        own = gain[at["shape"] + shape] + gain[at["changes"] + changes] + gain[at["type"] + kind]
+        own[open_ == 0] = -FAR
+        n = len(token)
+        ends = np.cumsum(sizes[some])
+        starts = ends - sizes[some]
+        place, line = np.arange(n), np.repeat(np.arange(len(some)), sizes[some])
+        first = starts[line]
+        types = kind[token]
+        before, before2, after = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        before[1:], before2[2:], after[:-1] = types[:-1], types[:-2], types[1:]
+        before[starts], after[ends - 1] = 0, 0
+        before2[place - first < 2] = 0
+        keyword = np.full(n + 1, -99)
+        keyword[1:] = np.maximum.accumulate(np.where(types == 1, place, -99))
+        near = (place - keyword[:-1] <= 5) & (keyword[:-1] >= first)
+        file = 2 * code[some] + np.fromiter(("=" in lines[k] for k in some.tolist()), np.int64, len(some))
+        score = own[token] + gain[at["before"] + before] + gain[at["before2"] + before2] + gain[at["after"] + after]
+        score += gain[at["near"] + near] + gain[at["glued"] + glued[token] * 8 + before] + gain[at["file"] + file][line]
+        (oo, ob, _), (bo, bb, bi), (io, ib, ii) = self.steps.tolist()
+        start, end = score[:, 0] + (ob - oo), np.full(n, max(bo, io) - oo)
+        start[starts] -= ob - oo
+        end[ends - 1] = 0.0
+        further = np.maximum(np.maximum(score[:, 0] + max(bb, ib) - oo, score[:, 1] + max(bi, ii) - oo), -FAR)
+        total = np.cumsum(further)
+        total -= (total[starts] - further[starts])[line]
+        # The best start so far in the same line: later lines stand higher than all of an earlier one.
+        lead = start - total
+        lift = (lead.max() - lead.min() + 1.0) * line
+        run = np.maximum.accumulate(lead + lift) - lift + total + end
+        out[some] = np.maximum.reduceat(run, starts) > -1e-3
+        return out
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Secrets of a text as the field sees them."""
-        out = []
+        return self.spans_of([text], Words())[0]
+
+    def spans_of(self, texts: list[str], words: Words) -> list[list[tuple[int, int]]]:
+        """Secrets of every text."""
+        found: list[list[tuple[int, int]]] = [[] for _ in texts]
         if not self.trained:
+            return found
+        split = [t.split("\n") for t in texts]
+        code = np.array([bool(_CODE.search(t)) for t in texts], np.int64)
+        counts = np.array([len(x) for x in split])
+        lines = [line for x in split for line in x]
+        marked = np.flatnonzero(self.may_hold(lines, np.repeat(code, counts), words))
+        owners = np.repeat(np.arange(len(texts)), counts)[marked]
+        firsts = np.cumsum(counts) - counts
+        for at, t in zip(marked.tolist(), owners.tolist(), strict=True):
+            start = sum(len(x) + 1 for x in lines[firsts[t] : at])
+            found[t] += self._spans_of_line(lines[at], start, bool(code[t]))
+        return found
+
+    def _spans_of_line(self, line: str, start: int, code: bool) -> list[tuple[int, int]]:
+        out = []
+        spans, rows, open_ = features(line, code)
+        if not open_.any():
             return out
-        code = bool(_CODE.search(text))
-        for start, line in candidate_lines(text):
-            spans, rows, open_ = features(line, code)
-            if not open_.any():
-                continue
-            states = self.decode(rows, open_)
-            i = 0
-            while i < len(states):
-                if states[i] == BEGIN:
-                    j = i + 1
-                    while j < len(states) and states[j] == INSIDE:
-                        j += 1
-                    if spans[j - 1][1] - spans[i][0] >= LEAST:
-                        out.append((start + spans[i][0], start + spans[j - 1][1]))
-                    i = j
-                else:
-                    i += 1
+        states = self.decode(rows, open_)
+        i = 0
+        while i < len(states):
+            if states[i] == BEGIN:
+                j = i + 1
+                while j < len(states) and states[j] == INSIDE:
+                    j += 1
+                if spans[j - 1][1] - spans[i][0] >= LEAST:
+                    out.append((start + spans[i][0], start + spans[j - 1][1]))
+                i = j
+            else:
+                i += 1
         return out
 
 
 def _lines(text: str) -> Iterator[tuple[str, bool, list[tuple[int, int]]]]:
     """Training lines of a text: a stretch of at most SEQUENCE tokens, the code mark, and the secrets in it."""
     code, secrets = bool(_CODE.search(text)), _values(text)
-    for start, line in candidate_lines(text):
+    start = 0
+    for line in text.split("\n"):
         tokens = [m.span() for m in _TOKEN.finditer(line)]
         own = [(a - start, b - start) for a, b in secrets if start <= a and b <= start + len(line)]
         wanted = own[0][0] if own else next((m.start() for m in _DIGIT.finditer(line)), 0)
@@ -244,6 +349,7 @@ def _lines(text: str) -> Iterator[tuple[str, bool, list[tuple[int, int]]]]:
         if part:
             first, last = part[0][0], part[-1][1]
             yield line[first:last], code, [(a - first, b - first) for a, b in own if first <= a and b <= last]
+        start += len(line) + 1
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Field:
@@ -289,21 +395,34 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = cloudpickle.loads(shared.value)
+        own, words = cloudpickle.loads(shared.value), Words()
         for batch in batches:
             out = []
-            for value in batch.column("text"):
-                text = value.as_py() or ""
-                fixed = fixed_spans(text)
-                more = [(a, b, "crf") for a, b in own.spans(text) if not any(x < b and a < y for x, y, _ in _near(fixed, a, b))]
-                spans = sorted(fixed + more, key=lambda s: (s[0], KINDS.index(s[2])))
-                out.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
+            for texts in _together(batch.column("text")):
+                for text, seen in zip(texts, own.spans_of(texts, words), strict=True):
+                    fixed = fixed_spans(text)
+                    more = [(a, b, "crf") for a, b in seen if not any(x < b and a < y for x, y, _ in _near(fixed, a, b))]
+                    spans = sorted(fixed + more, key=lambda s: (s[0], KINDS.index(s[2])))
+                    out.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(run, f"{fields}, spans array<struct<kind:string,start:int,end:int>>")
 
 
+def _together(column: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, so many at once that they have about `TOGETHER` characters."""
+    held, size = [], 0
+    for value in column:
+        held.append(value.as_py() or "")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _near(fixed: list[tuple[int, int, str]], start: int, end: int) -> list[tuple[int, int, str]]:
     """The fixed spans among which an overlap can be: those of each kind around the place."""
     return fixed if len(fixed) < 16 else [s for s in fixed if s[0] < end and s[1] > start]

@@ -76,6 +76,37 @@ def test_viterbi_is_the_best_path():
         assert value(tuple(field.decode(rows, open_))) == pytest.approx(value(best))
 
 
+def test_every_line_is_decoded():
+    """A secret stands where the field sees one, also in lines without a digit or a keyword."""
+    import numpy as np
+
+    field = secrets.Field()
+    field.trained = True
+    value = "QwErTyUiOpAsDfGhJk"
+    _, rows, _ = secrets.features("go " + value + " now", False)
+    field.weights[rows[1][0], secrets.BEGIN], field.weights[rows[1][8], secrets.OUTSIDE] = 5.0, 1.0
+    field.steps[secrets.OUTSIDE, secrets.INSIDE] = secrets.NEVER
+    text = "some words\ngo " + value + " now\n"
+    assert field.spans(text) == [(text.index(value), text.index(value) + len(value))]
+    # With any weights the lines left out are those whose best path is all outside.
+    rnd, pick = np.random.default_rng(4), random.Random(4)
+    parts = ["abc", "token", "=", '"', "a1b2c3", "9f3b2c7d1e8a4f60", "Émile_x", "key:", "ZZ/yy+q==", "\u00a0", "x;", "٣٤", "", "password='A9'"]
+    texts = ["\n".join(" ".join(pick.choices(parts, k=pick.randint(0, 9))) for _ in range(30)) for _ in range(20)]
+    held = 0
+    for n in range(20):
+        field.weights = rnd.normal(size=field.weights.shape) - [0, n / 10, n / 10]
+        field.steps = rnd.normal(size=(3, 3))
+        field.steps[secrets.OUTSIDE, secrets.INSIDE] = secrets.NEVER
+        for text in texts:
+            may = field.may_hold(text.split("\n"), np.zeros(30, int), secrets.Words())
+            for line, mark in zip(text.split("\n"), may, strict=True):
+                _, rows, open_ = secrets.features(line, False)
+                if len(rows) and not mark:
+                    assert not any(field.decode(rows, open_)), line
+                    held += 1
+    assert held > 500
+
+
 # --- HTML -------------------------------------------------------------------------------
 
 
