@@ -229,11 +229,15 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
     return marked.join(entries, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+def later_ids(found: DataFrame) -> DataFrame:
+    """(doc_id) of `groups` that is not the smallest of its group."""
+    return found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+
+
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents whose id is the smallest of their group."""
     found = materialize(groups(docs, shingle, radius).filter(F.col("doc_id").isNotNull()), "simhash-groups")
-    later = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(later_ids(found), "doc_id", "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     by_id = Window.partitionBy("doc_id").orderBy("text")

@@ -96,6 +96,16 @@ def test_edited_copies_go(spark, planted):
     assert kept == {r[0] for r in rows} - gone
 
 
+def test_fingerprints_group_documents(spark, planted):
+    """Texts of one fingerprint whose shingle sets hardly overlap: a long repeated part, and an end of their own."""
+    rnd = random.Random(9)
+    part = words(rnd, "abcdefgh", 21)
+    rows = [(i, " ".join([part] * 50 + [words(rnd, "abcdefgh", 30)]), "en", "web", 1) for i in range(3)]
+    rows += [(3, words(rnd, "abcdefgh", 400), "en", "web", 1), (None, rows[0][1], "en", "web", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, planted[0]).collect()} == {0, 3, None}
+
+
 def test_empty_tables(spark, planted, tmp_path):
     docs = spark.read.parquet(f"{planted[0]}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
