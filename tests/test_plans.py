@@ -44,6 +44,14 @@ def corpus(spark):
     return pages, files
 
 
+def test_report_reads_no_contents(spark):
+    """What the report counts is settled on narrow rows; contents move once, to the chunk table."""
+    pages, files = corpus(spark)
+    report = ingest(pages, files, spark.createDataFrame([], CHUNK_SCHEMA), embedder(), SETTINGS).report
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "FileScan" in line and "content#" in line]
+
+
 def test_ingest_and_reindex(spark):
     pages, files = corpus(spark)
     nothing = spark.createDataFrame([], CHUNK_SCHEMA)
