@@ -112,12 +112,23 @@ def digit_density(c: Column | str) -> Column:
 # --- normalisation ------------------------------------------------------------------------
 
 
+_TEXTS_AT_ONCE = 256  # texts of an Arrow batch that are Python strings at a time
+
+
 def _unicode_form(form: str):
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def normalise(s):
         import unicodedata
 
-        return s.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
+        import pyarrow as pa
+
+        out = []
+        for at in range(0, len(s), _TEXTS_AT_ONCE):
+            some = s.slice(at, _TEXTS_AT_ONCE)
+            if some.null_count < len(some):
+                some = pa.array([x if x is None else unicodedata.normalize(form, x) for x in some.to_pylist()], s.type)
+            out.append(some)
+        return pa.concat_arrays(out) if out else s
 
     return normalise
 

@@ -64,3 +64,11 @@ def test_digit_density(spark):
 @pytest.mark.parametrize("blank", ["", " \t\n", " "])
 def test_blank(spark, blank):
     over(spark, X.is_blank, [(blank, True), (blank + "x", False)])
+
+
+def test_forms_of_many_texts(spark):
+    """A batch is brought to its form in slices, at most so many texts at a time."""
+    assert X._TEXTS_AT_ONCE < 700
+    df = spark.range(700).coalesce(1).selectExpr("id", "CASE WHEN id % 3 = 0 THEN concat('ő', id) WHEN id % 3 = 1 THEN concat('ﬁ', id) END AS t")
+    folded = {r.id: r.t for r in X.with_folded_accents(df, "t").collect()}
+    assert folded == {i: (f"o{i}", f"fi{i}", None)[i % 3] for i in range(700)}
