@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuscle.functions import vocab as V
-from corpuscle.functions.text import any_of, col, strip
+from corpuscle.functions.text import any_of, bind, col, strip
 
 
 def first_non_blank(*columns: Column | str) -> Column:
@@ -61,10 +61,21 @@ def object_path(content_hash: Column | str, name: Column | str) -> Column:
 
 
 def sanitize_filename(name: Column | str, max_length: int = 200) -> Column:
-    """Allow-listed characters only; unprintable ones are dropped first."""
-    printable = F.regexp_replace(F.coalesce(col(name), F.lit("")), r"[\p{C}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]", "")
-    safe = F.btrim(F.regexp_replace(printable, V.UNSAFE_FILENAME_PATTERN, "_"), F.lit(" ._"))
-    return F.left(F.when(safe == "", V.DEFAULT_FILENAME).otherwise(safe), F.lit(max_length))
+    """Allow-listed characters only; unprintable ones are dropped first.
+
+    Of a long name the start is cleaned first. It ends in a letter, digit or hyphen once trimmed, so what follows
+    cannot change it; if it is too short for a result, the whole name is cleaned.
+    """
+    name = F.coalesce(col(name), F.lit(""))
+
+    def safe(c: Column) -> Column:
+        printable = F.regexp_replace(c, r"[\p{C}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]", "")
+        return F.btrim(F.regexp_replace(printable, V.UNSAFE_FILENAME_PATTERN, "_"), F.lit(" ._"))
+
+    start = safe(F.left(name, F.lit(2 * max_length)))
+    whole = bind(safe(name), lambda s: F.left(F.when(s == "", V.DEFAULT_FILENAME).otherwise(s), F.lit(max_length)))
+    enough = (F.length(name) > 2 * max_length) & (F.length(start) >= max_length)
+    return F.when(enough, F.left(start, F.lit(max_length))).otherwise(whole)
 
 
 def sniff_type(content: Column | str) -> Column:

@@ -66,3 +66,11 @@ def test_measures(spark):
     square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
     m = spark.createDataFrame([(None, square), (7.0, square), (-1.0, None)], "m double, c array<struct<x:double,y:double>>")
     assert [r[0] for r in m.select(M.effective_scale("m", "c", 2.0)).collect()] == [2.0, 7.0, None]
+
+
+def test_long_names(evaluate):
+    """The start of a long name decides only where it fills the result."""
+    assert evaluate(I.sanitize_filename, "a" * 300 + "?" * 500) == "a" * 200
+    assert evaluate(I.sanitize_filename, "a" * 150 + "?" * 500) == "a" * 150
+    assert evaluate(I.sanitize_filename, "?" * 900 + "b" * 250) == "b" * 200
+    assert evaluate(I.sanitize_filename, "a" * 150 + "?" * 500 + "b" * 100) == "a" * 150 + "_" + "b" * 49
