@@ -281,6 +281,9 @@ def _by_anchor(texts: DataFrame, block: DataFrame) -> DataFrame:
     return met.filter(F.contains("text", "needle")).select("needle").distinct()
 
 
+_TEXTS_AT_ONCE = 256  # texts that a task looks through together
+
+
 def _by_piece(texts: DataFrame, block: DataFrame) -> DataFrame:
     """Passages of a few words: a task compares all runs of bytes in its texts with one run of each passage, then looks for the passage at hits."""
     by_piece: dict[int, dict[int, list[bytes]]] = {}
@@ -298,7 +301,8 @@ def _by_piece(texts: DataFrame, block: DataFrame) -> DataFrame:
 
         keys = {size: np.sort(np.fromiter(pieces, np.uint32, len(pieces))) for size, pieces in by_piece.items()}
         seen = set()
-        for batch in batches:
+        # A text takes some thirty times its bytes here, so a batch goes in slices.
+        for batch in (b.slice(at, _TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, _TEXTS_AT_ONCE)):
             texts = [t.encode() for t in batch.column(0).to_pylist()]
             data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])

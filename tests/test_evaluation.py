@@ -125,3 +125,11 @@ def test_cost(spark):
     r = ev.run_cost(usage, ev.price_table(spark)).first()
     assert (r.calls, round(r.cost_usd, 6)) == (2, 3.5)
     assert spark.range(1).select(ev.embedding_calls(28, 3, True)).first()[0] == 196
+
+
+def test_short_passages_in_slices(spark):
+    """Short passages are looked for in slices of a batch, the last one included."""
+    assert ev._TEXTS_AT_ONCE < 700
+    texts = spark.range(700).coalesce(1).selectExpr("concat('text no', id, 'x here') AS text")
+    block = spark.createDataFrame([("no0x",), ("no300x",), ("no699x",), ("no700x",)], "needle string")
+    assert {r.needle for r in ev._by_piece(texts, block).collect()} == {"no0x", "no300x", "no699x"}
