@@ -24,8 +24,10 @@ of the text, and repeated rows stay; an empty table gives no shard; other column
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -47,11 +49,13 @@ LEAST_USES = 32
 # Rounds end with one that shortens a shard by less than this share.
 LEAST_GAIN = 0.01
 ROUND_RATIO = 64
-_STRETCH = 2 << 20
+_STRETCH = 1 << 20
 _CACHED_WORDS = 1 << 18
 _TABLE_BITS = 18
 # Marks that compose with ASCII letters, and the sign that special tokens hold.
 _CASE_MATTERS = "[\u0300-\u036f]|\\|"
+# Latin letters; that with a dot above is two characters in lower case. No two of them compose.
+_LATIN = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 
 
 class WordTokens:
@@ -63,12 +67,28 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.by_word = by_word
-        # Where a run of small ASCII letters reaches the model as it is, such words can be given to the model itself.
-        t, letters = self.tokenizer, "abcdefghijklmnopqrstuvwxyz"
-        normal = t.normalizer.normalize_str(letters) if t.normalizer else letters
-        self.plain = normal == letters and t.pre_tokenizer is not None and t.pre_tokenizer.pre_tokenize_str(letters) == [(letters, (0, len(letters)))]
+        self.plain, self.small, self.seen_as = self._letters()
         self._forget()
 
+    def _letters(self) -> tuple[bool, re.Pattern | None, dict[int, str]]:
+        """Whether a run of small ASCII letters reaches the model as it is, so that such words can be given to the model itself;
+        and the Latin letters of which a run is one piece too, with what the model sees for each."""
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        if self.tokenizer.pre_tokenizer is None:
+            return False, None, {}
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        one = lambda text, seen: [p for p, _ in pieces(normal(text))] == [seen]
+        ascii_ = "abcdefghijklmnopqrstuvwxyz"
+        seen_as = {}
+        for c in filter(re.compile(f"[{_LATIN}]").match, map(chr, range(0x61, 0x250))):
+            found = pieces(normal(c)) if len(normal(c)) == 1 else []
+            if len(found) == 1:
+                seen_as[ord(c)] = found[0][0]
+        letters = "".join(map(chr, seen_as))
+        if not letters or not one(letters, letters.translate(seen_as)):
+            return one(ascii_, ascii_), None, {}
+        return one(ascii_, ascii_), re.compile(f"[{re.escape(letters)}]+"), seen_as
+
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q")
@@ -87,11 +107,16 @@ class WordTokens:
         """Words of letters only are one piece each, so many go in one call, told apart by the piece number."""
         small, joined, others = [], [], []
         for w in words:
-            (others if not w.isalpha() else small if self.plain and w.isascii() and w.islower() else joined).append(w)
+            if not w.isalpha():
+                others.append(w)
+            elif (self.plain and w.isascii() and w.islower()) or (self.small and self.small.fullmatch(w)):
+                small.append(w)
+            else:
+                joined.append(w)
         self._learn_one_by_one(others)
-        tokenize, ids, ends = self.tokenizer.model.tokenize, [], []
+        tokenize, seen_as, ids, ends = self.tokenizer.model.tokenize, self.seen_as, [], []
         for w in small:
-            ids += [token.id for token in tokenize(w)]
+            ids += [token.id for token in tokenize(w if w.isascii() else w.translate(seen_as))]
             ends.append(len(ids))
         self._append(small, ids, ends)
         for start in range(0, len(joined), 1000):
@@ -110,11 +135,11 @@ class WordTokens:
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), np.concatenate(([0], np.cumsum(lengths)))
         # Fewer distinct words: lower case is the tokenizer's own step, but comes after composition of marks and after its
-        # special tokens; stops after an ASCII letter and before white space are a piece of their own.
+        # special tokens; stops after a Latin letter and before white space are a piece of their own.
         data, offsets = flat(texts)  # from offset zero: ascii_lower misreads slices
         texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.copy()), pa.py_buffer(data))
         texts = pc.if_else(pc.match_substring_regex(texts, _CASE_MATTERS), texts, pc.ascii_lower(texts))
-        words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([a-z])([.,;:!?]+)(\s|$)", r"\1 \2\3"))
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, f"([{_LATIN}])([.,;:!?]+)(\\s|$)", r"\1 \2\3"))
         distinct = words.flatten().dictionary_encode()
         offsets = np.asarray(words.offsets) - words.offsets[0].as_py()
         values = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -131,6 +156,12 @@ class WordTokens:
         return ids, np.concatenate(([0], ends))[offsets]
 
 
+@lru_cache(maxsize=1)
+def _word_tokens(tokenizer_file: str, by_word: bool) -> WordTokens:
+    """One for all tasks of a Python worker, one after the other: it need not read its file and learn its words again."""
+    return WordTokens(tokenizer_file, by_word)
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Where a new value starts in sorted keys."""
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -325,7 +356,7 @@ def write_tokens(
         )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_file, by_word)
+        tokens = _word_tokens(tokenizer_file, by_word)
         vocabulary = max(tokens.tokenizer.get_vocab_size(), end_id + 1)
         number = TaskContext.get().partitionId() << 32  # shards of a partition are numbered on from here
         ids: list[pa.Array] = []
@@ -344,6 +375,7 @@ def write_tokens(
                 if held >= shard_tokens:
                     yield pack(ids, np.concatenate(lengths), np.concatenate(parts), vocabulary, number)
                     ids, lengths, parts, held, number = [], [], [], 0, number + 1
+            pa.default_memory_pool().release_unused()  # what a batch took is not kept beside the JVM's heap
         if held:
             yield pack(ids, np.concatenate(lengths), np.concatenate(parts), vocabulary, number)
 

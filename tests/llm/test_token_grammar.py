@@ -39,6 +39,25 @@ def test_words_as_whole_texts(tokenizer):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_latin_words_go_to_the_model(tokenizer, monkeypatch):
+    """Words of Latin letters, with their stops apart, need no call that goes through the whole tokenizer."""
+    import pyarrow as pa
+
+    tokens, slow = tg.WordTokens(FILE), []
+    learn = tokens._learn_one_by_one
+    monkeypatch.setattr(tokens, "_learn_one_by_one", lambda words: slow.extend(words) or learn(words))
+    letters = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c != "İ")
+    texts = ["Élan café. über, naïve ÆØÅ!? ŉ ǅ ßtraße; " + letters, " ".join(letters), ". ".join(letters) + ".", "İ. éİ, é̱. ÷. 1é."]
+    ids, offsets = tokens(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert not [w for w in slow if w[0] in letters and "İ" not in w and "̱" not in w]
+
+
+def test_tasks_of_a_worker_share_the_words():
+    assert tg._word_tokens(FILE, True) is tg._word_tokens(FILE, True)
+
+
 @pytest.mark.parametrize("vocabulary", [50, 70000])
 def test_grammar_round_trip(vocabulary):
     rng = np.random.default_rng(1)
