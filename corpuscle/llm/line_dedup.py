@@ -7,10 +7,14 @@ word stay.
 Equal sets of a batch settle at once: only the earliest line of each goes on. Words are ordered by rarity; two similar
 sets share a word among their first n - ceil(0.8 n) + 1. Words seen once in the corpus match nothing and give no key; a word in
 more than `HOT` lines is no key alone but with two further words of the longer prefix, in which similar sets share three. So a
-key of one word has at most `HOT` lines. Of the lines of a key, length, position and a parity bitmap of the words (the bits in
+key of one word has at most `HOT` lines. The rows of many keys travel together: a task sends its rows by bucket of the key, a
+bucket's columns as stretches of numbers in one row, and whole buckets are compared.
+
+Of the equal sets of a key the earliest line stands for all. The others lie in order of length, and each meets only longer ones
+that its length and the key's place in it let be similar. Length, position and a parity bitmap of the words (the bits in
 which two differ are a lower bound on the words in which they differ; 64 bits, 256 for `LONG` words and more) leave few
-pairs. Each line takes its nearest earlier ones until `FIRST` of them are well within the bound or `WEAK` in all, and if
-none of these is verified a second round takes all. Equal sets need no verification (a hash of the
+pairs. Each line takes earlier ones, nearest in length first, until `FIRST` of them are well within the bound or `WEAK` in all,
+and if none of these is verified a second round takes all. Equal sets need no verification (a hash of the
 whole set travels along); it counts the common words of both lines of the others.
 
 Rarity is read off a table of 2^22 counters (a fixed size, whatever the corpus), added up over all lines. Counters that
@@ -42,6 +46,8 @@ FIRST = 4
 WEAK = 32
 LONG = 64
 AT_ONCE = 1 << 17  # rows that a task compares at a time
+MIN_BUCKET_BITS, MAX_BUCKET_BITS = 12, 16
+FEW_KEYS = 1 << 20
 
 _TOKEN = np.uint64((1 << 44) - 1)
 
@@ -169,115 +175,230 @@ def _lines(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[dic
         yield whole()
 
 
-def dealt(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(key, doc, line, sizes, bits, a, wide): a row per key of each line; `sizes` packs n and the place.
+_ROW = {"key": np.int64, "doc": np.int64, "line": np.int32, "n": np.int32, "place": np.uint16, "bits": np.uint64, "a": np.uint64}
+
+
+def bucket_bits(classes: np.ndarray) -> int:
+    """Buckets, as a power of two, of about 2^16 rows each where a sixth of the words counted gives a key."""
+    words = float((np.exp2(classes / 8.0) - 1).sum())
+    return int(np.clip(np.ceil(np.log2(1 + words / 6)) - 16, MIN_BUCKET_BITS, MAX_BUCKET_BITS))
+
+
+def _binary(data: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """The stretches of an array between the borders as a binary column."""
+    offsets = (borders * data.itemsize * (data.size // len(data) if len(data) else 1)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _packed(held: list[dict[str, np.ndarray]], bits: int) -> pa.RecordBatch:
+    """One row a bucket: its rows' columns as stretches of numbers. A bitmap is in `bits` for short lines, in `wide` for long ones."""
+    rows = {c: np.concatenate([x[c] for x in held]) for c in _ROW}
+    long_ = rows["n"] >= LONG
+    at = np.cumsum(long_) - 1  # a long line's place in `wide`
+    wide = np.concatenate([x["wide"] for x in held])
+    bucket = (rows["key"].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, long_ = bucket[order], long_[order]
+    fresh = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    borders = np.append(fresh, len(bucket))
+    longs = np.concatenate(([0], np.cumsum(long_)))[borders]
+    columns = [pa.array(bucket[fresh])]
+    columns += [_binary(rows[c][order], borders) for c in _ROW if c != "bits"]
+    columns += [_binary(rows["bits"][order[~long_]], borders - longs), _binary(wide[at[order[long_]]], longs)]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", *(c for c in _ROW if c != "bits"), "bits", "wide"])
 
-    Lines whose set the batch has earlier are settled; they travel with sizes 0 under a key of their own.
+
+def _flat(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row a key."""
+    long_ = rows["n"] >= LONG
+    offsets = np.concatenate(([0], np.cumsum(np.where(long_, 32, 0)))).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(long_, bitorder="little"))
+    wide = pa.Array.from_buffers(pa.binary(), len(long_), [valid, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows["wide"]))])
+    columns = [pa.array(rows[c].astype(np.int32) if c == "place" else rows[c].view(np.int64) if c in ("bits", "a") else rows[c]) for c in _ROW]
+    return pa.RecordBatch.from_arrays([*columns, wide], [*_ROW, "wide"])
+
+
+def _keyed(x: dict[str, np.ndarray], asked: np.ndarray | None) -> dict[str, np.ndarray]:
+    """A row per key of each line: key, doc, line, n, place, bits, a; and `wide`, the wide bitmaps of the long lines' rows alone.
+
+    Lines whose set the stretch has earlier are settled; they stand with n = 0 under a key of their own. `asked` tells by a
+    key's leading bits which ones are of interest; settled lines are left out then.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes.tobytes())
-    names = ["key", "doc", "line", "sizes", "bits", "a", "wide"]
+    doc, line, a, n, tokens = (x[c] for c in ("doc", "line", "a", "n", "tokens"))
+    order = np.lexsort((line, doc, n, a))
+    again = np.concatenate(([False], (a[order][1:] == a[order][:-1]) & (n[order][1:] == n[order][:-1])))
+    first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+    copy = np.zeros(len(order), bool)
+    copy[order] = again & ((doc[order] != doc[first]) | (line[order] != line[first]))
+    kept = np.repeat(~copy, n)
+    live, tokens = np.flatnonzero(~copy), tokens[kept]
+    starts = np.cumsum(n[live]) - n[live]
+    at, keys, places = line_keys(tokens, starts, n[live])
+    # Sets too small for a similar one but themselves have themselves as their key.
+    small = np.flatnonzero(n[live] < 4)
+    at, keys, places = np.concatenate((at, small)), np.concatenate((keys, mix(a[live][small]))), np.concatenate((places, np.zeros(len(small), np.int64)))
+    gone = np.flatnonzero(copy)
+    if asked is not None:
+        gone = gone[:0]
+        hit = asked[(keys >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+        at, keys, places = at[hit], keys[hit], places[hit]
+        used = np.zeros(len(live), bool)
+        used[at] = True
+        tokens = tokens[np.repeat(used, n[live])]
+        at, live = (np.cumsum(used) - 1)[at], live[used]
+        starts = np.cumsum(n[live]) - n[live]
+    spread = mix(tokens)
+    bit = np.uint64(1) << (spread & np.uint64(63))
+    bits = np.bitwise_xor.reduceat(bit, starts) if len(starts) else bit
+    lane = (spread >> np.uint64(6)) & np.uint64(3)
+    wide = np.stack([np.bitwise_xor.reduceat(np.where(lane == np.uint64(i), bit, np.uint64(0)), starts) if len(starts) else bit for i in range(4)], axis=1)
+    row = live[at]
+    own = mix(doc[gone].view(np.uint64) * np.uint64(31) + line[gone].astype(np.uint64))
+    none = np.zeros(len(gone), np.int64)
+    return {
+        "key": np.concatenate((keys, own)).view(np.int64), "doc": np.concatenate((doc[row], doc[gone])).astype(np.int64),
+        "line": np.concatenate((line[row], line[gone])).astype(np.int32), "n": np.concatenate((n[row], none)).astype(np.int32),
+        # A place cut at 65535 is a weaker filter, no wrong one.
+        "place": np.concatenate((np.minimum(places, 65535), none)).astype(np.uint16),
+        "bits": np.concatenate((bits[at], none.astype(np.uint64))), "a": np.concatenate((a[row], a[gone])), "wide": wide[at[n[row] >= LONG]],
+    }
+
+
+def dealt(docs: DataFrame, classes: np.ndarray, asked: np.ndarray | None = None) -> DataFrame:
+    """The rows of `_keyed` of all lines: in buckets of keys, many rows in one, or a row a key if only some keys are asked for."""
+    shared = docs.sparkSession.sparkContext.broadcast((classes.tobytes(), None if asked is None else asked.tobytes()))
+    bits = bucket_bits(classes)
+    enough = min(1 << 20, max(1 << 18, 32 << bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _lines(batches, np.frombuffer(shared.value, np.uint8)):
-            doc, line, a, n, tokens = (x[c] for c in ("doc", "line", "a", "n", "tokens"))
-            order = np.lexsort((line, doc, n, a))
-            again = np.concatenate(([False], (a[order][1:] == a[order][:-1]) & (n[order][1:] == n[order][:-1])))
-            first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-            copy = np.zeros(len(order), bool)
-            copy[order] = again & ((doc[order] != doc[first]) | (line[order] != line[first]))
-            gone = np.flatnonzero(copy)
-            place = mix(doc[gone].view(np.uint64) * np.uint64(31) + line[gone].astype(np.uint64))
-            kept = np.repeat(~copy, n)
-            live = np.flatnonzero(~copy)
-            starts = np.cumsum(n[live]) - n[live]
-            at, keys, places = line_keys(tokens[kept], starts, n[live])
-            # Sets too small for a similar one but themselves have themselves as their key.
-            small = np.flatnonzero(n[live] < 4)
-            at, keys, places = np.concatenate((at, small)), np.concatenate((keys, mix(a[live][small]))), np.concatenate((places, np.zeros(len(small), np.int64)))
-            spread = mix(tokens[kept])
-            bit = np.uint64(1) << (spread & np.uint64(63))
-            bits = np.bitwise_xor.reduceat(bit, starts)
-            lane = (spread >> np.uint64(6)) & np.uint64(3)
-            wide = np.stack([np.bitwise_xor.reduceat(np.where(lane == np.uint64(i), bit, np.uint64(0)), starts) for i in range(4)], axis=1)
-            row = live[at]
-            is_long = np.concatenate((n[row] >= LONG, np.zeros(len(gone), bool)))
-            buffer = np.ascontiguousarray(wide[at[n[row] >= LONG]]).tobytes()
-            offsets = np.concatenate(([0], np.cumsum(np.where(is_long, 32, 0)))).astype(np.int32)
-            wides = pa.Array.from_buffers(
-                pa.binary(), len(is_long), [pa.py_buffer(np.packbits(is_long, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(buffer)]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((keys, place)).view(np.int64)), pa.array(np.concatenate((doc[row], doc[gone])), pa.int64()),
-                 pa.array(np.concatenate((line[row], line[gone])), pa.int32()),
-                 pa.array(np.concatenate(((n[row] << 31) | places, np.zeros(len(gone), np.int64)))),
-                 pa.array(np.concatenate((bits[at], np.zeros(len(gone), np.uint64))).view(np.int64)),
-                 pa.array(np.concatenate((a[row], a[gone])).view(np.int64)), wides],
-                names,
-            )
+        table, wanted = (np.frombuffer(x, np.uint8) if x else None for x in shared.value)
+        held, size = [], 0
+        for x in _lines(batches, table):
+            rows = _keyed(x, None if wanted is None else wanted.view(bool))
+            if wanted is not None:
+                yield _flat(rows)
+                continue
+            held.append(rows)
+            size += len(rows["key"])
+            if size >= enough:
+                yield _packed(held, bits)
+                held, size = [], 0
+        if size:
+            yield _packed(held, bits)
 
-    return docs.mapInArrow(run, "key bigint, doc bigint, line int, sizes bigint, bits bigint, a bigint, wide binary")
+    if asked is not None:
+        return docs.mapInArrow(run, "key bigint, doc bigint, line int, n int, place int, bits bigint, a bigint, wide binary")
+    return docs.mapInArrow(run, "bucket int, key binary, doc binary, line binary, n binary, place binary, a binary, bits binary, wide binary")
 
 
 PAIR, MORE, SAME = 0, 1, 2
+_CUT = (1 << 15) - 1  # longer lines count as lines of one length
 
 
-def _near(group: dict[str, np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later row, earlier row, status) of rows sorted by key and place in the corpus.
+def _near(rows: dict[str, np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later row, earlier row, status) of rows whose keys are all there, in any order.
 
     The status is SAME for equal sets; MORE where a line has as many candidates as asked for and there may be others.
-    Rows are compared with those one, two, three, ... places before; groups that are through drop out as the step grows.
+    Of equal sets of a key the earliest line stands for all. The others are compared in order of length, each with those one,
+    two, three, ... behind it, as far as its length and the place of its key let a longer line be similar.
     """
-    key, n, place = group["key"], group["sizes"] >> 31, group["sizes"] & ((1 << 31) - 1)
-    bits, wide, a, doc, line = group["bits"].view(np.uint64), group["wide"], group["a"], group["doc"], group["line"]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sizes = np.diff(np.append(start, len(key)))
-    rank, size = np.arange(len(key)) - np.repeat(start, sizes), np.repeat(sizes, sizes)
-    weak = first * WEAK // FIRST
-    found = np.where(group["wanted"], 0, weak)
+    order = np.argsort(rows["key"])
+    key = rows["key"][order]
+    group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+    lengths = np.minimum(rows["n"][order], _CUT).astype(np.int64)
+    inner = np.argsort((group << 43) | (lengths << 28) | (rows["a"][order] >> np.uint64(36)).astype(np.int64))
+    order, key, lengths, group = order[inner], key[inner], lengths[inner], group[inner]
+    n, a, doc, line = (rows[c][order] for c in ("n", "a", "doc", "line"))
+    equal = np.concatenate(([False], (key[1:] == key[:-1]) & (n[1:] == n[:-1]) & (a[1:] == a[:-1])))
     out = [[], [], []]
-    row = np.flatnonzero(size > 1)
-    # Nine times 64 bits is the most that a size is compared with.
-    small = np.minimum(n, 600).astype(np.int16)
-    own_rank, own_bits, own_n = rank[row].astype(np.int32), bits[row], small[row]
-    gap = 1
-    while gap < len(row):
-        # A bound that contiguous arrays tell quickly; the exact tests follow for the few rows it leaves.
-        apart = np.bitwise_count(own_bits[gap:] ^ own_bits[:-gap])
-        hit = np.flatnonzero((apart.astype(np.int16) * np.int16(9) <= own_n[gap:] + own_n[:-gap]) & (own_rank[gap:] >= gap))
-        x, y, apart = row[hit + gap], row[hit], apart[hit].astype(np.int64)
+    if equal.any():
+        run = np.cumsum(~equal)
+        mates = np.flatnonzero(equal | np.append(equal[1:], False))
+        mates = mates[np.lexsort((line[mates], doc[mates], run[mates]))]
+        head = np.concatenate(([True], run[mates][1:] != run[mates][:-1]))
+        earliest = mates[np.maximum.accumulate(np.where(head, np.arange(len(mates)), 0))]
+        # Equal sets have all keys in common; one at their first word tells it.
+        tells = (rows["place"][order[mates]] == 0) & ((doc[mates] != doc[earliest]) | (line[mates] != line[earliest]))
+        out[0].append(order[mates[tells]])
+        out[1].append(order[earliest[tells]])
+        out[2].append(np.ones(int(tells.sum()), bool))
+        stands = ~equal
+        stands[mates] = head
+        keep = np.flatnonzero(stands)
+        order, lengths, group, n, a, doc, line = (x[keep] for x in (order, lengths, group, n, a, doc, line))
+    n, place, bits = n.astype(np.int64), rows["place"][order].astype(np.int64), rows["bits"][order]
+    weak = first * WEAK // FIRST
+    found = np.where(rows["wanted"][order], 0, weak)
+    # The longest line that shares enough words behind the key's place.
+    most = 9 * (n - place) // 4 - n
+    most = np.where(lengths < _CUT, most, np.maximum(most, n))  # beyond the cut a longer line may come first
+    base = (group << 15) | lengths
+    row = np.flatnonzero(most >= n)
+    reach = np.searchsorted(base, (group[row] << 15) | np.minimum(most[row], _CUT), "right") - 1 - row
+    gap = 0
+    while True:
+        gap += 1
+        if gap <= 8 or gap % 4 == 0:
+            open_ = reach >= gap
+            row, reach = row[open_], reach[open_]
+            own_bits, own_n = bits[row], n[row]
+        if not len(row):
+            break
+        other = np.minimum(row + gap, len(n) - 1)
+        apart = np.bitwise_count(own_bits ^ bits[other]).astype(np.int64)
+        hit = np.flatnonzero((9 * apart <= own_n + n[other]) & (reach >= gap))
+        if not len(hit):
+            continue
+        x, y, apart = row[hit], other[hit], apart[hit]
+        swap = (doc[x] > doc[y]) | ((doc[x] == doc[y]) & (line[x] > line[y]))
+        x, y = np.where(swap, x, y), np.where(swap, y, x)  # x is later
         both = n[x] + n[y]
         needed = (4 * both + 8) // 9
         long_ = np.flatnonzero((n[x] >= LONG) & (n[y] >= LONG))
-        apart[long_] = np.bitwise_count(wide[x[long_]] ^ wide[y[long_]]).sum(1, dtype=np.int64)
+        if len(long_):
+            apart[long_] = np.bitwise_count(rows["wide"][rows["at"][order[x[long_]]]] ^ rows["wide"][rows["at"][order[y[long_]]]]).sum(1, dtype=np.int64)
         room = np.minimum(n[x] - place[x], n[y] - place[y])
         same = (a[x] == a[y]) & (n[x] == n[y])
         # Where not even one word may differ only equal sets are similar.
-        alike = same | ((n[x] >= 4) & (both > 2 * needed) & (np.minimum(np.minimum(n[x], n[y]), room) >= needed) & (both - 2 * needed >= apart))
+        alike = same | ((n[x] >= 4) & (n[y] >= 4) & (both > 2 * needed) & (room >= needed) & (both - 2 * needed >= apart))
         alike &= ((doc[x] != doc[y]) | (line[x] != line[y])) & (found[x] < weak)
         x, y, same, strong = x[alike], y[alike], same[alike], (2 * apart <= both - 2 * needed)[alike]
         # A strong candidate counts as much as several weak ones; equal sets end the search.
         found[x] += np.where(same, 1 << 62, np.where(strong, WEAK // FIRST, 1))
-        out[0].append(x)
-        out[1].append(y)
+        out[0].append(order[x])
+        out[1].append(order[y])
         out[2].append(same)
-        gap += 1
-        if gap & (gap - 1) == 0:
-            open_ = np.add.reduceat((found < weak).astype(np.int64), start) > 0
-            row = np.flatnonzero((size > gap) & np.repeat(open_, sizes))
-            own_rank, own_bits, own_n = rank[row].astype(np.int32), bits[row], small[row]
+    cut_short = np.zeros(len(rows["key"]), bool)
+    cut_short[order] = found >= weak
     later, earlier, same = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-    return later, earlier, np.where(same.astype(bool), SAME, np.where(found[later] >= weak, MORE, PAIR))
-
-
-def _wide(column: pa.Array) -> np.ndarray:
-    """The long lines' bitmaps as rows of four numbers, zeros elsewhere."""
-    out = np.zeros((len(column), 4), np.uint64)
-    present = column.is_valid().to_numpy(zero_copy_only=False)
-    if present.any():
-        long_ = column.drop_null()
-        first = np.frombuffer(long_.buffers()[1], np.int32)[long_.offset]
-        out[present] = np.frombuffer(long_.buffers()[2], np.uint8)[first : first + 32 * len(long_)].view(np.uint64).reshape(-1, 4)
-    return out
+    return later, earlier, np.where(same.astype(bool), SAME, np.where(cut_short[later], MORE, PAIR))
+
+
+def _numbers(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and how many each row has; nulls have none."""
+    column = column.fill_null(b"") if column.null_count else column
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
+
+
+def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The rows of a batch of `dealt`; `unit` is what keeps a key's rows together, `at` a long line's place in `wide`."""
+    if "bucket" in batch.schema.names:
+        rows = {c: _numbers(batch.column(c), kind)[0] for c, kind in _ROW.items()}
+        rows["unit"] = np.repeat(batch.column("bucket").to_numpy(), _numbers(batch.column("key"), np.int64)[1])
+        rows["wanted"] = np.ones(len(rows["key"]), bool)
+    else:
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*_ROW, "wanted")}
+        rows |= {"unit": rows["key"], "a": rows["a"].view(np.uint64), "bits": rows["bits"].view(np.uint64)}
+    rows["wide"] = _numbers(batch.column("wide"), np.uint64)[0].reshape(-1, 4)
+    long_ = rows["n"] >= LONG
+    if "bucket" in batch.schema.names:
+        bits = np.zeros(len(long_), np.uint64)
+        bits[~long_], bits[long_] = rows["bits"], np.bitwise_xor.reduce(rows["wide"], axis=1)
+        rows["bits"] = bits
+    rows["at"] = np.cumsum(long_) - 1
+    return rows
 
 
 def candidates(rows: DataFrame, first: int = FIRST) -> DataFrame:
@@ -285,7 +406,6 @@ def candidates(rows: DataFrame, first: int = FIRST) -> DataFrame:
 
     The key is given for the status MORE, 0 elsewhere.
     """
-    names = ["key", "doc", "line", "sizes", "bits", "a", "wanted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(doc, line, other_doc, other_line, status, key):
@@ -299,30 +419,49 @@ def candidates(rows: DataFrame, first: int = FIRST) -> DataFrame:
             cut_short = np.where(status == MORE, group["key"][later], 0)
             return out(group["doc"][later], group["line"][later], group["doc"][earlier], group["line"][earlier], status, cut_short)
 
+        def pieces(group: dict[str, np.ndarray], end: int) -> Iterator[pa.RecordBatch]:
+            """The rows before `end`, in stretches of whole buckets or keys."""
+            start = 0
+            while start < end:
+                cut = end
+                if end - start > AT_ONCE:
+                    cut = int(np.searchsorted(group["unit"][:end], group["unit"][start + AT_ONCE], "right"))
+                yield pairs({c: x if c == "wide" else x[start:cut] for c, x in group.items()})
+                start = cut
+
+        def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+            start = np.cumsum([0] + [len(p["wide"]) for p in parts])
+            return {c: np.concatenate([p[c] + s if c == "at" else p[c] for p, s in zip(parts, start, strict=False)]) for c in parts[0]}
+
         held: list[dict[str, np.ndarray]] = []
         size, enough = 0, AT_ONCE
         for batch in batches:
-            own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {"wide": _wide(batch.column("wide"))}
-            done = own["sizes"] == 0
+            own = _unpacked(batch)
+            done = own["n"] == 0
             if done.any():
                 doc, line = own["doc"][done], own["line"][done]
                 yield out(doc, line, doc, line, np.full(len(doc), SAME), np.zeros(len(doc)))
-                own = {c: x[~done] for c, x in own.items()}
+                own = {c: x if c == "wide" else x[~done] for c, x in own.items()}
+            if not len(own["key"]):
+                continue
             held.append(own)
             size += len(own["key"])
             if size >= enough:
-                group = {c: np.concatenate([p[c] for p in held]) for c in own}
-                # All but the last key is whole.
-                cut = int(np.searchsorted(group["key"], group["key"][-1], "left"))
-                if cut:
-                    yield pairs({c: x[:cut] for c, x in group.items()})
-                held = [{c: x[cut:] for c, x in group.items()}]
+                group = joined(held)
+                # All but the last bucket or key is whole.
+                cut = int(np.searchsorted(group["unit"], group["unit"][-1], "left"))
+                yield from pieces(group, cut)
+                rest = {c: x if c == "wide" else x[cut:] for c, x in group.items()}
+                low = int((group["n"][:cut] >= LONG).sum())
+                held = [rest | {"wide": rest["wide"][low:].copy(), "at": rest["at"] - low}]
                 size -= cut
                 enough = max(AT_ONCE, 2 * size)
         if size:
-            yield pairs({c: np.concatenate([p[c] for p in held]) for c in held[0]})
+            group = joined(held)
+            yield from pieces(group, size)
 
-    ordered = rows.repartition("key").sortWithinPartitions("key", "doc", "line")
+    unit = "bucket" if "bucket" in rows.columns else "key"
+    ordered = rows.repartition(unit).sortWithinPartitions(unit)
     return ordered.mapInArrow(run, "doc_id bigint, line int, other_doc bigint, other_line int, status int, key bigint")
 
 
@@ -372,10 +511,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         more = pairs.filter(F.col("status") == MORE).select(*place, "key").distinct().join(alike, place, "left_anti")
         more = materialize(more, "line-more")
         if not more.isEmpty():
-            # Only the keys whose search was cut short are dealt again.
-            keys = broadcast_if_small(more.select("key").distinct(), 64)
+            # Only the keys whose search was cut short are dealt again; few of them let the tasks leave out nearly all others.
+            distinct = materialize(more.select("key").distinct(), "line-keys")
+            hits = np.ones(1 << COUNTER_BITS, bool)
+            if distinct.count() <= FEW_KEYS:
+                hits[:] = False
+                hits[(distinct.toArrow().column("key").to_numpy().view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] = True
+            keys = broadcast_if_small(distinct, 64)
             asked = broadcast_if_small(more.select(F.col("doc_id").alias("doc"), "line", F.lit(True).alias("wanted")).distinct(), 64)
-            again = dealt(docs, classes).filter("sizes > 0").join(keys, "key", "left_semi")
+            again = dealt(docs, classes, hits).join(keys, "key", "left_semi")
             marked = again.join(asked, ["doc", "line"], "left").fillna(False, ["wanted"])
             rest = candidates(marked, first=1 << 40).filter(F.col("status") != SAME).drop("status", "key").distinct()
             alike = alike.union(materialize(verified(docs, materialize(rest, "line-rest")), "line-matches"))
