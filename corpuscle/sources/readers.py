@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions.identity import basename, object_path
+from corpuscle.sources import digests
+
+WHOLE = 1 << 26  # bytes of a file that one task reads as one value
 
 CHUNK_SCHEMA = (
     "id string, content string, embedding array<float>, deleted_at timestamp, created_at timestamp, "
@@ -41,18 +44,27 @@ def scan_chunks(spark: SparkSession, path: str, live_only: bool = True) -> DataF
     return chunks.filter(is_live()) if live_only else chunks
 
 
-def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files as bytes, with the hash of the bytes as identity."""
+def scan_files(spark: SparkSession, path: str, glob: str | None = None, whole: int = WHOLE) -> DataFrame:
+    """Files as bytes, with the hash of the bytes as identity.
+
+    Files of over `whole` bytes are hashed at once, stretch by stretch, and their content is only read if it is asked for.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(
-        "path",
-        "modificationTime",
-        "length",
-        "content",
-        F.sha2("content", 256).alias("original_file_id"),
-        basename("path").alias("original_file_name"),
+    files = reader.load(path)
+    hashed = F.sha2("content", 256).alias("id")
+    rows = files.select("*", hashed)
+    large = files.filter(F.col("length") > whole).select("path", "length").collect() if digests.available() else []
+    if large:
+        packed = [digests.literal(r.path) for r in large if digests.PACKED.search(r.path)]
+        ids = digests.file_digests(spark, [(r.path, r.length) for r in large if not digests.PACKED.search(r.path)])
+        known = F.broadcast(spark.createDataFrame(ids, "path string, id string"))
+        rows = rows.filter(F.col("length") <= whole).unionByName(files.filter(F.col("length") > whole).join(known, "path"))
+        if packed:
+            rows = rows.unionByName(reader.load(packed).select("*", hashed))
+    return rows.select(
+        "path", "modificationTime", "length", "content", F.col("id").alias("original_file_id"), basename("path").alias("original_file_name")
     )
 
 

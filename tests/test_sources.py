@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import json
+import random
 
 from corpuscle.operators.evaluation import compare_runs
 from corpuscle.sources import readers, uploads, writers
@@ -46,6 +48,36 @@ def test_files(spark, tmp_path):
     assert uploads.admit_uploads(files, "image").filter("admitted").count() == 0
 
 
+def test_large_files_are_hashed_by_stretch(spark, tmp_path, monkeypatch):
+    rnd = random.Random(4)
+    made = {
+        "bytes [1]*.bin": rnd.randbytes(60000), "ends.txt": b"line\r\n" * 9000, "open.txt": b"\n\nline\n" * 7000 + b"end", "feeds.txt": b"\n" * 20000,
+        "none.txt": bytes(30000), "long line.txt": b"a\n" + bytes(30000) + b"\nb", "mark.txt": b"\xef\xbb\xbf" + b"x\xff\n" * 5000, "mark2.txt": b"\xef\xbb\xbf" + b"x\n" * 6000 + b"y",
+        "\u00e9 %20.txt": rnd.randbytes(10001), "small.txt": b"\n",
+    }
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    jobs = []
+    run = spark.sparkContext.runJob
+    monkeypatch.setattr(spark.sparkContext, "runJob", lambda rdd, f, parts: jobs.append(parts) or run(rdd, f, parts))
+    # A file beyond that length can't be read as one value: as 2 GB are by default.
+    conf = {"spark.sql.sources.binaryFile.maxLength": "10000", "spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "4096"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        files = readers.with_object_path(readers.scan_files(spark, str(tmp_path), whole=10000))
+        got = {r.original_file_name: (r.length, r.original_file_id) for r in files.select("original_file_name", "length", "original_file_id").collect()}
+        assert got == {name: (len(x), hashlib.sha256(x).hexdigest()) for name, x in made.items()}
+        assert all(len(x) == 1 for x in jobs) and len(jobs) >= sum(len(x) for x in made.values()) // 4096 - len(made)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    (tmp_path / "packed.gz").write_bytes(gzip.compress(rnd.randbytes(20000)))
+    for r in readers.scan_files(spark, str(tmp_path), whole=10000).collect():
+        assert r.original_file_id == hashlib.sha256(bytes(r.content)).hexdigest() and (r.original_file_name == "packed.gz" or bytes(r.content) == made[r.original_file_name])
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([("a;b", None, 1.5), ("ç", "x", None)], "n string, m string, v double")
     writers.export_csv(df.coalesce(1), str(tmp_path / "csv"))
