@@ -47,7 +47,8 @@ def scan_chunks(spark: SparkSession, path: str, live_only: bool = True) -> DataF
 def scan_files(spark: SparkSession, path: str, glob: str | None = None, whole: int = WHOLE) -> DataFrame:
     """Files as bytes, with the hash of the bytes as identity.
 
-    Files of over `whole` bytes are hashed at once, stretch by stretch, and their content is only read if it is asked for.
+    Files of over `whole` bytes are hashed at once, stretch by stretch, and their content is only read if it is asked for. Packed ones and
+    those with very long lines are hashed as one value like small ones.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -57,12 +58,13 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None, whole: i
     rows = files.select("*", hashed)
     large = files.filter(F.col("length") > whole).select("path", "length").collect() if digests.available() else []
     if large:
-        packed = [digests.literal(r.path) for r in large if digests.PACKED.search(r.path)]
-        ids = digests.file_digests(spark, [(r.path, r.length) for r in large if not digests.PACKED.search(r.path)])
+        plain = [(r.path, r.length) for r in large if not digests.PACKED.search(r.path)]
+        ids = [x for x in digests.file_digests(spark, plain) if x[1]]
         known = F.broadcast(spark.createDataFrame(ids, "path string, id string"))
         rows = rows.filter(F.col("length") <= whole).unionByName(files.filter(F.col("length") > whole).join(known, "path"))
-        if packed:
-            rows = rows.unionByName(reader.load(packed).select("*", hashed))
+        as_one = sorted({r.path for r in large} - {path for path, _ in ids})
+        if as_one:
+            rows = rows.unionByName(reader.load([digests.literal(x) for x in as_one]).select("*", hashed))
     return rows.select(
         "path", "modificationTime", "length", "content", F.col("id").alias("original_file_id"), basename("path").alias("original_file_name")
     )

@@ -4,7 +4,7 @@ import json
 import random
 
 from corpuscle.operators.evaluation import compare_runs
-from corpuscle.sources import readers, uploads, writers
+from corpuscle.sources import digests, readers, uploads, writers
 
 
 def test_golden(spark, tmp_path):
@@ -78,6 +78,19 @@ def test_large_files_are_hashed_by_stretch(spark, tmp_path, monkeypatch):
         assert r.original_file_id == hashlib.sha256(bytes(r.content)).hexdigest() and (r.original_file_name == "packed.gz" or bytes(r.content) == made[r.original_file_name])
 
 
+def test_files_of_very_long_lines_are_hashed_as_one_value(spark, tmp_path, monkeypatch):
+    made = {"none.txt": bytes(30000), "in.txt": b"a\n" + b"x" * 5000 + b"\nb\n", "short.txt": b"line\n" * 3000}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    found = []
+    hashed = digests.file_digests
+    monkeypatch.setattr(digests, "file_digests", lambda *x: found.extend(hashed(*x)) or found)
+    monkeypatch.setattr(digests, "LONGEST", 4000)
+    got = {r.original_file_name: r.original_file_id for r in readers.scan_files(spark, str(tmp_path), whole=1000).collect()}
+    assert got == {name: hashlib.sha256(x).hexdigest() for name, x in made.items()}
+    assert {path.rsplit("/", 1)[1] for path, x in found if x} == {"short.txt"}
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([("a;b", None, 1.5), ("ç", "x", None)], "n string, m string, v double")
     writers.export_csv(df.coalesce(1), str(tmp_path / "csv"))
