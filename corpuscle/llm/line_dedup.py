@@ -268,7 +268,7 @@ def dealt(docs: DataFrame, classes: np.ndarray, asked: np.ndarray | None = None)
     """The rows of `_keyed` of all lines: in buckets of keys, many rows in one, or a row a key if only some keys are asked for."""
     shared = docs.sparkSession.sparkContext.broadcast((classes.tobytes(), None if asked is None else asked.tobytes()))
     bits = bucket_bits(classes)
-    enough = min(1 << 20, max(1 << 18, 32 << bits))
+    enough = min(1 << 20, max(1 << 17, 32 << bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, wanted = (np.frombuffer(x, np.uint8) if x else None for x in shared.value)
@@ -285,6 +285,7 @@ def dealt(docs: DataFrame, classes: np.ndarray, asked: np.ndarray | None = None)
                 held, size = [], 0
         if size:
             yield _packed(held, bits)
+        pa.default_memory_pool().release_unused()
 
     if asked is not None:
         return docs.mapInArrow(run, "key bigint, doc bigint, line int, n int, place int, bits bigint, a bigint, wide binary")
@@ -459,6 +460,7 @@ def candidates(rows: DataFrame, first: int = FIRST) -> DataFrame:
         if size:
             group = joined(held)
             yield from pieces(group, size)
+        pa.default_memory_pool().release_unused()
 
     unit = "bucket" if "bucket" in rows.columns else "key"
     ordered = rows.repartition(unit).sortWithinPartitions(unit)
