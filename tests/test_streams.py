@@ -1,8 +1,9 @@
 import datetime as dt
+import os
 import random
 
 
-from corpuscle.config import Settings
+from corpuscle.config import Settings, shared_dir
 from corpuscle.streaming import ingest as si
 from corpuscle.streaming import jobs as sj
 from corpuscle.streaming import limits as sl
@@ -166,6 +167,35 @@ def test_ingest_stream(spark, tmp_path):
     assert chunks.agg({"page_end": "max"}).first()[0] == 1 and chunks.select("chunk_index").distinct().count() == third["f2"]
 
 
+def test_ingest_leaves_no_intermediates(spark, tmp_path, monkeypatch):
+    """Every batch in rounds: the same chunks as in one, with nothing left in the shared folder but the stream's own tables."""
+    settings = Settings(chunk_size=200, chunk_overlap=20, min_words_per_page=5)
+    text = "Some words of a page that are long enough to be kept. " * 5
+    pages = [(f"f{i}", f"{i}.pdf", "pypdf", p, f"{text}{i} {p}") for i in range(6) for p in range(3)]
+    halves = [[r for r in pages if r[3] % 2 == 0], [r for r in pages if r[3] % 2] + [pages[1], (None, "none", "pypdf", 0, text)]]
+    halves[1] += [(*pages[0][:4], "New " + text)] * 2
+
+    def embedder():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    def run(name, chars):
+        monkeypatch.setattr(si, "ROUND_CHARS", chars, raising=False)
+        monkeypatch.setattr(si, "MOST_ROUNDS", 2, raising=False)
+        source, table = str(tmp_path / name / "in"), str(tmp_path / name / "table")
+        for half in halves:
+            spark.createDataFrame(half, si.PAGES_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+            si.ingest_stream(spark, source, table, str(tmp_path / name / "state"), embedder(), settings, ("pypdf",), 1).awaitTermination()
+        chunks = si.stored_chunks(spark, table).select("id", "content", "chunk_index", "page_start", "page_end", "original_file_id", "n_chars")
+        return sorted(map(str, chunks.collect()))
+
+    before = set(os.listdir(shared_dir(spark)))
+    one = run("one", 1 << 28)
+    assert set(os.listdir(shared_dir(spark))) == before
+    assert one == run("many", 500) and set(os.listdir(shared_dir(spark))) == before
+    # The page that came three times stands once, in its last form.
+    assert sum("content='New Some" in s for s in one) == 1 and sum("original_file_id='f0'" in s for s in one) == 3
+
+
 def test_first_requests(spark, tmp_path):
     df = spark.createDataFrame([("r1", "u", "l", "s", at(0)), ("r2", "u", "l", "s", at(1)), ("r3", "u", "x", "s", at(2))],
                                "request_id string, user_id string, lateral_id string, superior_id string, requested_at timestamp")
