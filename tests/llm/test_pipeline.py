@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from corpuscle.config import materialize
-from corpuscle.llm import queries
+from corpuscle.llm import queries, shingle_dedup, simhash
+from corpuscle.llm.components import components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -106,6 +107,53 @@ def test_fingerprints_group_documents(spark, planted):
     assert {r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, planted[0]).collect()} == {0, 3, None}
 
 
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_links_hidden_by_a_bucket(spark, planted):
+    """Pairs of 0.8 among many texts of one template that are less alike: every link counts, whichever texts share its buckets."""
+    rnd = random.Random(10)
+    base = words(rnd, "abcdefgh", 200).split()
+
+    def edited(text, n, name):
+        out = list(text)
+        for at in rnd.sample(range(5, 195), n):
+            out[at] = f"{name}x{at}"
+        return out
+
+    texts = [edited(base, 4, f"own{i}") for i in range(600)]
+    texts += [edited(texts[i], 4, f"copy{i}") for i in range(560, 600)]
+    sets = [shingles(" ".join(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 9 * common >= 4 * (len(sets[i]) + len(sets[j])) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root)) > 20 and all(root[i] == root[i + 40] for i in range(560, 600))
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "web", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    # In small blocks; below in blocks of the usual size.
+    joined = components(shingle_dedup.links(docs, 5, 16)).collect()
+    assert {r["node"]: r["component"] for r in joined} == {i: r for i, r in enumerate(root) if i != r}
+    near = simhash.groups(docs).filter("doc_id <> component_id").collect()
+    for r in near:
+        low, high = sorted((root[r["doc_id"]], root[r["component_id"]]))
+        root = [low if x == high else x for x in root]
+    assert {r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, planted[0]).collect()} == set(root)
+
+
+def test_groups_follow_both_kinds_of_links(spark, planted):
+    """0 and 2 have one fingerprint, 1 and 2 like sets; 0 and 1 have neither. Of an id with two rows one counts."""
+    rnd = random.Random(11)
+    part, first, second, third = (words(rnd, "abcdefgh", n) for n in (21, 30, 30, 100))
+    rows = [(0, " ".join([part] * 50 + [first])), (1, f"{part} {second}"), (2, " ".join([part] * 50 + [second])), (3, "A " + third), (3, " ".join([part] * 50 + [first]))]
+    docs = spark.createDataFrame([(*r, "en", "web", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted((r["doc_id"], r["text"][:2]) for r in corpus_pipeline.near_deduplication(spark, docs, planted[0]).collect()) == [(0, part[:2]), (3, "A ")]
+
+
 def test_empty_tables(spark, planted, tmp_path):
     docs = spark.read.parquet(f"{planted[0]}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
